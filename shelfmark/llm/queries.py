@@ -15,7 +15,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_packing": op5_packing, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE = {
     "op10_exact_dedup": r"""
