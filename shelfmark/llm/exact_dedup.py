@@ -81,12 +81,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = texts.withColumn("norm", normalised(F.col("text"))).withColumn("sha", F.sha2("norm", 256)).withColumn("digest", F.substring("sha", 1, digest_hex))
     texts = texts.withColumn("len", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).drop("text")
     hits = may_hit(texts, bitmaps, filter_bits)
-    met = hits.join(level.where("n > 1"), "digest")
-    kept = hits.select("digest", F.col("norm").alias("kept_norm"), F.col("id").alias("kept_id"))
-    chosen = level.where("n > 1").select("digest", "keep_id")
-    kept = kept.join(chosen, (kept.digest == chosen.digest) & kept.kept_id.eqNullSafe(chosen.keep_id), "left_semi")
-    kept = kept.groupBy("digest").agg(F.first("kept_norm").alias("kept_norm"))
-    differ = scratch.write(met.where(~F.col("id").eqNullSafe(F.col("keep_id"))).join(kept, "digest").where("norm != kept_norm").select("digest").distinct(), "differ")
+    chosen = level.where("n > 1").select(F.col("digest").alias("to"), "keep_id")
+    kept = hits.join(chosen, (F.col("digest") == F.col("to")) & F.col("id").eqNullSafe(F.col("keep_id")))  # by both, so a large group is dealt out
+    kept = kept.groupBy("digest").agg(F.first("keep_id").alias("keep_id"), F.first("norm").alias("kept_norm"))
+    differ = scratch.write(hits.join(kept, "digest").where(~F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("norm") != F.col("kept_norm"))).select("digest").distinct(), "differ")
 
     plain = rows.join(level, "digest").select("id", "keep_id", F.col("n").alias("group_size"), "sha", "digest")
     if not differ.isEmpty():
