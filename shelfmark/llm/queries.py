@@ -21,13 +21,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_packing": op5_packing, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE = {
     "op10_exact_dedup": r"""
