@@ -15,6 +15,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_conversations
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    return digests(format_conversations(turns.unionByName(extra)))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -45,9 +54,23 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_chat": op1_chat, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE = {
+    "op1_chat": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), e AS (
+            SELECT *, regexp_replace(regexp_replace(text, '\\', '\\\\', 'g'), '</turn>', '\\</turn>', 'g') AS escaped FROM t
+        ), g AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+                coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                sum(13 + length(role) + length(escaped) + len(list_filter(range(1, length(text) + 1), lambda i: substring(text, i, 3) = '###'))) AS formatted_chars
+            FROM e GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, cast(formatted_chars AS BIGINT) AS formatted_chars FROM g
+    """,
     "op10_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
