@@ -24,6 +24,12 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(turns.unionByName(extra)))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import private_spans
+
+    return private_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -54,7 +60,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE = {
     "op1_chat": r"""
