@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
+from . import filters
 
 WHITE = r"[\x20\x09-\x0D]+"
-BITMAP = 32768  # bits in one bitmap of Spark's bitmap functions
 
 
 def normalised(text: Column) -> Column:
@@ -47,21 +47,6 @@ def compact(runs: DataFrame) -> DataFrame:
     return merged.select("digest", (-F.col("best.id.id")).alias("keep_id"), "n").sortWithinPartitions("digest")
 
 
-def hit_filter(level: DataFrame, filter_bits: int) -> DataFrame:
-    """Bitmaps over the digests that were met more than once; at most filter_bits bits in all."""
-    bit = F.pmod(F.xxhash64("digest"), F.lit(filter_bits))
-    return level.where("n > 1").select((bit / BITMAP).cast("long").alias("bucket"), (bit % BITMAP).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
-
-
-def may_hit(rows: DataFrame, bitmaps: DataFrame, filter_bits: int) -> DataFrame:
-    """Rows whose digest the filter knows. The bitmaps hold filter_bits / 8 bytes at most, so they are broadcast."""
-    bit = F.pmod(F.xxhash64("digest"), F.lit(filter_bits))
-    at = (bit % BITMAP).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = rows.withColumn("bucket", (bit / BITMAP).cast("long")).join(F.broadcast(bitmaps), "bucket")
-    return joined.where(F.getbit(byte, at % 8) == 1).drop("bucket", "bits")
-
-
 def regroup(texts: DataFrame) -> DataFrame:
     """Verdicts by the bytes themselves, for digests under which different bytes meet."""
     best = F.struct("len", F.struct(F.col("id").isNotNull().alias("some"), (-F.col("id")).alias("id")).alias("id"))
@@ -70,17 +55,17 @@ def regroup(texts: DataFrame) -> DataFrame:
     return texts.join(groups, ["digest", "norm"]).select("id", "keep_id", "group_size", "sha", "digest")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest_hex: int = 64, memtables: int = 8, filter_bits: int = 1 << 23) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest_hex: int = 64, memtables: int = 8, filter_bits: int = filters.BITS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(entries(docs, id_col, text_col, digest_hex), "entries")
     level = scratch.write(compact(flush(rows, memtables)), "level")
-    bitmaps = scratch.write(hit_filter(level, filter_bits), "filter")
+    bitmaps = scratch.write(filters.build(level.where("n > 1"), "digest", filter_bits), "filter")
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.withColumn("norm", normalised(F.col("text"))).withColumn("sha", F.sha2("norm", 256)).withColumn("digest", F.substring("sha", 1, digest_hex))
     texts = texts.withColumn("len", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).drop("text")
-    hits = may_hit(texts, bitmaps, filter_bits)
+    hits = filters.known(texts, "digest", bitmaps, filter_bits)
     chosen = level.where("n > 1").select(F.col("digest").alias("to"), "keep_id")
     kept = hits.join(chosen, (F.col("digest") == F.col("to")) & F.col("id").eqNullSafe(F.col("keep_id")))  # by both, so a large group is dealt out
     kept = kept.groupBy("digest").agg(F.first("keep_id").alias("keep_id"), F.first("norm").alias("kept_norm"))

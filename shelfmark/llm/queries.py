@@ -48,6 +48,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -60,7 +66,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_near_dedup": op7_near_dedup, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE = {
     "op1_chat": r"""
