@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -66,7 +73,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_near_dedup": op7_near_dedup, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_near_dedup": op7_near_dedup, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 ORACLE = {
     "op1_chat": r"""
