@@ -78,3 +78,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return plain.select(
         F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns; of rows that repeat an identifier and a text, one. Only rows that the filters know are moved."""
+    scratch = Scratch(docs.sparkSession)
+    verdict = scratch.write(exact_dedup(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "kept"), "verdict")
+    dropped = verdict.where("not kept").select(id_col)
+    out = filters.without(docs, id_col, dropped, scratch.write(filters.build(dropped, id_col), "dropped"))
+    again = scratch.write(verdict.where("kept").groupBy(id_col).count().where("count > 1").select(id_col), "again")
+    if again.isEmpty():
+        return out
+    repeated = filters.known(out, id_col, filters.build(again, id_col))
+    once = repeated.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    return filters.marked(out, id_col, filters.build(again, id_col)).where("not __known").drop("__known").unionByName(once)

@@ -231,3 +231,10 @@ def full_sets(texts: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array([shingles.shingle_set(t).tobytes() for t in texts_of(batch, "text")], pa.binary())], names=["rep", "hashes"])
 
     return texts.mapInArrow(run, "rep long, hashes binary")
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that stay, with all their columns: one identifier of each component."""
+    scratch = Scratch(docs.sparkSession)
+    dropped = scratch.write(near_dedup(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)), "dropped")
+    return filters.without(docs, id_col, dropped, filters.build(dropped, id_col))

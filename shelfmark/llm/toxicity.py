@@ -140,3 +140,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     features, marks = training(docs, labels, id_col, text_col, label_col, per_class)
     scored = score(docs, *fit(features, marks), id_col, text_col)
     return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    ship(docs.sparkSession)
+    weights, bias = fit(*training(docs, labels, id_col, text_col, label_col, per_class))
+    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))  # 4 << BITS bytes
+    least = math.log(threshold / (1 - threshold))
+
+    def run(batches):
+        w, b = shared.value
+        distinct = Distinct()
+        for batch in batches:
+            z = [float(w[distinct(ngrams(t))].sum(dtype=np.float64)) + b for t in texts_of(batch, text_col)]
+            yield batch.filter(pa.array([x < least for x in z], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
