@@ -62,3 +62,7 @@ class Scratch:
         for t in tables:
             p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def release(self) -> None:
+        """Lets the driver's collector find what no plan needs any more, so that executors may delete its shuffle files."""
+        self.spark.sparkContext._jvm.System.gc()
