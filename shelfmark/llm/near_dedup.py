@@ -1,10 +1,10 @@
 """Near-duplicate documents by the chosen-path set similarity join.
 
 A document's set is that of its distinct shingles of five words, as 64-bit hashes. Equal sets are joined first,
-and one document stands for them. A minwise sketch of each set has 128 tokens. `trees` independent trees begin with all
+and one document stands for them. A minwise sketch of each set has 64 tokens. `trees` independent trees begin with all
 sets in one node. A node picks, by its own hash, one or two of the sketch's positions (1 / similarity on average), and its
 members branch by their tokens there. Nodes of at most `leaf` members are compared exhaustively by
-their sketches; larger ones branch again. Any two sets as similar as asked for are expected in as many children
+finer sketches; larger ones branch again. Any two sets as similar as asked for are expected in as many children
 of a node as in the node itself, while others thin out.
 
 Only connections matter, so pairs inside a component that is known already are never looked at again. In a first
@@ -32,8 +32,8 @@ from . import filters, shingles
 from .bpe import texts_of
 from .components import components
 
-TREES, LEAF, DEPTH = 12, 64, 8
-SLACK = 0.12  # a pair is likely if its sketches agree in so much less than asked for; near 4 standard deviations
+TREES, LEAF, DEPTH = 10, 128, 8
+SLACK = 0.06  # a pair is likely if its bins say so much less than asked for; 5 standard deviations at least
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,27 +59,23 @@ def branches(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("rep", F.explode(F.when(second, F.array(child(0), child(1))).otherwise(F.array(child(0)))).alias("node"))
 
 
-def gathered(rows: DataFrame) -> DataFrame:
+def gathered(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Members (node, rep, n, lead) of nodes with two members at least; of nodes with equal members one stays."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("n > 1")
-    nodes = nodes.groupBy("n", "lead", "x").agg(F.min("node").alias("node")).drop("x")
-    return rows.join(nodes, "node").select("node", "rep", "n", "lead")
-
-
-def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=-1)
+    nodes = scratch.write(nodes.groupBy("n", "lead", "x").agg(F.min("node").alias("node")).drop("x"), "nodes")
+    return filters.known(rows, "node", filters.build(nodes, "node")).join(nodes, "node").select("node", "rep", "n", "lead")
 
 
 def stars(members: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Likely pairs of each member of a large node with its first one."""
     pairs = members.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    joined = pairs.join(reps.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
+    joined = pairs.join(reps.select(F.col("rep").alias("a"), F.col("wide").alias("x")), "a").join(reps.select(F.col("rep").alias("b"), F.col("wide").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, shingles.SKETCH) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(likely(x, y) >= least))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, shingles.BINS) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array(shingles.likeness(x, y) >= least))
 
     return joined.mapInArrow(run, "a long, b long")
 
@@ -90,9 +86,9 @@ def root(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def compared(reps: np.ndarray, own: np.ndarray, tokens: np.ndarray, least: float, forest: bool) -> Iterator[tuple[int, int]]:
+def compared(reps: np.ndarray, own: np.ndarray, wide: np.ndarray, least: float, forest: bool) -> Iterator[tuple[int, int]]:
     """Likely pairs of one node between different components: all of them, or a spanning forest with the likeliest."""
-    found = np.concatenate([likely(tokens[i], tokens[i + 1 :]) for i in range(len(reps) - 1)]) if len(reps) > 1 else np.zeros(0)
+    found = np.concatenate([shingles.likeness(wide[i], wide[i + 1 :]) for i in range(len(reps) - 1)]) if len(reps) > 1 else np.zeros(0)
     i, j = np.triu_indices(len(reps), 1)
     good = np.flatnonzero((found >= least) & (own[i] != own[j]))
     parent: dict[int, int] = {}
@@ -108,7 +104,7 @@ def compared(reps: np.ndarray, own: np.ndarray, tokens: np.ndarray, least: float
 def proposals(members: DataFrame, reps: DataFrame, own: DataFrame | None, least: float, forest: bool) -> DataFrame:
     """Pairs proposed by exhaustive comparison inside small nodes."""
     rows = members.select("node", "rep").join(reps, "rep")
-    rows = with_own(rows, own).select("node", "rep", "own", "sketch")
+    rows = with_own(rows, own).select("node", "rep", "own", "wide")
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []  # of the node that may go on in the next batch
@@ -123,14 +119,14 @@ def proposals(members: DataFrame, reps: DataFrame, own: DataFrame | None, least:
             if not batch.num_rows:
                 continue
             nodes, rep, mine = (batch.column(k).to_numpy() for k in (0, 1, 2))
-            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, shingles.SKETCH)
+            wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, shingles.BINS)
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(nodes)) + 1, [len(nodes)]))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if held and nodes[a] != node:
                     yield end()
                     held = []
                 node = nodes[a]
-                held.append((rep[a:b], mine[a:b], tokens[a:b]))
+                held.append((rep[a:b], mine[a:b], wide[a:b]))
         if held:
             yield end()
 
@@ -182,29 +178,34 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = every.where("set_key is not null and doc_id is not null")
     reps = scratch.write(some.groupBy("set_key").agg(F.min(F.struct("doc_id", "sketch")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch")), "reps")
     grown = branches(reps.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).withColumn("node", F.xxhash64("tree")), similarity)
-    members = scratch.write(gathered(grown), "members")
-
-    wanted = filters.build(members, "rep")
-    texts = filters.known(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")), "rep", wanted)
-    sets = scratch.write(full_sets(texts), "sets")
-    named, reps = reps.select("set_key", "rep"), scratch.write(filters.known(reps, "rep", wanted).select("rep", "sketch"), "near")
+    members = scratch.write(gathered(grown, scratch), "members")
+    named = scratch.write(reps.select("set_key", "rep"), "named")
+    scratch.drop(reps)
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    near = scratch.write(finer(filters.known(texts, "rep", filters.build(members, "rep"))), "near")
+    wide = near.select("rep", "wide")
     own: DataFrame | None = None
 
     def connect(pairs: DataFrame) -> None:
         nonlocal own
-        new = scratch.write(confirmed(pairs.distinct(), sets, percent), "confirmed")
+        pairs = scratch.write(pairs.distinct(), "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+        sets = scratch.write(full_sets(filters.known(texts, "rep", filters.build(ids, "rep"))), "sets")
+        new = scratch.write(confirmed(pairs, sets, percent), "confirmed")
+        scratch.drop(sets, pairs)
         if own is None:
             own = components(new, scratch)
         elif not new.isEmpty():
             own = components(new.unionAll(own.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch)
+        scratch.release()
 
     small, large = members.where(F.col("n") <= leaf), members.where(F.col("n") > leaf)
-    connect(proposals(small, reps, None, least, True).unionAll(stars(large, reps, least)))
+    connect(proposals(small, wide, None, least, True).unionAll(stars(large, wide, least)))
     leaves, frontier = [undecided(small, own).select("node", "rep")], scratch.write(undecided(large, own), "large")
     for _ in range(depth):
         if frontier.isEmpty():
             break
-        grown = scratch.write(gathered(branches(frontier.join(reps, "rep"), similarity)), "members")
+        grown = scratch.write(gathered(branches(frontier.join(near.select("rep", "sketch"), "rep"), similarity), scratch), "members")
         leaves.append(undecided(grown.where(F.col("n") <= leaf), own).select("node", "rep"))
         frontier = scratch.write(undecided(grown.where(F.col("n") > leaf), own), "large")
     if not frontier.isEmpty():
@@ -215,7 +216,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = scratch.write(rest, "leaves")
     for forest in (True, False):
         rest = undecided(rest, own)
-        connect(proposals(rest, reps, own, least, forest))
+        connect(proposals(rest, wide, own, least, forest))
 
     found = with_own(named, own).select("set_key", F.col("own").alias("found"))
     joined = every.join(found, "set_key", "left")
@@ -223,6 +224,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def finer(texts: DataFrame) -> DataFrame:
+    """rep, sketch and wide (the bins) of each text."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles.shingle_set(t) for t in texts_of(batch, "text")]
+            yield pa.record_batch([batch.column(0), pa.array([shingles.sketch(s).tobytes() for s in sets], pa.binary()), pa.array([shingles.bins(s).tobytes() for s in sets], pa.binary())], names=["rep", "sketch", "wide"])
+
+    return texts.mapInArrow(run, "rep long, sketch binary, wide binary")
+
+
 def full_sets(texts: DataFrame) -> DataFrame:
     """rep and hashes (the whole set, as 64-bit numbers)."""
 
