@@ -7,11 +7,11 @@ members branch by their tokens there. Nodes of at most `leaf` members are compar
 finer sketches; larger ones branch again. Any two sets as similar as asked for are expected in as many children
 of a node as in the node itself, while others thin out.
 
-Only connections matter, so pairs inside a component that is known already are never looked at again. In a first
-round each node proposes a spanning forest of its likely pairs, and large nodes a star; a second and third
-round propose what may still connect different components, deeper down the trees. Every proposed pair is confirmed on
-the full sets. Large nodes whose members are all connected end there. What is left of a large node at
-the greatest depth is compared whole, in blocks. Nodes with the same members are compared once.
+Only connections matter, so pairs inside a component that is known already are never looked at again. The
+finer sketches tell which members of a small node have a likely partner there; these are compared on their full sets, and the node yields
+a forest that spans its links. Large nodes are dealt out to small ones first, and yield the links of their members with the first one, which
+connects most of a dense group. Large nodes whose members are all connected end there. Where few are left outside the largest component, or at
+the greatest depth, these are compared with all of the node, in blocks; other nodes branch again. Nodes with the same members are compared once.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. Rows
 with a null identifier are linked with nothing, and their component is null. Rows that repeat an identifier share its component. The result
@@ -21,6 +21,7 @@ depends on no order of rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from . import filters, shingles
 from .bpe import texts_of
 from .components import components
 
+EMPTY = pa.record_batch([pa.array([], pa.int64())] * 3, names=["node", "rep", "own"])
 TREES, LEAF, DEPTH = 10, 128, 8
 SLACK = 0.06  # a pair is likely if its bins say so much less than asked for; 5 standard deviations at least
 
@@ -86,51 +88,82 @@ def root(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def compared(reps: np.ndarray, own: np.ndarray, wide: np.ndarray, least: float, forest: bool) -> Iterator[tuple[int, int]]:
-    """Likely pairs of one node between different components: all of them, or a spanning forest with the likeliest."""
-    found = np.concatenate([shingles.likeness(wide[i], wide[i + 1 :]) for i in range(len(reps) - 1)]) if len(reps) > 1 else np.zeros(0)
-    i, j = np.triu_indices(len(reps), 1)
-    good = np.flatnonzero((found >= least) & (own[i] != own[j]))
-    parent: dict[int, int] = {}
-    for k in good[np.argsort(-found[good], kind="stable")]:
-        if forest:
-            p, q = root(parent, int(own[i[k]])), root(parent, int(own[j[k]]))
-            if p == q:
-                continue
-            parent[max(p, q)] = min(p, q)
-        yield int(reps[i[k]]), int(reps[j[k]])
-
-
-def proposals(members: DataFrame, reps: DataFrame, own: DataFrame | None, least: float, forest: bool) -> DataFrame:
-    """Pairs proposed by exhaustive comparison inside small nodes."""
-    rows = members.select("node", "rep").join(reps, "rep")
-    rows = with_own(rows, own).select("node", "rep", "own", "wide")
-
-    def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []  # of the node that may go on in the next batch
-        node = None
-
-        def end():
-            out = compared(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), least, forest)
-            pairs = [(min(p), max(p)) for p in out]
-            return pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            nodes, rep, mine = (batch.column(k).to_numpy() for k in (0, 1, 2))
-            wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, shingles.BINS)
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(nodes)) + 1, [len(nodes)]))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if held and nodes[a] != node:
-                    yield end()
-                    held = []
-                node = nodes[a]
-                held.append((rep[a:b], mine[a:b], wide[a:b]))
-        if held:
-            yield end()
-
-    return rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, "a long, b long")
+def by_node(batches, run) -> Iterator:
+    """Calls run with the columns of each node's rows; batches hold nodes in order, the node first."""
+    held: list[pa.RecordBatch] = []
+    node = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nodes = batch.column(0).to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(nodes)) + 1, [len(nodes)]))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and nodes[a] != node:
+                yield run(held)
+                held = []
+            node = nodes[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield run(held)
+
+
+def promising(members: DataFrame, wide: DataFrame, own: DataFrame | None, least: float) -> DataFrame:
+    """Members of small nodes that have a likely partner of another component there, by the bins."""
+    rows = with_own(members.select("node", "rep").join(wide, "rep"), own).select("node", "rep", "own", "wide")
+
+    def of_node(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        mine = t.column("own").to_numpy()
+        bins = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(-1, shingles.BINS)
+        keep = np.zeros(len(mine), bool)
+        for i in range(len(mine) - 1):
+            good = (shingles.likeness(bins[i], bins[i + 1 :]) >= least) & (mine[i + 1 :] != mine[i])
+            if good.any():
+                keep[i] = True
+                keep[i + 1 :] |= good
+        return t.select(["node", "rep", "own"]).filter(pa.array(keep)).combine_chunks().to_batches(max_chunksize=None)[0] if keep.any() else EMPTY
+
+    return rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(lambda b: by_node(b, of_node), "node long, rep long, own long")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each two sets."""
+    every = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, n = np.unique(every, return_inverse=True, return_counts=True)
+    shared = n[place] > 1
+    row, (_, place) = row[shared], np.unique(place[shared], return_inverse=True)
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, 8192):
+        a, b = np.searchsorted(place, (at, at + 8192))
+        m = np.zeros((len(sets), 8192), np.float32)
+        m[row[a:b], place[a:b] - at] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside small nodes, by their full sets: of each node a forest that spans what is linked and not connected yet."""
+    joined = rows.join(sets, "rep").select("node", "rep", "own", "hashes")
+
+    def of_node(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        reps, mine = t.column("rep").to_numpy(), t.column("own").to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        both, size = intersections(own), np.array([len(s) for s in own])
+        i, j = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+        parent: dict[int, int] = {}
+        links = []
+        for x, y in zip(i, j):
+            p, q = root(parent, int(mine[x])), root(parent, int(mine[y]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                links.append((int(reps[x]), int(reps[y])))
+        return pa.record_batch([pa.array([k[c] for k in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return joined.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(lambda b: by_node(b, of_node), "a long, b long")
 
 
 def with_own(rows: DataFrame, own: DataFrame | None) -> DataFrame:
@@ -147,11 +180,27 @@ def undecided(members: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, leaf: int) -> DataFrame:
-    """Small nodes that bring each two members of a large node together: one for each two blocks of it."""
-    blocks = F.ceil(F.col("n") / (leaf / 2)).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
-    rows = members.select("node", "rep", mine.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    return rows.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "rep")
+    """Large nodes dealt out to small ones by a hash, each member to one."""
+    block = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / leaf))
+    return members.select(F.xxhash64("node", F.lit("block"), block).alias("node"), "rep")
+
+
+def with_main(members: DataFrame, own: DataFrame) -> DataFrame:
+    """Adds to members of large nodes their component, the node's largest one (main) and how many others there are (others). Counts only, so no node is gathered."""
+    rows = with_own(members, own)
+    sizes = rows.groupBy("node", "own").agg(F.count("*").alias("c"))
+    nodes = sizes.groupBy("node").agg(F.max(F.struct("c", "own")).alias("m"), F.sum("c").alias("all"))
+    return rows.join(nodes.select("node", F.col("m.own").alias("main"), (F.col("all") - F.col("m.c")).alias("others")), "node")
+
+
+def against_all(rows: DataFrame, leaf: int) -> DataFrame:
+    """Small nodes that bring each member outside a large node's main component together with each other member: one for each block of all and block of these."""
+    half = leaf // 2
+    alls, others = F.ceil(F.col("n") / half).cast("int"), F.ceil(F.col("others") / half).cast("int")
+    i, j = F.pmod(F.xxhash64("rep"), alls.cast("long")).cast("int"), F.pmod(F.xxhash64("rep", F.lit("other")), others.cast("long")).cast("int")
+    each = rows.select("node", "rep", i.alias("i"), F.explode(F.sequence(F.lit(0), others - 1)).alias("j"))
+    outside = rows.where("own != main").select("node", "rep", F.explode(F.sequence(F.lit(0), alls - 1)).alias("i"), j.alias("j"))
+    return each.unionByName(outside).select(F.xxhash64("node", F.lit("all"), "i", "j").alias("node"), "rep").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,6 +218,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, frames)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     ship(docs.sparkSession)
@@ -186,37 +239,38 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = near.select("rep", "wide")
     own: DataFrame | None = None
 
-    def connect(pairs: DataFrame) -> None:
+    def connect(members: DataFrame, pairs: DataFrame | None = None) -> None:
+        """Finds the links inside small nodes, confirms pairs, and adds both to the components."""
         nonlocal own
-        pairs = scratch.write(pairs.distinct(), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+        rows = scratch.write(promising(members, wide, own, least), "promising")
+        ids, used = rows.select("rep"), [rows]
+        if pairs is not None:
+            pairs = scratch.write(pairs, "pairs")
+            ids, used = ids.unionAll(pairs.select(F.explode(F.array("a", "b")))), [rows, pairs]
         sets = scratch.write(full_sets(filters.known(texts, "rep", filters.build(ids, "rep"))), "sets")
-        new = scratch.write(confirmed(pairs, sets, percent), "confirmed")
-        scratch.drop(sets, pairs)
+        links = linked(rows, sets, percent)
+        links = scratch.write(links if pairs is None else links.unionAll(confirmed(pairs, sets, percent)), "confirmed")
+        scratch.drop(sets, *used)
         if own is None:
-            own = components(new, scratch)
-        elif not new.isEmpty():
-            own = components(new.unionAll(own.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch)
+            own = components(links, scratch)
+        elif not links.isEmpty():
+            own = components(links.unionAll(own.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch)
         scratch.release()
 
     small, large = members.where(F.col("n") <= leaf), members.where(F.col("n") > leaf)
-    connect(proposals(small, wide, None, least, True).unionAll(stars(large, wide, least)))
-    leaves, frontier = [undecided(small, own).select("node", "rep")], scratch.write(undecided(large, own), "large")
-    for _ in range(depth):
+    connect(small.select("node", "rep").unionAll(in_blocks(large, leaf)), stars(large, wide, least))
+    leaves, frontier = [], undecided(large, own)
+    for level in range(depth + 1):
+        frontier = scratch.write(with_main(frontier, own), "large")
         if frontier.isEmpty():
             break
-        grown = scratch.write(gathered(branches(frontier.join(near.select("rep", "sketch"), "rep"), similarity), scratch), "members")
+        ends = F.lit(level == depth) | (F.col("others") <= leaf)
+        leaves.append(against_all(frontier.where(ends), leaf))
+        grown = scratch.write(gathered(branches(frontier.where(~ends).join(near.select("rep", "sketch"), "rep"), similarity), scratch), "members")
         leaves.append(undecided(grown.where(F.col("n") <= leaf), own).select("node", "rep"))
-        frontier = scratch.write(undecided(grown.where(F.col("n") > leaf), own), "large")
-    if not frontier.isEmpty():
-        leaves.append(in_blocks(frontier, leaf))
-    rest = leaves[0]
-    for x in leaves[1:]:
-        rest = rest.unionAll(x)
-    rest = scratch.write(rest, "leaves")
-    for forest in (True, False):
-        rest = undecided(rest, own)
-        connect(proposals(rest, wide, own, least, forest))
+        frontier = undecided(grown.where(F.col("n") > leaf), own)
+    if leaves:
+        connect(union(leaves))
 
     found = with_own(named, own).select("set_key", F.col("own").alias("found"))
     joined = every.join(found, "set_key", "left")
