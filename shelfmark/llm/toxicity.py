@@ -74,24 +74,25 @@ def fit(features: list[np.ndarray], labels: np.ndarray, bits: int = BITS, l2: fl
     share = float(labels.mean()) if n else 0.0
     if share in (0.0, 1.0):
         return np.zeros(size), -30.0 if share == 0 else 30.0
-    ids = np.concatenate(features)
-    row = np.repeat(np.arange(n), [len(f) for f in features])
-    rows = np.bincount(ids, minlength=size)
-    ones = np.bincount(ids, weights=labels[row], minlength=size)
+    rows, ones = np.zeros(size), np.zeros(size)
+    for f, y in zip(features, labels):  # each n-gram once a row
+        rows[f] += 1
+        ones[f] += y
     pos = labels.sum()
     r = np.log((ones + 1) / (pos + 2)) - np.log((rows - ones + 1) / (n - pos + 2))
     r[rows < least_rows] = 0
-    used = r[ids] != 0
-    ids, row = ids[used], row[used]
-    value = r[ids]
+    parts = [(at, np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(f) for f in own])) for at in range(0, n, 250) for own in [[f[r[f] != 0] for f in features[at : at + 250]]]]
     each = np.where(labels == 1, 0.5 / pos, 0.5 / (n - pos))
     theta, bias = np.zeros(size), 0.0
     m, s, mb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    for step in range(1, steps + 1):  # Adam over all rows
-        z = np.bincount(row, weights=value * theta[ids], minlength=n) + bias
-        miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * each
-        grad = np.bincount(ids, weights=value * miss[row], minlength=size) + l2 / n * theta
-        gb = miss.sum()
+    for step in range(1, steps + 1):  # Adam over all rows, a few hundred at a time
+        grad, gb = l2 / n * theta, 0.0
+        for at, ids, row in parts:
+            value, here = r[ids], slice(at, min(at + 250, n))
+            z = np.bincount(row, weights=value * theta[ids], minlength=here.stop - at) + bias
+            miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[here]) * each[here]
+            grad += np.bincount(ids, weights=value * miss[row], minlength=size)
+            gb += miss.sum()
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
         mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb**2
         a, b = 1 - 0.9**step, 1 - 0.99**step
