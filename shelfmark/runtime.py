@@ -18,7 +18,7 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Python workers hold one Arrow batch at a time: keeps it small also where texts are long. Smaller settings of the session stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, "0").rstrip("b")
+        now = (spark.conf.get(key, None) or "").rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
