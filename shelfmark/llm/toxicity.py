@@ -4,7 +4,7 @@ A text is lower-cased, white space squeezed, and turned into the set of its hash
 From labelled rows come the smoothed log-count ratio r of each n-gram between the classes and then a
 logistic model over features scaled by r. A score is the model's probability over the whole text.
 
-The model is fitted on the driver from at most `per_class` labelled rows of each class, those with
+The model is fitted on the driver from at most `per_class` labelled rows of class 1 and twice as many of class 0, those with
 the smallest hash of their identifier. Null labels, and labels other than 0 and 1, are left out; of
 several labels for one identifier the largest holds. Rows whose remainder is 1 (see held_out) are never learned from. With labels of
 one class only, or none, each score is that class's, for every text (0 without labels). Null
@@ -102,11 +102,11 @@ def fit(features: list[np.ndarray], labels: np.ndarray, bits: int = BITS, l2: fl
 
 
 def training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of the rows to learn from: at most 2 * per_class rows reach the driver, as hashes only."""
+    """Features and labels of the rows to learn from: at most 3 * per_class rows reach the driver, as hashes only."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.where(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
-    first = lambda k: known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class)
-    chosen = F.broadcast(first(1).unionAll(first(0)))  # at most 2 * per_class rows of two numbers
+    first = lambda k: known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit((2 - k) * per_class)
+    chosen = F.broadcast(first(1).unionAll(first(0)))  # at most 3 * per_class rows of two numbers
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select("id", "label", "text")
 
     def run(batches):
