@@ -132,12 +132,14 @@ def owner_folder(config: Config, owners: Column, category: Column) -> Column:
 
 def folder(config: Config, owners: Column, year: Column, category: Column) -> Column:
     """Where a document of a category belongs, below the root; null for unknown categories."""
-    out: Column = F.lit(None).cast("string")
+    owner = F.nullif(owner_folder(config, owners, category), F.lit(""))
+    fiscal = F.when(year != 0, config.calendar.label(year))
+    layouts: dict[str, list[str]] = {}
     for c in config.categories:
-        parts = [F.lit(c.path)]
-        for s in c.layout.split("/"):
-            parts.append(owner_folder(config, owners, category) if s == "{Owner}" else F.when(year != 0, config.calendar.label(year)) if s == "{FY}" else F.lit(None).cast("string"))
-        out = F.when(category == c.name, F.concat_ws("/", *[F.nullif(p, F.lit("")) for p in parts])).otherwise(out)
+        layouts.setdefault(c.layout, []).append(c.name)
+    base, out = by_category(config, category, "path"), F.lit(None).cast("string")
+    for layout, names in layouts.items():
+        out = F.when(category.isin(names), F.concat_ws("/", base, *[{"{Owner}": owner, "{FY}": fiscal}[s] for s in layout.split("/") if s])).otherwise(out)
     return out
 
 

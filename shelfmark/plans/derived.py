@@ -39,10 +39,12 @@ SQL = {
     """,
     # what was recorded about half of the files, and some orphans
     "d_sidecars": """
-        SELECT CASE WHEN o_orderkey % 19 = 0 THEN 'Gone/.lost-' || cast(o_orderkey AS string) || '.txt.meta.yaml' ELSE folder_of || '.' || name_of || '.meta.yaml' END AS path,
-            CASE WHEN o_orderkey % 6 = 0 THEN 'receipt' ELSE 'invoice' END AS s_doctype, CASE WHEN o_orderkey % 5 = 0 THEN 'Iris Vane' ELSE NULL END AS s_owner, 1990 + o_orderkey % 30 AS s_year,
-            CASE WHEN o_orderkey % 8 = 0 THEN 'stale' ELSE 'sha' || cast(o_orderkey % 1000 AS string) END AS s_sha, 'extracted ' || o_orderpriority AS s_text
-        FROM (SELECT o_orderkey, o_orderpriority, regexp_replace(rel_path, '[^/]*$', '') AS folder_of, name AS name_of FROM orders JOIN d_files ON id = o_orderkey WHERE o_orderkey % 2 = 0) x
+        SELECT path, min(s_doctype) AS s_doctype, min(s_owner) AS s_owner, min(s_year) AS s_year, min(s_sha) AS s_sha, min(s_text) AS s_text FROM (
+            SELECT CASE WHEN o_orderkey % 19 = 0 THEN 'Gone/.lost-' || cast(o_orderkey AS string) || '.txt.meta.yaml' ELSE substr(rel_path, 1, length(rel_path) - length(name)) || '.' || name || '.meta.yaml' END AS path,
+                CASE WHEN o_orderkey % 6 = 0 THEN 'receipt' ELSE 'invoice' END AS s_doctype, CASE WHEN o_orderkey % 5 = 0 THEN 'Iris Vane' ELSE NULL END AS s_owner, cast(1990 + o_orderkey % 30 AS int) AS s_year,
+                CASE WHEN o_orderkey % 8 = 0 THEN 'stale' ELSE 'sha' || cast(o_orderkey % 1000 AS string) END AS s_sha, 'extracted ' || o_orderpriority AS s_text
+            FROM orders JOIN d_files ON id = o_orderkey WHERE o_orderkey % 2 = 0
+        ) x GROUP BY path
     """,
     # raw tags of each file, written untidily
     "d_tags": """

@@ -1,0 +1,252 @@
+"""Queries over files: the name grammar, finding, tags, joins, reports and rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import tags as G
+from ..functions import text as T
+from ..operators import catalog as C
+from ..operators import grammar, lint, report, search
+from ..operators.search import Query
+from .derived import CONFIG, views
+from .registry import query
+
+CATALOG = C.Catalog.of(CONFIG)
+
+TAGS = "list_sort(list_distinct(list_filter(list_transform(string_split(raw, ','), lambda x: lower(trim(x))), lambda x: x <> '')))"
+SLUG = r"trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')"
+_known = ", ".join(f"'{t.name}': '{t.category}'" for t in CATALOG.types)
+_cats = sorted(CONFIG.categories, key=lambda c: (-len(c.path), c.name))
+CATEGORY = "CASE " + " ".join(f"WHEN starts_with(rel_path, '{c.path}/') THEN '{c.name}'" for c in _cats) + " END"
+# f: one row a file with what its name says; d: with tags and sidecar
+F_SQL = rf"""f0 AS (SELECT *, string_split(regexp_replace(name, '\.[^./]*$', ''), '_') AS parts FROM d_files),
+    f1 AS (SELECT *, len(parts) AS n, coalesce(regexp_full_match(parts[4], '(19|2[0-9])[0-9]{{2}}'), false) AS y4 FROM f0),
+    f2 AS (SELECT *, n BETWEEN 3 AND 5 AND NOT (n = 5 AND NOT y4) AND {SLUG.format('parts[1]')} <> '' AS parsed FROM f1),
+    f3 AS (SELECT id, day, size, sha, rel_path, name, parsed, CASE WHEN parsed THEN {SLUG.format('parts[1]')} END AS doctype,
+        CASE WHEN parsed AND parts[2] <> '' AND lower(parts[2]) <> 'shared' THEN list_transform(string_split(parts[2], '+'), lambda o: replace(o, '-', ' ')) ELSE CAST([] AS VARCHAR[]) END AS owners,
+        CASE WHEN parsed THEN nullif(replace(parts[3], '-', ' '), '') END AS identifier, CASE WHEN parsed AND y4 THEN parts[4]::INTEGER END AS year,
+        CASE WHEN parsed AND n = 5 THEN replace(parts[5], '-', ' ') WHEN parsed AND n = 4 AND NOT y4 THEN replace(parts[4], '-', ' ') END AS modifier, coalesce(nullif(regexp_extract(name, '(\.[^./]*)$', 1), ''), '') AS ext, {CATEGORY} AS category FROM f2),
+    f AS (SELECT *, map_extract(MAP {{{_known}}}, doctype)[1] AS cat FROM f3)"""
+D_SQL = rf"""{F_SQL}, d0 AS (SELECT f.*, {TAGS} AS tags FROM f JOIN d_tags USING (id)), sc AS (SELECT regexp_replace(path, '\.([^/]+)\.meta\.yaml$', '\1') AS rel_path, * EXCLUDE (path) FROM d_sidecars),
+    d AS (SELECT d0.*, s_doctype IS NOT NULL AS has_sidecar, s_sha, s_text, s_doctype, coalesce(doctype, s_doctype) AS e_doctype, CASE WHEN len(owners) > 0 THEN owners WHEN s_owner IS NOT NULL THEN [s_owner] ELSE CAST([] AS VARCHAR[]) END AS e_owners, coalesce(year, s_year) AS e_year FROM d0 LEFT JOIN sc USING (rel_path))"""
+J = "array_to_string({}, '|')"
+# where a document belongs
+OWNER = "CASE WHEN len(owners) = 1 THEN replace(owners[1], ' ', '-') ELSE '_Shared' END"
+PATHS = ", ".join(f"'{c.name}': '{c.path}'" for c in CONFIG.categories)
+FOLDER = f"map_extract(MAP {{{PATHS}}}, cat)[1] || '/' || {OWNER} || CASE WHEN cat IN ('financial', 'company', 'utility') AND year IS NOT NULL THEN '/FY ' || lpad(year::VARCHAR, 4, '0') ELSE '' END"
+NAME = r"""array_to_string(list_transform(string_split(doctype, '-'), lambda p: upper(p[1:1]) || p[2:]), '-') || '_' || CASE WHEN len(owners) = 0 THEN 'Shared' ELSE array_to_string(list_transform(list_sort(owners), lambda o: replace(o, ' ', '-')), '+') END
+    || '_' || trim(regexp_replace(replace(identifier, ' ', '-'), '-{2,}', '-', 'g'), '-') || coalesce('_' || year, '') || coalesce('_' || replace(modifier, ' ', '-'), '') || ext"""
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    rows = v["d_files"].join(v["d_tags"], "id").withColumn("tags", F.split("raw", ",")).drop("raw")
+    return search.hydrate(rows, CONFIG)
+
+
+def sidecars(spark: SparkSession, sf: str) -> DataFrame:
+    meta = F.struct(
+        F.col("s_doctype").alias("doctype"), F.when(F.col("s_owner").isNotNull(), F.array("s_owner")).otherwise(F.array().cast("array<string>")).alias("owners"), F.lit(None).cast("string").alias("identifier"), F.col("s_year").alias("year"),
+        F.lit(None).cast("map<string,string>").alias("fields"), F.col("s_text").alias("text"), F.col("s_sha").alias("source_sha256"),
+    )
+    return views(spark, sf, "d_sidecars")["d_sidecars"].select("path", T.document_of(F.col("path")).alias("doc_path"), meta.alias("meta"))
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return search.attach_sidecars(files(spark, sf), sidecars(spark, sf)).withColumn("sha256", F.col("sha"))
+
+
+@query(f"WITH {F_SQL} SELECT id, parsed, coalesce(doctype, '-') AS doctype, {J.format('owners')} AS owners, coalesce(identifier, '-') AS identifier, coalesce(year, -1) AS year, coalesce(modifier, '-') AS modifier, ext FROM f")
+def grammar_parse(spark, sf):
+    d = views(spark, sf, "d_files")["d_files"].withColumn("doc", grammar.parse(CONFIG, F.col("name")))
+    return d.select("id", "doc.parsed", F.coalesce("doc.doctype", F.lit("-")).alias("doctype"), F.array_join("doc.owners", "|").alias("owners"), F.coalesce("doc.identifier", F.lit("-")).alias("identifier"), F.coalesce("doc.year", F.lit(-1)).alias("year"), F.coalesce("doc.modifier", F.lit("-")).alias("modifier"), "doc.ext")
+
+
+@query(f"WITH {F_SQL} SELECT id, coalesce({NAME}, '-') AS name, coalesce({FOLDER} || '/' || {NAME}, '-') AS path FROM f")
+def grammar_render_and_path(spark, sf):
+    d = files(spark, sf)
+    cat = CATALOG.category_of(F.col("doc.doctype"))
+    parts = [F.col(f"doc.{x}") for x in ("doctype", "owners", "identifier", "year", "modifier", "ext")]
+    return d.select("id", F.coalesce(grammar.render(CONFIG, *parts, cat), F.when(F.col("doc.parsed"), grammar.render(CONFIG, *parts, F.lit("legal"))), F.lit("-")).alias("name"), F.coalesce(grammar.path(CONFIG, *parts, cat), F.lit("-")).alias("path"))
+
+
+@query(f"WITH {F_SQL} SELECT id, {OWNER} AS folder FROM f WHERE parsed")
+def grammar_owner_folder(spark, sf):
+    return files(spark, sf).where("doc.parsed").select("id", grammar.owner_folder(CONFIG, F.col("doc.owners"), F.lit("identity")).alias("folder"))
+
+
+@query(f"SELECT id, coalesce({CATEGORY}, '-') AS category FROM d_files")
+def category_attribution(spark, sf):
+    return files(spark, sf).select("id", F.coalesce("category", F.lit("-")).alias("category"))
+
+
+SLUGS = "len(list_filter(e_owners, lambda o: trim(regexp_replace(lower(o), '[^a-z0-9]+', '-', 'g'), '-') = '{}')) > 0"
+FILTERS = {
+    "active": (Query(active=True), "list_contains(tags, 'active')"),
+    "two_tags": (Query(tags=("Active", " acme-corp ")), "list_has_all(tags, ['active', 'acme-corp'])"),
+    "doctype": (Query(doctype="Boarding Pass"), "coalesce(e_doctype = 'boarding-pass', false)"),
+    "person": (Query(person="NORA-field"), SLUGS.format("nora-field") + " OR list_contains(tags, 'nora-field') OR contains('/' || lower(rel_path) || '/', '/nora-field/')"),
+    "stranger": (Query(person="Stranger Person"), SLUGS.format("stranger-person") + " OR contains('/' || lower(rel_path) || '/', '/stranger-person/')"),
+    "company": (Query(company="Acme Corp"), "list_contains(tags, 'acme-corp') OR coalesce(identifier = 'Acme Corp', false)"),
+    "area": (Query(area="Tax"), "list_contains(tags, 'tax')"),
+    "year": (Query(period="FY1996"), "coalesce(e_year = 1996, false)"),
+    "month": (Query(period="1997-05"), "coalesce(e_year = 1997, false)"),
+    "text": (Query(text="DRAFT"), "contains(lower(name), 'draft')"),
+    "sidecar_text": (Query(text="urgent"), "coalesce(contains(lower(s_text), 'urgent'), false)"),
+    "several": (Query(person="Omar Field", doctype="receipt", active=True), "(" + SLUGS.format("omar-field") + " OR list_contains(tags, 'omar-field') OR contains('/' || lower(rel_path) || '/', '/omar-field/')) AND coalesce(e_doctype = 'receipt', false) AND list_contains(tags, 'active')"),
+    "empty": (Query(), "true"),
+}
+
+
+@query(f"WITH {D_SQL} SELECT id, " + ", ".join(f"({sql}) AS f_{k}" for k, (_, sql) in FILTERS.items()) + " FROM d")
+def find_filters(spark, sf):
+    return documents(spark, sf).select("id", *[q.column(CONFIG).alias(f"f_{k}") for k, (q, _) in FILTERS.items()])
+
+
+@query(f"WITH {D_SQL} SELECT rel_path, name, coalesce(category, '-') AS category, coalesce(e_doctype, '-') AS doctype, {J.format('e_owners')} AS owners, coalesce(e_year, -1) AS year, {J.format('tags')} AS tags, has_sidecar FROM d WHERE list_contains(tags, 'active')")
+def find_projection(spark, sf):
+    found = search.find(documents(spark, sf), Query(active=True), CONFIG)
+    return found.select("rel_path", "name", F.coalesce("category", F.lit("-")).alias("category"), F.coalesce("doctype", F.lit("-")).alias("doctype"), F.array_join("owners", "|").alias("owners"), F.coalesce("year", F.lit(-1)).alias("year"), F.array_join("tags", "|").alias("tags"), "has_sidecar")
+
+
+@query(f"WITH {D_SQL}, m AS (SELECT rel_path FROM d WHERE coalesce(e_doctype = 'passport', false)) SELECT rel_path, (SELECT count(*) FROM m) AS count FROM m ORDER BY rel_path LIMIT 20")
+def find_limit_with_count(spark, sf):
+    return search.find(documents(spark, sf), Query(doctype="passport"), CONFIG, limit=20).select("rel_path", "count")
+
+
+@query(f"WITH {D_SQL} SELECT id, id % 10 = 0 OR list_contains(tags, 'confidential') AS gated FROM d")
+def find_confidential_gate(spark, sf):
+    return files(spark, sf).select("id", search.gated(F.col("tags"), F.col("id") % 10 == 0, CONFIG).alias("gated"))
+
+
+@query("""SELECT id, CASE WHEN id % 5 = 0 THEN 'not absolute' WHEN id % 5 = 1 THEN 'outside the collection' WHEN id % 5 = 2 THEN 'reserved folder' WHEN id % 5 = 3 THEN 'a sidecar' ELSE '-' END AS fault FROM d_files""")
+def find_destination_guard(spark, sf):
+    path = F.element_at(F.array(F.col("rel_path"), F.concat(F.lit("/vault/../"), "rel_path"), F.concat(F.lit("/vault/manifests/"), "rel_path"), F.concat(F.lit("/vault/"), T.sidecar_path(F.col("rel_path"))), F.concat(F.lit("/vault/"), "rel_path")), (F.col("id") % 5 + 1).cast("int"))
+    return views(spark, sf, "d_files")["d_files"].select("id", F.coalesce(search.destination_fault(path, "/vault"), F.lit("-")).alias("fault"))
+
+
+@query("SELECT id, name FROM d_files WHERE id IN (1, 3, 4, 5, 9)")
+def find_select_by_index(spark, sf):
+    return search.select(views(spark, sf, "d_files")["d_files"], search.parse_selection("1,3-5,9", 100), "id").select("id", "name")
+
+
+# ---- joins
+
+
+@query(f"WITH {D_SQL} SELECT id, has_sidecar, coalesce(s_doctype, '-') AS s_doctype FROM d")
+def join_sidecars(spark, sf):
+    return documents(spark, sf).select("id", F.col("meta").isNotNull().alias("has_sidecar"), F.coalesce("meta.doctype", F.lit("-")).alias("s_doctype"))
+
+
+@query(r"SELECT path FROM d_sidecars WHERE regexp_replace(path, '\.([^/]+)\.meta\.yaml$', '\1') NOT IN (SELECT rel_path FROM d_files)")
+def join_orphan_sidecars(spark, sf):
+    return search.orphans(files(spark, sf), sidecars(spark, sf))
+
+
+@query("""SELECT rel_path, false AS evicted FROM d_files UNION ALL SELECT DISTINCT 'cloud/' || (id % 50) || '.pdf', true FROM d_files""")
+def join_placeholders(spark, sf):
+    d = views(spark, sf, "d_files")["d_files"]
+    here = F.when(F.col("id") % 2 == 0, F.concat(F.regexp_replace("rel_path", "([^/]+)$", r".$1.icloud"))).otherwise(F.concat(F.lit("cloud/."), (F.col("id") % 50).cast("string"), F.lit(".pdf.icloud")))
+    rest = F.concat(F.lit("cloud/."), (F.col("id") % 50).cast("string"), F.lit(".pdf.icloud"))
+    return search.with_placeholders(d.select("rel_path"), d.select(here.alias("path")).unionAll(d.select(rest.alias("path")))).select("rel_path", "evicted")
+
+
+@query(f"WITH {D_SQL}, p(label, a, b) AS (VALUES ('early', 1990, 1995), ('mid', 1995, 1997), ('late', 1997, 2003)) SELECT label, id FROM p JOIN d ON e_year < b AND a <= e_year")
+def join_periods(spark, sf):
+    periods = spark.sql("SELECT * FROM VALUES ('early', DATE '1990-01-01', DATE '1995-01-01'), ('mid', DATE '1995-01-01', DATE '1997-01-01'), ('late', DATE '1997-01-01', DATE '2003-01-01') AS p(label, first, to)")
+    first, to = CONFIG.calendar.range(search.effective("year"))
+    d = documents(spark, sf).select("id", first.alias("d_first"), to.alias("d_to"))
+    return d.join(F.broadcast(periods), (F.col("d_first") < F.col("to")) & (F.col("first") < F.col("d_to"))).select("label", "id")  # three periods
+
+
+# ---- aggregates
+
+
+_all = " UNION ALL ".join(f"SELECT '{c.name}' AS category" for c in CONFIG.categories)
+
+
+@query(f"WITH {F_SQL}, k AS ({_all}), n AS (SELECT coalesce(category, '{report.OUTSIDE}') AS category, count(*) AS n FROM f GROUP BY 1) SELECT category, coalesce(n, 0) AS n FROM k FULL JOIN n USING (category)")
+def report_categories(spark, sf):
+    return report.by_category(files(spark, sf), CONFIG)
+
+
+@query(f"WITH {F_SQL} SELECT coalesce(doctype, '{report.UNRECOGNISED}') AS doctype, coalesce(any_value(cat), '—') AS category, count(*) AS n FROM f GROUP BY 1")
+def report_doctypes(spark, sf):
+    return report.by_doctype(files(spark, sf), CATALOG)
+
+
+@query(f"WITH {D_SQL} SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM d WHERE has_sidecar) AS sidecars, (SELECT count(*) FROM d WHERE parsed) AS parsed, (SELECT count(DISTINCT category) FROM d) AS categories, (SELECT count(*) FROM d_sidecars WHERE regexp_replace(path, '\\.([^/]+)\\.meta\\.yaml$', '\\1') NOT IN (SELECT rel_path FROM d_files)) AS orphans")
+def report_totals(spark, sf):
+    return report.totals(documents(spark, sf), search.orphans(files(spark, sf), sidecars(spark, sf)))
+
+
+_types = ", ".join(f"('{t.name}', '{t.category}')" for t in CATALOG.types)
+
+
+@query(f"WITH {D_SQL}, t(doctype, category) AS (VALUES {_types}), n AS (SELECT e_doctype AS doctype, count(*) AS n FROM d GROUP BY 1) SELECT doctype, category, 'built-in' AS source, coalesce(n, 0) AS n FROM t LEFT JOIN n USING (doctype)")
+def report_filed_by_doctype(spark, sf):
+    return report.filed_by_doctype(documents(spark, sf), CATALOG, {t.name for t in C.built_in()})
+
+
+_kinds = ", ".join(f"('{t}', '{k}')" for t, k in sorted(G.explicit(CONFIG).items()))
+KIND = "CASE WHEN regexp_full_match(tag, 'fy(19[0-9]{2}|2[01][0-9]{2}|2200)') THEN 'fiscal-year' ELSE 'unknown' END"
+
+
+@query(f"WITH {D_SQL}, k(tag, kind) AS (VALUES {_kinds}), u AS (SELECT unnest(tags) AS tag FROM d0) SELECT tag, coalesce(any_value(kind), {KIND}) AS kind, count(*) AS n FROM u LEFT JOIN k USING (tag) GROUP BY tag")
+def report_tags_in_use(spark, sf):
+    return report.tags_in_use(files(spark, sf), CONFIG)
+
+
+# ---- tags
+
+
+@query(f"SELECT id, {J.format(TAGS)} AS tags FROM d_tags")
+def tags_normalize(spark, sf):
+    return files(spark, sf).select("id", F.array_join("tags", "|").alias("tags"))
+
+
+_listed = ", ".join(f"'{t}'" for t in sorted(G.explicit(CONFIG)))
+
+
+@query(f"WITH t AS (SELECT id, {TAGS} AS tags FROM d_tags) SELECT id, {J.format(f'list_filter(tags, lambda tag: tag IN ({_listed}) OR regexp_full_match(tag, $$fy(19[0-9]{{2}}|2[01][0-9]{{2}}|2200)$$))')} AS known, {J.format(f'list_filter(tags, lambda tag: NOT (tag IN ({_listed}) OR regexp_full_match(tag, $$fy(19[0-9]{{2}}|2[01][0-9]{{2}}|2200)$$)))')} AS unknown FROM t")
+def tags_vocabulary(spark, sf):
+    return files(spark, sf).select("id", F.array_join(G.known(CONFIG, F.col("tags")), "|").alias("known"), F.array_join(G.unknown(CONFIG, F.col("tags")), "|").alias("unknown"))
+
+
+@query(f"WITH t AS (SELECT id, {TAGS} AS tags FROM d_tags) SELECT id, {J.format('''list_sort(list_distinct(list_concat(list_filter(tags, lambda x: x NOT IN ('active', 'tax')), ['to-action', 'acme-corp'])))''')} AS after, {J.format('''list_sort(list_filter(['to-action', 'acme-corp'], lambda x: NOT list_contains(tags, x)))''')} AS added, {J.format('''list_sort(list_filter(['active', 'tax'], lambda x: list_contains(tags, x)))''')} AS removed, {J.format('''list_sort(list_distinct(list_append(list_filter(tags, lambda x: x <> 'active'), 'superseded')))''')} AS old FROM t")
+def tags_algebra(spark, sf):
+    add, remove, tags = F.array(F.lit("to-action"), F.lit("acme-corp")), F.array(F.lit("active"), F.lit("tax")), F.col("tags")
+    return files(spark, sf).select("id", F.array_join(G.apply(tags, add, remove), "|").alias("after"), F.array_join(G.added(tags, add), "|").alias("added"), F.array_join(G.removed(tags, remove), "|").alias("removed"), F.array_join(G.superseded(tags), "|").alias("old"))
+
+
+# ---- rules
+
+CANON = f"CASE WHEN parsed AND cat IS NOT NULL THEN {FOLDER} || '/' || {NAME} END"
+LIFE = "'active', 'superseded', 'encrypted', 'confidential', 'to-action', 'dont-touch'"
+
+
+@query(rf"""WITH {D_SQL}, c AS (SELECT *, {CANON} AS canonical FROM d),
+    w AS (SELECT rel_path, e_doctype, unnest(CASE WHEN len(e_owners) > 0 THEN e_owners ELSE [''] END) AS owner FROM d WHERE list_contains(tags, 'active') AND e_doctype = 'passport'), g AS (SELECT *, count(*) OVER (PARTITION BY e_doctype, {SLUG.format('owner')}) AS n FROM w)
+    SELECT 'name-grammar' AS rule, 'error' AS severity, rel_path AS path FROM c WHERE NOT parsed
+    UNION ALL SELECT 'unknown-doctype', 'warning', rel_path FROM c WHERE parsed AND cat IS NULL
+    UNION ALL SELECT 'name-normalization', 'warning', rel_path FROM c WHERE regexp_extract(canonical, '([^/]*)$', 1) <> name
+    UNION ALL SELECT 'wrong-folder', 'warning', rel_path FROM c WHERE regexp_extract(canonical, '^(.*)/', 1) <> regexp_extract(rel_path, '^(.*)/', 1)
+    UNION ALL SELECT 'unknown-tag', 'warning', rel_path FROM (SELECT rel_path, unnest(tags) AS tag FROM c) WHERE tag NOT IN ({_listed}) AND NOT regexp_full_match(tag, 'fy(19[0-9]{{2}}|2[01][0-9]{{2}}|2200)')
+    UNION ALL SELECT 'missing-lifecycle-tag', 'warning', rel_path FROM c WHERE NOT list_has_any(tags, [{LIFE}])
+    UNION ALL SELECT 'multiple-active', 'error', rel_path FROM g WHERE n > 1
+    UNION ALL SELECT 'password-in-filename', 'error', rel_path FROM c WHERE contains(name, 'password')
+    UNION ALL SELECT 'stale-sidecar', 'warning', rel_path FROM c WHERE has_sidecar AND s_sha <> sha
+    UNION ALL SELECT 'unfiled', 'warning', rel_path FROM c WHERE category IS NULL
+    UNION ALL SELECT 'orphan-sidecar', 'info', path FROM d_sidecars WHERE regexp_replace(path, '\.([^/]+)\.meta\.yaml$', '\1') NOT IN (SELECT rel_path FROM d_files)""")
+def lint_findings(spark, sf):
+    found = lint.findings(documents(spark, sf), search.orphans(files(spark, sf), sidecars(spark, sf)), CONFIG, CATALOG)
+    return found.select("rule", "severity", "path")
+
+
+@query(f"WITH {D_SQL}, c AS (SELECT *, {CANON} AS canonical FROM d) SELECT path, move_to FROM (SELECT *, count(*) OVER (PARTITION BY move_to) AS k FROM (SELECT DISTINCT rel_path AS path, canonical AS move_to FROM c WHERE canonical <> rel_path)) WHERE k = 1")
+def lint_fixes(spark, sf):
+    d = documents(spark, sf).dropDuplicates(["rel_path"])
+    found = lint.findings(d, search.orphans(files(spark, sf), sidecars(spark, sf)), CONFIG, CATALOG)
+    return lint.fixes(found.where("rule in ('wrong-folder', 'name-normalization')"))
