@@ -1,0 +1,96 @@
+"""Queries over plans: proposals, moves and what came of them; and recognised text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import ocr
+from ..functions import tags as G
+from ..operators import catalog as C
+from ..operators import infer, plan
+from .derived import CONFIG, views
+from .registry import query
+
+CATALOG = C.Catalog.of(CONFIG)
+
+PROPOSED = """p AS (SELECT id, 'inbox/scan ' || id || '.pdf' AS path, day, text, id % 5 AS k FROM d_texts), q AS (SELECT *, CASE k WHEN 0 THEN 'invoice' WHEN 1 THEN 'receipt' WHEN 2 THEN 'statement' WHEN 3 THEN 'passport' ELSE 'unclassified' END AS doctype,
+    CASE k WHEN 1 THEN ['Nora Field'] WHEN 3 THEN CASE WHEN contains(text, 'IRIS') THEN ['Iris Vane'] END WHEN 4 THEN ['Omar Field'] END AS owners, CASE WHEN k < 2 THEN year(day) ELSE 2020 END AS year,
+    CASE k WHEN 0 THEN 'INV-' || id WHEN 1 THEN 'RCT-' || id WHEN 2 THEN regexp_extract(text, 'ACC[0-9]+') WHEN 3 THEN 'X' || (1000000 + id) END AS identifier FROM p)"""
+
+
+@query(f"""WITH {PROPOSED} SELECT path, doctype, year::INTEGER AS year, coalesce(array_to_string(owners, '|'), '') AS owners,
+    CASE k WHEN 0 THEN 'Financial/_Shared/FY ' || year || '/Invoice_Shared_' || identifier || '_' || year || '.pdf' WHEN 1 THEN 'Financial/Nora-Field/FY ' || year || '/Receipt_Nora-Field_' || identifier || '_' || year || '.pdf'
+    WHEN 2 THEN 'Financial/_Shared/FY 2020/Statement_Shared_' || identifier || '_2020.pdf' WHEN 3 THEN 'Identity/Iris-Vane/Passport_Iris-Vane_' || identifier || '_2020.pdf' ELSE '-' END AS destination,
+    k >= 2 OR k = 3 AS guessed FROM q""")
+def plan_proposals(spark, sf):
+    t = views(spark, sf, "d_texts")["d_texts"]
+    files = t.select(F.concat(F.lit("inbox/scan "), F.col("id").cast("string"), F.lit(".pdf")).alias("path"), "text", F.lit("2020-05-05").cast("timestamp").alias("modified"))
+    found = plan.proposals(files, CONFIG, CATALOG)
+    return found.select("path", "doctype", "year", F.array_join("owners", "|").alias("owners"), F.coalesce("destination", F.lit("-")).alias("destination"), "guessed")
+
+
+@query("""SELECT id, CASE id % 3 WHEN 0 THEN 'active|fy' || y || '|nora-field' WHEN 1 THEN 'acme-corp|active|fy' || y ELSE 'active|fy' || y || '|iris-vane|omar-field' END AS tags FROM (SELECT id, year(day) AS y FROM d_texts)""")
+def plan_tags(spark, sf):
+    owners = F.element_at(F.array(F.array(F.lit("Nora Field")), F.array().cast("array<string>"), F.array(F.lit("Omar Field"), F.lit("Iris Vane"))), (F.col("id") % 3 + 1).cast("int"))
+    tags = G.proposed(CONFIG, owners, F.year("day"), F.when(F.col("id") % 3 == 1, "Acme Corp").otherwise("nobody knows"))
+    return views(spark, sf, "d_texts")["d_texts"].select("id", F.array_join(tags, "|").alias("tags"))
+
+
+@query("""WITH m AS (SELECT lpad(id::VARCHAR, 9, '0') AS source, 'out/' || (id % 400) || '.txt' AS destination, (id % 1600)::VARCHAR AS sha FROM d_files), t AS (SELECT 'out/' || k || '.txt' AS destination, k::VARCHAR AS there FROM range(0, 100) r(k)),
+    a AS (SELECT m.*, there, row_number() OVER (PARTITION BY m.destination, sha ORDER BY source) > 1 OR coalesce(there = sha, false) AS skip FROM m LEFT JOIN t USING (destination)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY destination, skip ORDER BY source) + (there IS NOT NULL)::INTEGER AS k FROM a)
+    SELECT source, CASE WHEN skip OR k <= 1 THEN destination ELSE replace(destination, '.txt', '_' || (k + CASE WHEN split_part(split_part(destination, '/', 2), '.', 1)::INTEGER = 7 THEN 1 ELSE 0 END) || '.txt') END AS destination, CASE WHEN skip THEN 'skip' ELSE 'move' END AS action FROM b""")
+def plan_moves(spark, sf):
+    d = views(spark, sf, "d_files")["d_files"]
+    moves = d.select(F.lpad(F.col("id").cast("string"), 9, "0").alias("source"), F.concat(F.lit("out/"), (F.col("id") % 400).cast("string"), F.lit(".txt")).alias("destination"), (F.col("id") % 1600).cast("string").alias("sha256"))
+    taken = spark.range(100).select(F.concat(F.lit("out/"), F.col("id").cast("string"), F.lit(".txt")).alias("path"), F.col("id").cast("string").alias("sha256"))
+    taken = taken.unionAll(spark.createDataFrame([("out/7_2.txt", "other")], "path string, sha256 string"))
+    return plan.planned(moves, taken)
+
+
+@query("SELECT rel_path AS path, row_number() OVER (ORDER BY rel_path) AS index FROM (SELECT DISTINCT rel_path FROM d_files)")
+def plan_numbers(spark, sf):
+    rows = views(spark, sf, "d_files")["d_files"].select(F.col("rel_path").alias("path")).distinct()
+    return plan.numbered(rows).select("path", "index")
+
+
+@query("SELECT 'now/' || id AS current_path, rel_path AS original_path FROM d_files WHERE id % 3 <> 0")
+def plan_unreversed(spark, sf):
+    d = views(spark, sf, "d_files")["d_files"].select(F.concat(F.lit("now/"), F.col("id").cast("string")).alias("current_path"), F.col("rel_path").alias("original_path"), "id")
+    return plan.unreversed(d, d.where("id % 3 = 0")).select("current_path", "original_path")
+
+
+@query("SELECT id AS line, name FROM d_files ORDER BY id DESC LIMIT 25")
+def plan_audit_tail(spark, sf):
+    return plan.tail(views(spark, sf, "d_files")["d_files"].select(F.col("id").alias("line"), "name"), 25)
+
+
+_names = ", ".join(f"('{n}')" for n in CATALOG.names)
+
+
+@query(f"""WITH w AS (SELECT DISTINCT replace(lower(p_type), ' ', '-') AS word FROM part), n(name) AS (VALUES {_names}), s AS (SELECT word, name, CASE WHEN word = name THEN 0 WHEN contains(name, word) OR contains(word, name) THEN 1 ELSE 2 + levenshtein(word, name) END AS far FROM w, n)
+    SELECT word, name, rank FROM (SELECT word, name, row_number() OVER (PARTITION BY word ORDER BY far, name) AS rank FROM s) WHERE rank <= 3""")
+def plan_nearest_types(spark, sf):
+    words = spark.read.parquet(f"{sf}/part.parquet").select(F.regexp_replace(F.lower("p_type"), " ", "-").alias("word"))
+    return plan.suggestions(words, spark.createDataFrame([(n,) for n in CATALOG.names], "name string"))
+
+
+@query("""SELECT id, 'INV-' || id AS number, CASE WHEN id % 2 = 0 THEN cust::VARCHAR ELSE '-' END AS seller, CASE WHEN id % 2 = 0 THEN 'number:superseded' ELSE 'number:superseded|seller:ungrounded' END AS dropped FROM d_texts WHERE id % 5 = 0""")
+def infer_merged_fields(spark, sf):
+    t = views(spark, sf, "d_texts")["d_texts"].where("id % 5 = 0")
+    sure = F.create_map(F.lit("number"), F.concat(F.lit("INV-"), F.col("id").cast("string")))
+    text = F.concat("text", F.lit(" by "), F.col("cust").cast("string"), F.lit(" "))
+    model = F.create_map(F.lit("number"), F.lit("guess"), F.lit("seller"), F.when(F.col("id") % 2 == 0, F.col("cust").cast("string")).otherwise("Nobody Knows Ltd"))
+    merged, dropped = infer.merged(sure, model, text)
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries(dropped), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), "|")
+    return t.select("id", F.try_element_at(merged, F.lit("number")).alias("number"), F.coalesce(F.try_element_at(merged, F.lit("seller")), F.lit("-")).alias("seller"), shown.alias("dropped"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN '-' ELSE string_agg(trim(l_returnflag || '-' || l_linenumber), chr(10) ORDER BY l_linenumber % 3, l_quantity, l_linenumber) END AS text,
+    CASE WHEN o_orderkey % 10 = 0 THEN -1 ELSE round(avg(l_discount), 9) END AS confidence, CASE WHEN o_orderkey % 10 = 0 THEN -1 ELSE max(l_linenumber % 3) END AS pages FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def ocr_assembly(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    block = F.struct(F.concat(F.lit(" "), "l_returnflag", F.lit("-"), F.col("l_linenumber").cast("string")).alias("text"), F.array(F.col("l_linenumber").cast("double"), "l_quantity").alias("bbox"), F.col("l_discount").alias("confidence"), (F.col("l_linenumber") % 3).alias("page"))
+    answers = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_json(F.struct(F.when(F.col("o_orderkey") % 10 == 0, 2).otherwise(1).alias("contract"), F.collect_list(block).alias("blocks"))).alias("json"))
+    a = answers.withColumn("a", ocr.parsed(F.col("json")))
+    return a.select("o_orderkey", F.coalesce(ocr.text(F.col("a")), F.lit("-")).alias("text"), F.coalesce(F.round(F.when(F.col("a").isNotNull(), ocr.mean_confidence(F.col("a"))), 9), F.lit(-1)).alias("confidence"), F.coalesce(ocr.pages(F.col("a")), F.lit(-1)).alias("pages"))
