@@ -34,7 +34,7 @@ from .bpe import texts_of
 from .components import components
 
 EMPTY = pa.record_batch([pa.array([], pa.int64())] * 3, names=["node", "rep", "own"])
-TREES, LEAF, DEPTH = 10, 128, 8
+TREES, LEAF, DEPTH = 10, 512, 8
 SLACK = 0.06  # a pair is likely if its bins say so much less than asked for; 5 standard deviations at least
 
 
@@ -185,12 +185,12 @@ def in_blocks(members: DataFrame, leaf: int) -> DataFrame:
     return members.select(F.xxhash64("node", F.lit("block"), block).alias("node"), "rep")
 
 
-def with_main(members: DataFrame, own: DataFrame) -> DataFrame:
-    """Adds to members of large nodes their component, the node's largest one (main) and how many others there are (others). Counts only, so no node is gathered."""
-    rows = with_own(members, own)
+def with_main(members: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of large nodes that hold different components, with their own one, the node's largest (main) and how many are in others. Counts only, so no node is gathered."""
+    rows = scratch.write(with_own(members, own), "own")
     sizes = rows.groupBy("node", "own").agg(F.count("*").alias("c"))
     nodes = sizes.groupBy("node").agg(F.max(F.struct("c", "own")).alias("m"), F.sum("c").alias("all"))
-    return rows.join(nodes.select("node", F.col("m.own").alias("main"), (F.col("all") - F.col("m.c")).alias("others")), "node")
+    return rows.join(nodes.select("node", F.col("m.own").alias("main"), (F.col("all") - F.col("m.c")).alias("others")).where("others > 0"), "node")
 
 
 def against_all(rows: DataFrame, leaf: int) -> DataFrame:
@@ -259,16 +259,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     small, large = members.where(F.col("n") <= leaf), members.where(F.col("n") > leaf)
     connect(small.select("node", "rep").unionAll(in_blocks(large, leaf)), stars(large, wide, least))
-    leaves, frontier = [], undecided(large, own)
+    leaves, frontier = [], large
     for level in range(depth + 1):
-        frontier = scratch.write(with_main(frontier, own), "large")
+        frontier = scratch.write(with_main(frontier, own, scratch), "large")
         if frontier.isEmpty():
             break
         ends = F.lit(level == depth) | (F.col("others") <= leaf)
         leaves.append(against_all(frontier.where(ends), leaf))
         grown = scratch.write(gathered(branches(frontier.where(~ends).join(near.select("rep", "sketch"), "rep"), similarity), scratch), "members")
         leaves.append(undecided(grown.where(F.col("n") <= leaf), own).select("node", "rep"))
-        frontier = undecided(grown.where(F.col("n") > leaf), own)
+        frontier = grown.where(F.col("n") > leaf)
     if leaves:
         connect(union(leaves))
 
