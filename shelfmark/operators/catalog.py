@@ -8,7 +8,7 @@ least(0.95, w/(w+3) * (0.5 + 0.5 * (w - runner-up)/w)), in doubles.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,7 +40,7 @@ class Catalog:
     def of(config: Config, path: str = DEFAULT) -> Catalog:
         """Built-in types whose category exists, and the configured ones, which replace those of the same name."""
         known = {c.name for c in config.categories}
-        types = {t.name: t for t in built_in(path) if t.category in known} | {slug(t.name): t for t in config.doctypes}
+        types = {t.name: t for t in built_in(path) if t.category in known} | {slug(t.name): replace(t, name=slug(t.name)) for t in config.doctypes}
         return Catalog(tuple(types[k] for k in sorted(types)))
 
     @property
