@@ -78,3 +78,18 @@ class Scratch:
     def release(self) -> None:
         """Lets the driver's collector find what no plan needs any more, so that executors may delete its shuffle files."""
         self.spark.sparkContext._jvm.System.gc()
+
+
+def trim_memory() -> None:
+    """Returns memory that Python no longer uses to the system, after work that held much of it on the driver."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
