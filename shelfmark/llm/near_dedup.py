@@ -269,6 +269,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         grown = scratch.write(gathered(branches(frontier.where(~ends).join(near.select("rep", "sketch"), "rep"), similarity), scratch), "members")
         leaves.append(undecided(grown.where(F.col("n") <= leaf), own).select("node", "rep"))
         frontier = grown.where(F.col("n") > leaf)
+        scratch.release()
     if leaves:
         connect(union(leaves))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from ..runtime import ship
+from ..runtime import ship, trim_memory
 from .bpe import texts_of
 
 BITS = 18
@@ -116,7 +116,7 @@ def training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
     found = rows.mapInArrow(run, StructType([rows.schema["id"], rows.schema["label"], StructField("f", BinaryType())]))
     found = found.groupBy("id").agg(F.max("label").alias("label"), F.min("f").alias("f")).toArrow().sort_by([("label", "ascending"), ("id", "ascending")])
-    return [np.frombuffer(x.as_py(), np.int32) for x in found.column("f")], found.column("label").to_numpy().astype(float)
+    return [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("f")], found.column("label").to_numpy().astype(float)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,8 +138,9 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted."""
     ship(docs.sparkSession)
-    features, marks = training(docs, labels, id_col, text_col, label_col, per_class)
-    scored = score(docs, *fit(features, marks), id_col, text_col)
+    weights, bias = fit(*training(docs, labels, id_col, text_col, label_col, per_class))
+    trim_memory()
+    scored = score(docs, weights, bias, id_col, text_col)
     return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -147,6 +148,7 @@ def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The rows, with all their columns, whose score is below the threshold."""
     ship(docs.sparkSession)
     weights, bias = fit(*training(docs, labels, id_col, text_col, label_col, per_class))
+    trim_memory()
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))  # 4 << BITS bytes
     least = math.log(threshold / (1 - threshold))
 
