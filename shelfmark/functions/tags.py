@@ -87,4 +87,9 @@ def proposed(config: Config, owners: Column, year: Column, identifier: Column) -
     return normalize(known(config, F.filter(tags, lambda t: t.isNotNull())))
 
 
-__all__ = ["added", "apply", "explicit", "has", "kind", "known", "normalize", "of_kind", "proposed", "removed", "slug", "superseded", "superseding", "unknown", "vocabulary"]
+def resulting(config: Config, before: Column, new: Column) -> Column:
+    """Tags after filing: those of before that the vocabulary knows, and the new ones."""
+    return normalize(F.array_union(known(config, normalize(before)), new))
+
+
+__all__ = ["added", "apply", "explicit", "has", "kind", "known", "normalize", "of_kind", "proposed", "removed", "resulting", "slug", "superseded", "superseding", "unknown", "vocabulary"]

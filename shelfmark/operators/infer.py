@@ -67,12 +67,12 @@ def merged(sure: Column, model: Column, text: Column) -> tuple[Column, Column]:
 
     Returns the merged map, and a map of what was dropped to why.
     """
-    from ..functions.ground import grounded
+    from ..functions.ground import grounded, words
 
     empty = F.create_map().cast("map<string,string>")
     sure, model = F.coalesce(sure, empty), F.coalesce(model, empty)
     fresh = F.map_filter(model, lambda k, v: ~F.map_contains_key(sure, k))
     good = F.map_filter(fresh, lambda k, v: grounded(text, v))
     bad = F.map_filter(fresh, lambda k, v: ~grounded(text, v))
-    other = F.map_filter(model, lambda k, v: F.coalesce(F.lower(F.trim(F.try_element_at(sure, k))) != F.lower(F.trim(v)), F.lit(False)))
+    other = F.map_filter(model, lambda k, v: F.coalesce(words(F.try_element_at(sure, k)) != words(v), F.lit(False)))
     return F.map_concat(sure, good), F.map_concat(F.transform_values(other, lambda k, v: F.lit("superseded")), F.transform_values(bad, lambda k, v: F.lit("ungrounded")))

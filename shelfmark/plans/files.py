@@ -221,6 +221,11 @@ def tags_algebra(spark, sf):
     return files(spark, sf).select("id", F.array_join(G.apply(tags, add, remove), "|").alias("after"), F.array_join(G.added(tags, add), "|").alias("added"), F.array_join(G.removed(tags, remove), "|").alias("removed"), F.array_join(G.superseded(tags), "|").alias("old"))
 
 
+@query(f"WITH t AS (SELECT id, {TAGS} AS tags FROM d_tags) SELECT id, {J.format(f'list_sort(list_distinct(list_append(list_filter(tags, lambda tag: tag IN ({_listed}) OR regexp_full_match(tag, $$fy(19[0-9]{{2}}|2[01][0-9]{{2}}|2200)$$)), $$iris-vane$$)))')} AS tags FROM t")
+def tags_resulting(spark, sf):
+    return files(spark, sf).select("id", F.array_join(G.resulting(CONFIG, F.col("tags"), F.array(F.lit("iris-vane"))), "|").alias("tags"))
+
+
 # ---- rules
 
 CANON = f"CASE WHEN parsed AND cat IS NOT NULL THEN {FOLDER} || '/' || {NAME} END"

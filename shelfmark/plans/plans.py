@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ocr
+from ..functions import model, ocr
 from ..functions import tags as G
 from ..operators import catalog as C
 from ..operators import infer, plan
@@ -94,3 +94,32 @@ def ocr_assembly(spark, sf):
     answers = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_json(F.struct(F.when(F.col("o_orderkey") % 10 == 0, 2).otherwise(1).alias("contract"), F.collect_list(block).alias("blocks"))).alias("json"))
     a = answers.withColumn("a", ocr.parsed(F.col("json")))
     return a.select("o_orderkey", F.coalesce(ocr.text(F.col("a")), F.lit("-")).alias("text"), F.coalesce(F.round(F.when(F.col("a").isNotNull(), ocr.mean_confidence(F.col("a"))), 9), F.lit(-1)).alias("confidence"), F.coalesce(ocr.pages(F.col("a")), F.lit(-1)).alias("pages"))
+
+
+REPLIES = """CASE id % 8 WHEN 0 THEN '{"contract":1,"doctype":"Invoice","category":"travel","confidence":' || cast(id % 100 / 50.0 AS string) || '}' WHEN 1 THEN '{"contract":2,"doctype":"invoice","confidence":0.9}' WHEN 2 THEN '{"contract":1,"doctype":" ","confidence":0.9}'
+    WHEN 3 THEN '{"error":"no_model","message":"x"}' WHEN 4 THEN 'oops' WHEN 5 THEN '{"contract":1,"doctype":"made-up","confidence":0.9}' WHEN 6 THEN '{"contract":1,"doctype":"boarding pass","confidence":0.5}' ELSE '{"contract":1,"doctype":"nda","confidence":0.3}' END"""
+
+
+@query("""SELECT id, CASE id % 8 WHEN 1 THEN 'unsupported_contract' WHEN 2 THEN 'bad_response' WHEN 3 THEN 'no_model' WHEN 4 THEN 'bad_response' ELSE '-' END AS fault,
+    CASE WHEN id % 8 = 0 AND id % 100 >= 25 THEN 'invoice' WHEN id % 8 = 6 THEN 'boarding-pass' ELSE 'receipt' END AS doctype, CASE WHEN id % 8 = 0 AND id % 100 >= 25 THEN 'financial' WHEN id % 8 = 6 THEN 'travel' ELSE 'financial' END AS category,
+    CASE WHEN id % 8 = 0 AND id % 100 >= 25 THEN least((id % 100) / 50.0::DOUBLE, 1.0::DOUBLE) WHEN id % 8 = 6 THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END AS confidence, CASE WHEN id % 8 = 0 AND id % 100 >= 25 OR id % 8 = 6 THEN 'model' ELSE 'rules' END AS tier FROM d_files""")
+def model_replies(spark, sf):
+    rules = F.struct(F.lit("receipt").alias("doctype"), F.lit("financial").alias("category"), F.lit(0.4).alias("confidence"))
+    d = views(spark, sf, "d_files")["d_files"].withColumn("json", F.expr(REPLIES))
+    d = d.withColumn("c", model.chosen(model.validated(F.col("json"), CATALOG, 0.5), rules))
+    return d.select("id", F.coalesce(model.fault(F.col("json")), F.lit("-")).alias("fault"), "c.doctype", "c.category", "c.confidence", "c.tier")
+
+
+@query(r"""SELECT id, CASE id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false ELSE false END AS local, 'qwen' || id AS model, CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN id % 9 ELSE 0 END AS pages, greatest(id % 4, 1) AS feeds FROM d_files""")
+def model_names_and_pages(spark, sf):
+    d = views(spark, sf, "d_files")["d_files"]
+    pick = lambda *xs: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), (F.col("id") % len(xs) + 1).cast("int"))
+    endpoint = pick("", "http://localhost:11434/api", "http://0.0.0.0:1", "https://u:p@[::1]:80/x?y", "http://example.org#localhost", "http://localhost.example.org")
+    info = pick("Title: x", F.concat(F.lit("Producer: y\nPages:   "), (F.col("id") % 9).cast("string"), F.lit("\nSize: 1")), "Pages: many")
+    feeds = F.concat(F.lit("text"), F.repeat(F.lit("\f"), (F.col("id") % 4).cast("int")))
+    return d.select("id", model.is_local(endpoint).alias("local"), model.normalized_model(F.concat(F.lit(" hub/org/Qwen"), F.col("id").cast("string"), F.lit(":3b "))).alias("model"), model.info_pages(info).alias("pages"), model.form_feed_pages(feeds).cast("long").alias("feeds"))
+
+
+@query(r"""SELECT id, 'kMDItemUserTags == "' || lower(replace(name, chr(39), '')) || '"c' AS expression FROM d_files""")
+def desktop_tag_query(spark, sf):
+    return views(spark, sf, "d_files")["d_files"].select("id", model.tag_query(F.lower("name")).alias("expression"))

@@ -173,3 +173,24 @@ def test_selection():
     for bad in ("", "0", "6", "3-1", "1,1", "1,2-3,3", "all,1", "-1", "+1", "1-2-3", "x"):
         with pytest.raises(ValueError):
             search.parse_selection(bad, 5)
+
+
+def test_command_line(spark, tree, capsys):
+    import json
+
+    from shelfmark.__main__ import main
+
+    assert main(["find", "--root", str(tree), "--person", "Nora Field", "--limit", "2"]) == 0
+    said = json.loads(capsys.readouterr().out)
+    assert said["count"] == 3 and len(said["documents"]) == 2 and said["truncated"] and said["schema_version"] == 1
+    assert main(["lint", "--root", str(tree)]) == 4
+    assert json.loads(capsys.readouterr().out)["error"] == 2  # old notes, and a file that lies elsewhere
+    (tree / "Inbox").mkdir()
+    (tree / "Inbox/a.txt").write_text("TAX INVOICE\nInvoice Number: INV-9\nBill To: Omar Field\nDate: 12/03/2024\n")
+    assert main(["ingest", "--root", str(tree)]) == 3
+    assert json.loads(capsys.readouterr().out)["proposals"][0]["destination"] == "Financial/Omar-Field/FY 2024/Invoice_Omar-Field_INV-9_2024.txt"
+    assert main(["ingest", "--root", str(tree), "--yes"]) == 0
+    manifest = json.loads(capsys.readouterr().out)["manifest"]
+    assert main(["rollback", "--root", str(tree), "--manifest", manifest]) == 0 and (tree / "Inbox/a.txt").exists()
+    assert main(["log", "--root", str(tree), "--limit", "1"]) == 0 and json.loads(capsys.readouterr().out.split("\n}\n")[-2] + "\n}")["data"][0]["op"] == "rollback"
+    assert main(["index", "--root", str(tree)]) == 0 and (tree / "INDEX.md").read_text().startswith("# ")
