@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -50,7 +52,9 @@ def scratch_root(spark: SparkSession) -> str:
         return named
     own = getattr(scratch_root, "own", None)
     if own is None:
-        own = scratch_root.own = "file://" + tempfile.mkdtemp(prefix="shelfmark-scratch-")
+        folder = tempfile.mkdtemp(prefix="shelfmark-scratch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = scratch_root.own = "file://" + folder
     return own
 
 
