@@ -34,7 +34,7 @@ from .bpe import texts_of
 from .components import components
 
 EMPTY = pa.record_batch([pa.array([], pa.int64())] * 3, names=["node", "rep", "own"])
-TREES, LEAF, DEPTH = 8, 512, 8  # a pair at the threshold meets in a small node of some tree with 0.9999 or more: of one tree with 0.87 at depth 1, 0.68 at depth 3
+TREES, LEAF, DEPTH = 8, 1024, 8  # a pair at the threshold meets in a small node of some tree with 0.9999 or more: of one tree with 0.87 at depth 1, 0.68 at depth 3
 SLACK = 0.06  # a pair is likely if its bins say so much less than asked for; 5 standard deviations at least
 
 
@@ -180,9 +180,9 @@ def undecided(members: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, leaf: int) -> DataFrame:
-    """Large nodes dealt out to small ones by a hash, each member to one."""
+    """A quarter of the large nodes dealt out to small ones by a hash, each member to one. Dense groups stand in many nodes and connect by these; whatever is left is compared later."""
     block = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / leaf))
-    return members.select(F.xxhash64("node", F.lit("block"), block).alias("node"), "rep")
+    return members.where(F.pmod("node", F.lit(4)) == 0).select(F.xxhash64("node", F.lit("block"), block).alias("node"), "rep")
 
 
 def with_main(members: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
