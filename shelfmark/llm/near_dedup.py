@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from .bpe import texts_of
 from .components import components
 
 EMPTY = pa.record_batch([pa.array([], pa.int64())] * 3, names=["node", "rep", "own"])
-TREES, LEAF, DEPTH = 8, 1024, 8  # a pair at the threshold meets in a small node of some tree with 0.9999 or more: of one tree with 0.87 at depth 1, 0.68 at depth 3
+LEAF, DEPTH = 1024, 8
+MISS = 1e-4  # how many of the pairs at the threshold may meet in no tree, where nodes branch to the deepest level
 SLACK = 0.06  # a pair is likely if its bins say so much less than asked for; 5 standard deviations at least
 
 
@@ -68,6 +70,26 @@ def gathered(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return filters.known(rows, "node", filters.build(nodes, "node")).join(nodes, "node").select("node", "rep", "n", "lead")
 
 
+def meets(similarity: float, level: int, agree: float | None = None) -> float:
+    """How likely a pair stays together in some node of one tree that many levels down, if `agree` of its sketch's positions are equal (all that is asked for, by default)."""
+    agree, second, lost = similarity if agree is None else agree, 1 / similarity - 1, 0.0
+    for _ in range(level):
+        line = 1 - agree + agree * lost
+        lost = (1 - second) * line + second * line * line
+    return 1 - lost
+
+
+def missed(similarity: float, level: int, trees: int) -> float:
+    """How many pairs at the threshold meet in none of the trees, over the spread of what one sketch, which all trees share, says of them."""
+    n = shingles.SKETCH
+    return sum(comb(n, k) * similarity**k * (1 - similarity) ** (n - k) * (1 - meets(similarity, level, k / n)) ** trees for k in range(n + 1))
+
+
+def trees_for(similarity: float, depth: int = DEPTH) -> int:
+    """The trees of which a pair at the threshold meets in one with 1 - MISS at the deepest level, depth + 1."""
+    return 1 if similarity >= 1 else ceil(log(MISS) / log(1 - meets(similarity, depth + 1)))
+
+
 def stars(members: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Likely pairs of each member of a large node with its first one."""
     pairs = members.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
@@ -222,11 +244,12 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, trees: int | None = None, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept. The trees follow from the similarity and the depth, unless given."""
     ship(docs.sparkSession)
     scratch, similarity = Scratch(docs.sparkSession), percent / 100
     least = max(0.0, similarity - SLACK)
+    trees = trees or trees_for(similarity, depth)
     every = scratch.write(sketches(docs, id_col, text_col), "sketches")
     some = every.where("set_key is not null and doc_id is not null")
     reps = scratch.write(some.groupBy("set_key").agg(F.min(F.struct("doc_id", "sketch")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch")), "reps")

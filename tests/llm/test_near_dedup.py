@@ -5,7 +5,7 @@ import pytest
 
 from shelfmark.llm import shingles
 from shelfmark.llm.components import components
-from shelfmark.llm.near_dedup import near_dedup
+from shelfmark.llm.near_dedup import DEPTH, MISS, meets, missed, near_dedup, trees_for
 from shelfmark.runtime import Scratch
 
 
@@ -104,3 +104,26 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(1, 200)] + [(500, 900), (900, 501), (7, 7), (3000, 3001), (3001, 3000)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
     assert got == {i: 1 for i in range(2, 201)} | {501: 500, 900: 500, 3001: 3000}
+
+
+def test_recall_with_a_shared_passage(spark):
+    """Production parameters: all documents share a passage (unlike ones have 0.75 in common), so nodes are large; each two are linked with 0.852, just more than asked for."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    passage, rows = [word() for _ in range(176)], []
+    for k in range(2000):
+        head = [word() for _ in range(12)]
+        rows += [(2 * k + m, " ".join(passage + head + [word() for _ in range(16)])) for m in (0, 1)]
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=85).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}  # eight trees missed 6 pairs, ten missed 3
+
+
+def test_trees_for_the_deepest_level():
+    for percent in (60, 80, 85, 95):
+        s, rng = percent / 100, np.random.default_rng(percent)
+        lines = np.ones(20000, np.int64)  # the nodes of one tree in which a pair is together, by level
+        for _ in range(DEPTH + 1):
+            lines = rng.binomial(lines + rng.binomial(lines, 1 / s - 1), s)
+        assert abs((lines > 0).mean() - meets(s, DEPTH + 1)) < 0.02
+        assert (1 - meets(s, DEPTH + 1)) ** trees_for(s) <= MISS
+    assert trees_for(1.0) == 1 and missed(0.85, 9, 8) > 5 * missed(0.85, 9, trees_for(0.85))
