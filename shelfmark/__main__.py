@@ -66,7 +66,7 @@ def main(args: list[str]) -> int:
         code = 4 if said["error"] else 0
     elif a.command == "index":
         docs, orphans = collection(spark, root, cfg)
-        records.replace(path := os.path.join(root, "INDEX.md"), report.index_text(docs, orphans, cfg, catalog, os.path.basename(root)).encode())
+        records.replace(path := os.path.join(root, "INDEX.md"), ((line + "\n").encode() for line in report.index_lines(docs, orphans, cfg, catalog, os.path.basename(root))))
         said = {"path": path}
     elif a.command == "doctypes":
         said = rows(report.filed_by_doctype(collection(spark, root, cfg)[0], catalog, {t.name for t in C.built_in()}).orderBy("doctype"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,14 +49,19 @@ def tags_in_use(documents: DataFrame, config: Config) -> DataFrame:
     return counted.join(F.broadcast(G.vocabulary(documents.sparkSession, config)), "tag", "left").select("tag", F.coalesce("kind", F.lit("unknown")).alias("kind"), "n")
 
 
-def index_text(documents: DataFrame, orphans: DataFrame, config: Config, catalog: Catalog, title: str) -> str:
-    """The index as Markdown; equal collections give equal bytes. Its tables are as large as the configuration."""
+def index_lines(documents: DataFrame, orphans: DataFrame, config: Config, catalog: Catalog, title: str) -> Iterator[str]:
+    """The lines of the index as Markdown. Its tables are as large as the configuration, but for that of the tags, which has every tag and comes a part at a time."""
     t = totals(documents, orphans).first()
-    lines = [f"# {title}", "", f"{t.documents} documents, {t.sidecars} with a sidecar, {t.parsed} with a parsed name, {t.orphans} orphan sidecars.", "", "| category | documents |", "|---|---|"]
+    yield from [f"# {title}", "", f"{t.documents} documents, {t.sidecars} with a sidecar, {t.parsed} with a parsed name, {t.orphans} orphan sidecars.", "", "| category | documents |", "|---|---|"]
     rows = {r.category: r.n for r in by_category(documents, config).collect()}
-    lines += [f"| {k} | {rows[k]} |" for k in sorted(rows, key=lambda k: (k == OUTSIDE, k))]
-    lines += ["", "| type | category | documents |", "|---|---|---|"]
-    lines += [f"| {r.doctype} | {r.category} | {r.n} |" for r in sorted(by_doctype(documents, catalog).collect(), key=lambda r: r.doctype)]
-    lines += ["", "| tag | kind | documents |", "|---|---|---|"]
-    lines += [f"| `{r.tag}` | {r.kind} | {r.n} |" for r in tags_in_use(documents, config).orderBy(F.desc("n"), "tag").limit(1000).collect()]
-    return "\n".join(lines) + "\n"
+    yield from [f"| {k} | {rows[k]} |" for k in sorted(rows, key=lambda k: (k == OUTSIDE, k))]
+    yield from ["", "| type | category | documents |", "|---|---|---|"]
+    yield from [f"| {r.doctype} | {r.category} | {r.n} |" for r in sorted(by_doctype(documents, catalog).collect(), key=lambda r: r.doctype)]
+    yield from ["", "| tag | kind | documents |", "|---|---|---|"]
+    for r in tags_in_use(documents, config).orderBy("tag").toLocalIterator():
+        yield f"| `{r.tag}` | {r.kind} | {r.n} |"
+
+
+def index_text(documents: DataFrame, orphans: DataFrame, config: Config, catalog: Catalog, title: str) -> str:
+    """The index as Markdown; equal collections give equal bytes."""
+    return "".join(line + "\n" for line in index_lines(documents, orphans, config, catalog, title))

@@ -6,6 +6,7 @@ import csv
 import datetime as dt
 import json
 import os
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,11 +74,11 @@ def remove_sidecar(document: str) -> bool:
     return False
 
 
-def replace(path: str, raw: bytes) -> None:
-    """Writes a file whole or not at all."""
+def replace(path: str, raw: bytes | Iterable[bytes]) -> None:
+    """Writes a file, also one that comes in parts, whole or not at all."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(tmp := f"{path}.tmp{os.getpid()}", "wb") as f:
-        f.write(raw)
+        f.writelines([raw] if isinstance(raw, bytes) else raw)
         f.flush()
         os.fsync(f.fileno())
     os.replace(tmp, path)

@@ -73,6 +73,14 @@ def test_scan_find_and_rules(spark, tree, loaded):
     assert "4 documents, 2 with a sidecar, 3 with a parsed name, 1 orphan sidecars." in text and "| financial | 3 |" in text and text == report.index_text(docs, orphans, cfg, catalog, "Papers")
 
 
+def test_index_has_every_tag(spark, loaded):
+    cfg, _, side, docs = loaded
+    tags = [f"tag-{k:04d}" for k in range(1500)]
+    tagged = docs.withColumn("tags", F.transform(F.sequence(F.lit(0), F.lit(1499)), lambda k: F.concat(F.lit("tag-"), F.lpad(k.cast("string"), 4, "0"))))
+    text = report.index_text(tagged, search.orphans(docs, side), cfg, C.Catalog.of(cfg), "Papers")
+    assert [line.split("`")[1] for line in text.splitlines() if line.startswith("| `")] == tags
+
+
 def test_propose_move_and_roll_back(spark, tree, loaded):
     cfg = loaded[0]
     inbox = tree / "Inbox"
