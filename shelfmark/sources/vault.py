@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import os
+import time
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -72,29 +73,75 @@ class VaultReader(DataSourceReader):
 
 
 class VaultStream(SimpleDataSourceStreamReader):
-    """Files that are new or changed since the offset: the latest change that was seen, in nanoseconds."""
+    """Files that are new or changed since the offset, also those moved or copied in with an old mtime, and those in folders that were moved or renamed.
+
+    A file's instant is its ctime, which no program sets and which every write, copy and rename moves on. The offset holds the latest instant
+    seen (ns), the paths seen at it, and the folders with files (path and inode): a folder's move leaves its files' ctimes alone, so all files of one that is
+    not known are new. Only instants that have passed when a listing starts are seen, so that no later change can bear one of them.
+    """
+
+    TICK = 0.05  # seconds, more than the steps of a file system's clock
 
     def __init__(self, options: dict):
         self.root, self.content = options["path"], options.get("content", "false").lower() == "true"
 
     def initialOffset(self) -> dict:
-        return {"ns": -1}
+        return {"ns": -1, "paths": [], "folders": []}
 
-    def changed(self, after: int, to: int | None = None) -> list[tuple[str, os.stat_result]]:
+    def listed(self) -> list[tuple[str, os.stat_result, str]]:
+        """Each file with its folder's name in the offset."""
         tops = ["", *sorted(e.name for e in os.scandir(self.root) if e.is_dir() and not e.name.startswith(".") and e.name not in RESERVED)]
-        return [(rel, s) for t in tops for rel, s in walk(self.root, t) if after < s.st_mtime_ns and (to is None or s.st_mtime_ns <= to)]
+        names: dict[str, str] = {}
+        out = []
+        for top in tops:
+            for rel, stat in walk(self.root, top):
+                folder = os.path.dirname(rel)
+                if folder not in names:
+                    try:
+                        names[folder] = f"{folder}:{os.stat(os.path.join(self.root, folder)).st_ino}"
+                    except OSError:  # gone meanwhile
+                        continue
+                out.append((rel, stat, names[folder]))
+        return out
+
+    @staticmethod
+    def seen(offset: dict, rel: str, stat: os.stat_result, folder: str) -> bool:
+        """Whether the file as it is now had been seen at the offset."""
+        known = "folders" not in offset or folder in offset["folders"]
+        return known and (stat.st_ctime_ns < offset["ns"] or stat.st_ctime_ns == offset["ns"] and ("paths" not in offset or rel in offset["paths"]))
+
+    def rows(self, found: list[tuple[str, os.stat_result]]) -> Iterator[tuple]:
+        out = []
+        for rel, stat in found:
+            try:
+                out.append(row(self.root, rel, stat, self.content))
+            except FileNotFoundError:  # gone meanwhile
+                continue
+        return iter(out)
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        found = self.changed(start["ns"])
-        return iter([row(self.root, rel, s, self.content) for rel, s in found]), {"ns": max([start["ns"], *(s.st_mtime_ns for _, s in found)])}
+        passed = time.time_ns()
+        time.sleep(self.TICK)
+        start = lookup(start)
+        every = [(rel, s, d) for rel, s, d in self.listed() if s.st_ctime_ns <= passed]
+        found = [(rel, s) for rel, s, d in every if not self.seen(start, rel, s, d)]
+        ns = max([start["ns"], *(s.st_ctime_ns for _, s in found)])
+        paths = {rel for rel, s in found if s.st_ctime_ns == ns} | (set(start.get("paths", ())) if ns == start["ns"] else set())
+        return self.rows(found), {"ns": ns, "paths": sorted(paths), "folders": sorted({d for _, _, d in every})}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([row(self.root, rel, s, self.content) for rel, s in self.changed(start["ns"], end["ns"])])
+        start, end = lookup(start), lookup(end)
+        return self.rows([(rel, s) for rel, s, d in self.listed() if not self.seen(start, rel, s, d) and self.seen(end, rel, s, d)])
 
     def commit(self, end: dict) -> None:
         pass
 
 
+def lookup(offset: dict) -> dict:
+    """The offset with sets in place of lists; offsets of earlier versions have neither."""
+    return {k: frozenset(v) if isinstance(v, list) else v for k, v in offset.items()}
+
+
 class Vault(DataSource):
     @classmethod
     def name(cls) -> str:

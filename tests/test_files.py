@@ -120,6 +120,44 @@ def test_watch_once(spark, tree):
     assert {r.rel_path for r in spark.read.json(str(out)).collect()} >= {"Travel/new.txt"}
 
 
+def test_stream_sees_moved_copied_and_renamed_files(tree):
+    stream = vault.VaultStream({"path": str(tree)})
+    aside = tree.parent / "aside"
+    (aside / "Old").mkdir(parents=True)
+    for path in (aside / "a.txt", aside / "b.txt", aside / "Old/c.txt"):
+        path.write_text("x")
+        os.utime(path, (1e9, 1e9))
+    names = lambda rows: sorted(r[0] for r in rows)
+    first, at = stream.read(stream.initialOffset())
+    assert len(names(first)) == 9 and names(stream.read(at)[0]) == [] and stream.read(at)[1] == at
+
+    def step(change):
+        nonlocal at
+        change()
+        rows, end = stream.read(at)
+        got = names(rows)
+        assert names(stream.readBetweenOffsets(at, end)) == got
+        at = end
+        assert names(stream.read(at)[0]) == []
+        return got
+
+    import shutil
+    import time
+
+    settle = lambda f: lambda: (f(), time.sleep(0.03))
+    assert step(settle(lambda: os.rename(aside / "a.txt", tree / "Travel/a.txt"))) == ["Travel/a.txt"]
+    assert step(settle(lambda: shutil.copy2(aside / "b.txt", tree / "Travel/b.txt"))) == ["Travel/b.txt"]
+    assert step(settle(lambda: os.rename(tree / "Travel/b.txt", tree / "Travel/d.txt"))) == ["Travel/d.txt"]
+    assert step(settle(lambda: os.rename(aside / "Old", tree / "Travel/Old"))) == ["Travel/Old/c.txt"]
+    assert step(settle(lambda: os.rename(tree / "Travel/Old", tree / "Travel/New"))) == ["Travel/New/c.txt"]
+    last = os.stat(tree / "Travel/a.txt").st_ctime_ns  # a file of the offset's own instant that was not seen yet
+    assert names(stream.read({**at, "ns": last, "paths": []})[0])[0] == "Travel/a.txt" and "Travel/a.txt" not in names(stream.read({**at, "ns": last, "paths": ["Travel/a.txt"]})[0])
+    (tree / "Travel/future.txt").write_text("x")
+    os.utime(tree / "Travel/future.txt", (4e9, 4e9))
+    assert step(lambda: time.sleep(0.03)) == ["Travel/future.txt"]
+    assert step(settle(lambda: (tree / "Travel/after.txt").write_text("x"))) == ["Travel/after.txt"]
+
+
 def package(parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
