@@ -1,8 +1,9 @@
 """Exact dedup with a log-structured merge index, in DataFrame functions only.
 
-Rows enter memtables, each flushed as a run: one entry a digest, sorted by digest, with the count and
-the best row. Compaction merges runs by digest and keeps the smallest identifier among the rows with
-the most code points. A bitmap filter over the digests that were met more than once tells, while the
+The index is a simple one. Rows enter memtables (by a hash of the identifier), each grouped to a run: one entry a
+digest, with the count and the best row. Runs are not sorted, written or filtered one by one, and there are no levels:
+one compaction merges them all by digest, sorts, and keeps the smallest identifier among the rows with
+the most code points. One bitmap filter, over the digests that were met more than once, tells, while the
 texts are scanned again, which rows can be hits; only those are moved, and each hit is compared with
 the kept row byte for byte. Digests under which different bytes meet are grouped anew by the bytes.
 
@@ -36,13 +37,13 @@ def entries(docs: DataFrame, id_col: str, text_col: str, digest_hex: int) -> Dat
 
 
 def flush(rows: DataFrame, memtables: int) -> DataFrame:
-    """Runs: of each memtable, one entry a digest, sorted."""
+    """Runs: of each memtable, one entry a digest."""
     best = F.struct("len", F.struct(F.col("id").isNotNull().alias("some"), (-F.col("id")).alias("id")).alias("id"))
     return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(memtables)).alias("run"), "digest").agg(F.max(best).alias("best"), F.count("*").alias("n"))
 
 
 def compact(runs: DataFrame) -> DataFrame:
-    """One sorted run out of many: the best entry and the sum of counts of each digest."""
+    """One run, sorted within partitions, out of many: the best entry and the sum of counts of each digest."""
     merged = runs.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
     return merged.select("digest", (-F.col("best.id.id")).alias("keep_id"), "n").sortWithinPartitions("digest")
 
