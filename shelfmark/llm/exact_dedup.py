@@ -82,11 +82,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat an identifier and a text, one. Only rows that the filters know are moved."""
+    """The rows that stay, with all their columns; of rows that repeat an identifier and a text, one. Rows go by identifier and text, so another text of a dropped identifier stays. Only rows that the filters know are moved."""
     scratch = Scratch(docs.sparkSession)
-    verdict = scratch.write(exact_dedup(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "kept"), "verdict")
-    dropped = verdict.where("not kept").select(id_col)
-    out = filters.without(docs, id_col, dropped, scratch.write(filters.build(dropped, id_col), "dropped"))
+    verdict = scratch.write(exact_dedup(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), F.unhex("text_sha256").alias("__second"), "kept"), "verdict")
+    dropped = verdict.where("not kept").select(id_col, "__second")
+    out = filters.without(docs, id_col, dropped, scratch.write(filters.build(dropped, id_col), "dropped"), second=F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
     again = scratch.write(verdict.where("kept").groupBy(id_col).count().where("count > 1").select(id_col), "again")
     if again.isEmpty():
         return out

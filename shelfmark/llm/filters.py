@@ -32,8 +32,11 @@ def known(rows: DataFrame, key: str, bitmaps: DataFrame, bits: int = BITS) -> Da
     return marked(rows, key, bitmaps, bits).where("__known").drop("__known")
 
 
-def without(rows: DataFrame, key: str, dropped: DataFrame, bitmaps: DataFrame, bits: int = BITS) -> DataFrame:
-    """The rows whose key is not among the dropped ones; only rows that the filter knows are moved. Rows with a null key stay."""
+def without(rows: DataFrame, key: str, dropped: DataFrame, bitmaps: DataFrame, bits: int = BITS, second: Column | None = None) -> DataFrame:
+    """The rows whose key (with a second part, computed only of rows that the filter knows, if one is given) is not among the dropped ones; only rows that the filter knows are moved. Rows with a null key stay."""
     both = marked(rows, key, bitmaps, bits)
     sure = both.where("not __known").drop("__known")
-    return sure.unionByName(both.where("__known").drop("__known").join(dropped.select(F.col(dropped.columns[0]).alias(key)), key, "left_anti").select(*rows.columns))
+    maybe, names = both.where("__known").drop("__known"), [key]
+    if second is not None:
+        maybe, names = maybe.withColumn("__second", second), [key, "__second"]
+    return sure.unionByName(maybe.join(dropped.toDF(*names), names, "left_anti").select(*rows.columns))

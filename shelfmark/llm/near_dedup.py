@@ -323,8 +323,23 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "rep long, hashes binary")
 
 
+def told_apart(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """The rows with __id: the identifier, but a hash of 62 bits with the next one set for all texts of a repeated identifier save one."""
+    own, text = F.col(id_col).cast("long"), F.sha2(F.col(text_col).cast("string"), 256)
+    again = scratch.write(docs.where(own.isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "again")
+    if again.isEmpty():
+        return docs.withColumn("__id", own)
+    both = filters.marked(docs, id_col, filters.build(again, id_col))
+    some = both.where("__known").drop("__known").withColumn("__text", F.coalesce(text, F.lit("")))
+    first = scratch.write(some.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min("__text").alias("__first")), "first")
+    other = F.xxhash64(own, F.col("__text")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    some = some.join(first, id_col, "left").withColumn("__id", F.when(F.col("__text") != F.col("__first"), other).otherwise(own))
+    return both.where("not __known").drop("__known").withColumn("__id", own).unionByName(some.select(*docs.columns, "__id"))
+
+
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows that stay, with all their columns: one identifier of each component."""
+    """The rows that stay, with all their columns: one identifier of each component. Texts that share an identifier are told apart."""
     scratch = Scratch(docs.sparkSession)
-    dropped = scratch.write(near_dedup(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)), "dropped")
-    return filters.without(docs, id_col, dropped, filters.build(dropped, id_col))
+    rows = told_apart(docs, id_col, text_col, scratch)
+    dropped = scratch.write(near_dedup(rows, "__id", text_col, **options).where("not kept").select(F.col("doc_id").alias("__id")), "dropped")
+    return filters.without(rows, "__id", dropped, filters.build(dropped, "__id")).select(*docs.columns)

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from shelfmark.llm import bpe, exact_dedup
+from shelfmark.llm import bpe, exact_dedup, near_dedup
 
 from .test_near_dedup import brute, changed
 
@@ -68,3 +68,20 @@ def test_repeated_rows_stay_once(spark):
     assert sorted(((r.doc_id or 0), r.text) for r in exact_dedup.kept_rows(docs).collect()) == [(0, "c"), (2, " a"), (3, "b")]
     again = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (3, "b", "x")], "doc_id long, text string, kept string")
     assert sorted(r.doc_id for r in exact_dedup.kept_rows(again).collect()) == [1, 3]
+
+
+def test_other_texts_of_a_dropped_identifier_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    schema = "doc_id long, text string, kept string"
+    for rows, left in [
+        ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),
+        ([(3, a), (5, a), (5, b), (6, b), (5, c), (7, None), (7, c)], None),
+        ([(1, a), (2, a)], [(1, a)]),
+    ]:
+        docs = spark.createDataFrame([(*r, "x") for r in rows], schema)
+        for dedup in (exact_dedup, near_dedup):
+            out = dedup.kept_rows(docs)
+            got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+            assert out.columns == docs.columns
+            assert left is None or got == left
+            assert sorted(str(t) for _, t in got) == sorted({str(t) for _, t in rows})  # each text once
