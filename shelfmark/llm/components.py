@@ -31,6 +31,5 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(now)
         now = new
         if found == mark:  # the stars no longer change
-            scratch.release()
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
         mark = found

@@ -1,30 +1,24 @@
-"""Sets of word shingles as 64-bit hashes, and their minwise sketches."""
+"""Sets of word shingles as 64-bit hashes, and their minwise sketches.
+
+A word's hash is XXH3's over its bytes, and a shingle's is the sum of its words' hashes, each times an odd number for its place, mixed. So unlike
+shingles share a hash no more often than random numbers do (a polynomial over bytes modulo
+2^64 would not do: it has words that collide whatever its base). Sets stand for texts by these hashes.
+"""
 
 from __future__ import annotations
 
 import hashlib
 
 import numpy as np
+import xxhash
 
 WORDS = 5
-SKETCH = 64
+SKETCH = 128
 BINS = 1024
 _rng = np.random.Generator(np.random.PCG64(20240229))
-LETTER = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)  # a random number for each byte
-BASE = np.uint64(0xD1342543DE82EF95)  # odd
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+PLACE = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
 FACTOR = _rng.integers(0, 1 << 64, SKETCH, dtype=np.uint64) | np.uint64(1)
 OFFSET = _rng.integers(0, 1 << 64, SKETCH, dtype=np.uint64)
-_powers = {"base": np.ones(1, np.uint64), "inverse": np.ones(1, np.uint64)}
-
-
-def powers(which: str, n: int) -> np.ndarray:
-    """The first n powers modulo 2^64."""
-    if len(_powers[which]) < n:
-        x = np.full(1 << n.bit_length(), BASE if which == "base" else INVERSE, np.uint64)
-        x[0] = 1
-        _powers[which] = np.cumprod(x, dtype=np.uint64)
-    return _powers[which][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -38,20 +32,16 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 
     A-Z are lower-cased, and words are what stands between spaces and the characters 9 to 13.
     """
-    line = b" ".join((text or "").encode().lower().split())
-    if not line:
+    said = (text or "").encode().lower().split()
+    if not said:
         return np.zeros(0, np.uint64)
-    raw = np.frombuffer(line, np.uint8)
-    gaps = np.flatnonzero(raw == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(raw)]))
-    if len(starts) >= words:
-        starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(LETTER[raw] * powers("base", len(raw)), dtype=np.uint64, out=sums[1:])
-    own = (sums[ends] - sums[starts]) * powers("inverse", len(raw))[starts]
-    return np.unique(mixed(own + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, said), np.uint64, len(said))
+    n = min(words, len(own))
+    out = own[: len(own) - n + 1] * PLACE[0]
+    for k in range(1, n):
+        out += own[k : len(own) - n + 1 + k] * PLACE[k]
+    out = np.sort(mixed(out + np.uint64(n)))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:

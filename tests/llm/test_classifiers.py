@@ -75,3 +75,36 @@ def test_langid_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert langid.identify(d.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identify(d.withColumn("lang", d.lang.substr(9, 1)).where("false").union(d.selectExpr("doc_id", "text", "cast(null as string)"))).collect()} == {"und"}
+
+
+def test_fit_against_a_plain_version():
+    """The same steps over dense arrays, n-gram by n-gram."""
+    rng = np.random.default_rng(4)
+    features = [np.unique(rng.integers(0, 64, rng.integers(1, 30))).astype(np.int32) for _ in range(80)]
+    labels = np.array([float(5 in f or rng.random() < 0.2) for f in features])
+    weights, bias = toxicity.fit(features, labels, bits=6)
+    x = np.zeros((80, 64))
+    for i, f in enumerate(features):
+        x[i, f] = 1
+    r = np.zeros(64)
+    for j in range(64):
+        rows, ones = x[:, j].sum(), x[labels == 1, j].sum()
+        ratio = np.log((ones + 1) / (labels.sum() + 2)) - np.log((rows - ones + 1) / (80 - labels.sum() + 2))
+        r[j] = ratio if rows >= toxicity.LEAST_ROWS and abs(ratio) >= toxicity.LEAST_RATIO else 0
+    theta, b, m, s, mb, sb = np.zeros(64), 0.0, np.zeros(64), np.zeros(64), 0.0, 0.0
+    each = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (80 - labels.sum()))
+    for t in range(1, 41):
+        miss = (1 / (1 + np.exp(-(x * r @ theta + b))) - labels) * each
+        g, gb = 30 / 80 * theta + (x * r).T @ miss, miss.sum()
+        m, s, mb, sb = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g**2, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb**2
+        theta = theta - toxicity.RATE * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + toxicity.EPS)
+        b -= 10 * toxicity.RATE * (mb / (1 - 0.9**t)) / (np.sqrt(sb / (1 - 0.99**t)) + toxicity.EPS)
+    assert np.allclose(weights, theta * r, atol=1e-4) and abs(bias - b) < 1e-6
+
+
+def test_the_best_point_scores_the_threshold():
+    z, y = np.array([3.0, 2.0, 1.0, -1.0, -2.0]), np.array([1, 1, 1, 0, 0])
+    a, c = toxicity.calibrated(z, y, (20.0, 3.0))
+    score = 1 / (1 + np.exp(-(a * z + c)))
+    assert a > 0 and (score >= toxicity.THRESHOLD).tolist() == [True, True, True, False, False]
+    assert toxicity.calibrated(z, np.ones(5), (0.0, 5.0)) == (1.0, 0.0)

@@ -127,3 +127,16 @@ def test_trees_for_the_deepest_level():
         assert abs((lines > 0).mean() - meets(s, DEPTH + 1)) < 0.02
         assert (1 - meets(s, DEPTH + 1)) ** trees_for(s) <= MISS
     assert trees_for(1.0) == 1 and missed(0.85, 9, 8) > 5 * missed(0.85, 9, trees_for(0.85))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    """Thue-Morse words collide modulo 2^64 whatever the base; sets of such words must not be linked."""
+    one = "0"
+    for _ in range(12):
+        one += one.translate(str.maketrans("01", "10"))
+    other = one.translate(str.maketrans("01", "10"))
+    sets = [shingles.shingle_set(f"p q r s {x}") for x in (one, other)]
+    assert shingles.overlap(*sets) == (0, 2) and shingles.set_key(sets[0]) != shingles.set_key(sets[1])
+    rows = [(1, f"p q r s {one}"), (2, f"p q r s {other}"), (3, f"a {one} b c d {other}"), (4, f"a {other} b c d {one}")]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i, _ in rows}
