@@ -46,10 +46,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. One of our own only where that is unset and the session runs in this process alone; elsewhere executors could not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(scratch_root, "own", None)
     if own is None:
         folder = tempfile.mkdtemp(prefix="shelfmark-scratch-")
@@ -78,22 +80,3 @@ class Scratch:
         for t in tables:
             p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def release(self) -> None:
-        """Lets the driver's collector find what no plan needs any more, so that executors may delete its shuffle files."""
-        self.spark.sparkContext._jvm.System.gc()
-
-
-def trim_memory() -> None:
-    """Returns memory that Python no longer uses to the system, after work that held much of it on the driver."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
