@@ -22,20 +22,32 @@ def digest(path: str) -> str:
 
 
 def copy_checked(source: str, destination: str, sha: str) -> None:
+    """Copies a file to a place that must be free, whole or not at all."""
     os.makedirs(os.path.dirname(destination), exist_ok=True)
     tmp = f"{destination}.part{os.getpid()}"
     shutil.copy2(source, tmp)
-    if digest(tmp) != sha:
-        os.remove(tmp)
-        raise OSError(f"{source} changed while it was copied")
-    os.replace(tmp, destination)
+    try:
+        if digest(tmp) != sha:
+            raise OSError(f"{source} changed while it was copied")
+        try:
+            os.link(tmp, destination)  # unlike a renaming, never replaces
+        except FileExistsError:
+            raise
+        except OSError:  # no links on this file system
+            if os.path.exists(destination):
+                raise FileExistsError(destination) from None
+            os.rename(tmp, destination)
+    finally:
+        if os.path.exists(tmp):
+            os.remove(tmp)
 
 
 def execute(plan: DataFrame, root: str, op: str = "move", now: dt.datetime | None = None) -> dict:
     """Moves what a plan (source, destination, sha256; action = move) says. Nothing is deleted: originals go to the staging folder. A plan for people to approve fits the driver."""
     now = now or dt.datetime.now(dt.timezone.utc)
     rows = [(r.source, r.destination, r.sha256) for r in plan.where("action = 'move'").orderBy("source").toLocalIterator()]
-    if bad := [d for _, d, _ in rows if os.path.exists(d)]:
+    places = [d for _, d, _ in rows]
+    if bad := [d for d in places if os.path.exists(d)] or [d for d, e in zip(sorted(places), sorted(places)[1:]) if d == e]:
         raise FileExistsError(bad[0])
     manifest = records.write_manifest(os.path.join(root, "manifests"), op, [(d, s, h) for s, d, h in rows], now)
     done, failed = [], []

@@ -101,15 +101,34 @@ def numbered(rows: DataFrame, by: str = "path") -> DataFrame:
     return sorted_rows.withColumn("index", F.col("__id") + F.element_at(table, F.col("__part"))).drop("__part", "__id")
 
 
+def tail_of(path: Column) -> Column:
+    """What a number goes before: the extension; of a sidecar its document's extension and what follows, so that it stays the sidecar of the document of the same number."""
+    side = F.regexp_extract(path, r"((?:(?<=[^/])\.[^./]*)?\.meta\.yaml)$", 1)
+    return F.when(T.is_sidecar(path), side).otherwise(T.extension(path))
+
+
 def suffixed(path: Column, k: Column) -> Column:
-    """The path with _2, _3 and so on before the extension."""
-    return F.when(k <= 1, path).otherwise(F.concat(F.regexp_replace(path, r"(\.[^./]*)?$", ""), F.lit("_"), k.cast("string"), T.extension(path)))
+    """The path with _2, _3 and so on before its tail."""
+    tail = tail_of(path)
+    stem = F.substring(path, F.lit(1), F.length(path) - F.length(tail))
+    return F.when(k <= 1, path).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), tail))
+
+
+def numbered_names(paths: DataFrame) -> DataFrame:
+    """plain and the sorted numbers that are used of it, out of paths (destination) such as plain_2.txt."""
+    tail = tail_of(F.col("destination"))
+    stem = F.substring("destination", F.lit(1), F.length("destination") - F.length(tail))
+    number = F.regexp_extract(stem, r"_([1-9][0-9]{0,2})$", 1)
+    rows = paths.select(F.concat(F.regexp_replace(stem, r"_[1-9][0-9]{0,2}$", ""), tail).alias("plain"), number.try_cast("int").alias("s")).where("s >= 2")
+    return rows.groupBy("plain").agg(F.array_sort(F.collect_set("s")).alias("used"))  # at most 998 numbers a name
 
 
 def planned(moves: DataFrame, taken: DataFrame, on_collision: str = "suffix") -> DataFrame:
     """source, destination, action (move, skip, fail) of moves (source, destination, sha256) onto paths that may be taken (path, sha256).
 
     The same content at the same place is skipped. Other collisions fail, are skipped, or get the next free suffix; the first source in path order keeps the plain name.
+    A suffixed name is free if it is neither taken nor the destination another move of the batch asks for, so no two moves go to one place. With all of
+    2 to 999 used a move fails. No moves give no rows; a null destination or source stays as it is; a move that is stated twice is skipped once.
     """
     there = taken.select(F.col("path").alias("destination"), F.col("sha256").alias("there"))
     rows = moves.join(there.groupBy("destination").agg(F.min("there").alias("there")), "destination", "left")
@@ -120,11 +139,9 @@ def planned(moves: DataFrame, taken: DataFrame, on_collision: str = "suffix") ->
     rows = rows.withColumn("k", F.row_number().over(order) + F.col("there").isNotNull().cast("int"))
     if on_collision != "suffix":
         return rows.select("source", "destination", F.when(skip, "skip").when(F.col("k") > 1, on_collision).otherwise("move").alias("action"))
-    # suffixes that are taken already move the later ones up
-    free = rows.where(~skip).withColumn("try", F.col("k"))
-    stems = there.withColumn("plain", F.regexp_replace("destination", r"_[0-9]+(\.[^./]*)?$", "$1")).withColumn("s", F.regexp_extract("destination", r"_([0-9]+)(?:\.[^./]*)?$", 1).try_cast("int")).where("s >= 2")
-    used = stems.groupBy("plain").agg(F.array_sort(F.collect_set("s")).alias("used"))  # at most 999 suffixes a name
-    free = free.join(used.withColumnRenamed("plain", "destination"), "destination", "left")
+    used = numbered_names(there.select("destination").unionAll(moves.select("destination")))
+    free = rows.where(~skip).join(used.withColumnRenamed("plain", "destination"), "destination", "left")
+    # numbers in use move the later ones up
     up = F.when((F.col("k") > 1) & F.col("used").isNotNull(), F.aggregate("used", F.col("k"), lambda k, u: F.when(u <= k, k + 1).otherwise(k))).otherwise(F.col("k"))
     done = free.withColumn("k", up).select("source", suffixed(F.col("destination"), F.col("k")).alias("destination"), F.when(F.col("k") <= 999, "move").otherwise("fail").alias("action"))
     return done.unionByName(rows.where(skip).select("source", "destination", F.lit("skip").alias("action")))

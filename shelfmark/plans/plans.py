@@ -48,6 +48,18 @@ def plan_moves(spark, sf):
     return plan.planned(moves, taken)
 
 
+@query("""WITH m AS (SELECT lpad(id::VARCHAR, 9, '0') AS source, 'out/' || (id % 4000) || CASE WHEN id % 3 = 0 THEN '_2' ELSE '' END || '.txt' AS destination, id % 3 = 0 AS two FROM d_files),
+    a AS (SELECT *, row_number() OVER (PARTITION BY destination ORDER BY source) AS k, replace(destination, '.txt', '_2.txt') IN (SELECT destination FROM m) AS met FROM m),
+    b AS (SELECT *, CASE WHEN k > 1 AND met THEN k + 1 ELSE k END AS n FROM a)
+    SELECT source, CASE WHEN n = 1 THEN destination ELSE replace(destination, '.txt', '_' || (CASE WHEN NOT two AND destination = 'out/5.txt' AND n >= 3 THEN n + 1 ELSE n END) || '.txt') END AS destination, 'move' AS action FROM b""")
+def plan_moves_onto_suffixes(spark, sf):
+    """Destinations that equal names made by a suffix: every one of them is different."""
+    d = views(spark, sf, "d_files")["d_files"]
+    name = F.concat(F.lit("out/"), (F.col("id") % 4000).cast("string"), F.when(F.col("id") % 3 == 0, "_2").otherwise(""), F.lit(".txt"))
+    moves = d.select(F.lpad(F.col("id").cast("string"), 9, "0").alias("source"), name.alias("destination"), F.col("id").cast("string").alias("sha256"))
+    return plan.planned(moves, spark.createDataFrame([("out/5_3.txt", "other")], "path string, sha256 string"))
+
+
 @query("SELECT rel_path AS path, row_number() OVER (ORDER BY rel_path) AS index FROM (SELECT DISTINCT rel_path FROM d_files)")
 def plan_numbers(spark, sf):
     rows = views(spark, sf, "d_files")["d_files"].select(F.col("rel_path").alias("path")).distinct()
@@ -75,9 +87,9 @@ def plan_nearest_types(spark, sf):
     return plan.suggestions(words, spark.createDataFrame([(n,) for n in CATALOG.names], "name string"))
 
 
-@query("""SELECT id, 'INV-' || id AS number, CASE WHEN id % 2 = 0 THEN cust::VARCHAR ELSE '-' END AS seller, CASE WHEN id % 2 = 0 THEN 'number:superseded' ELSE 'number:superseded|seller:ungrounded' END AS dropped FROM d_texts WHERE id % 5 = 0""")
+@query("""SELECT id, 'INV-' || id AS number, CASE WHEN id % 2 = 0 THEN cust::VARCHAR ELSE '-' END AS seller, CASE WHEN id % 2 = 0 THEN 'number:superseded' ELSE 'number:superseded|seller:ungrounded' END AS dropped FROM d_texts""")
 def infer_merged_fields(spark, sf):
-    t = views(spark, sf, "d_texts")["d_texts"].where("id % 5 = 0")
+    t = views(spark, sf, "d_texts")["d_texts"]
     sure = F.create_map(F.lit("number"), F.concat(F.lit("INV-"), F.col("id").cast("string")))
     text = F.concat("text", F.lit(" by "), F.col("cust").cast("string"), F.lit(" "))
     model = F.create_map(F.lit("number"), F.lit("guess"), F.lit("seller"), F.when(F.col("id") % 2 == 0, F.col("cust").cast("string")).otherwise("Nobody Knows Ltd"))

@@ -240,3 +240,25 @@ def test_command_line(spark, tree, capsys):
     assert main(["rollback", "--root", str(tree), "--manifest", manifest]) == 0 and (tree / "Inbox/a.txt").exists()
     assert main(["log", "--root", str(tree), "--limit", "1"]) == 0 and json.loads(capsys.readouterr().out.split("\n}\n")[-2] + "\n}")["data"][0]["op"] == "rollback"
     assert main(["index", "--root", str(tree)]) == 0 and (tree / "INDEX.md").read_text().startswith("# ")
+
+
+def test_every_source_survives_suffixes(spark, tmp_path):
+    """Destinations that equal names made by a suffix, and sidecars among them."""
+    sources = {f"in/{k}": f"content {k}" for k in range(6)}
+    for rel, text in sources.items():
+        (tmp_path / rel).parent.mkdir(exist_ok=True)
+        (tmp_path / rel).write_text(text)
+    names = ["a.txt", "a.txt", "a_2.txt", ".a.txt.meta.yaml", ".a.txt.meta.yaml", "a_2.txt"]
+    rows = [(str(tmp_path / rel), str(tmp_path / "out" / name), executor.digest(str(tmp_path / rel))) for rel, name in zip(sources, names)]
+    moves = spark.createDataFrame(rows, "source string, destination string, sha256 string")
+    got = plan.planned(moves, spark.createDataFrame([], "path string, sha256 string"))
+    assert [os.path.basename(r.destination) for r in got.orderBy("source").collect()] == ["a.txt", "a_3.txt", "a_2.txt", ".a.txt.meta.yaml", ".a_2.txt.meta.yaml", "a_2_2.txt"]
+    done = executor.execute(got.join(moves.select("source", "sha256"), "source"), str(tmp_path), now=dt.datetime(2026, 5, 1))
+    assert not done["failed"] and {(tmp_path / "out" / os.path.basename(p)).read_text() for p in done["moved"]} == set(sources.values())
+    twice = moves.select(F.col("source"), F.lit(str(tmp_path / "out/b.txt")).alias("destination"), "sha256", F.lit("move").alias("action"))
+    with pytest.raises(FileExistsError):
+        executor.execute(twice, str(tmp_path))
+    (tmp_path / "there").write_text("old")
+    with pytest.raises(FileExistsError):
+        executor.copy_checked(str(tmp_path / "out/a.txt"), str(tmp_path / "there"), executor.digest(str(tmp_path / "out/a.txt")))
+    assert (tmp_path / "there").read_text() == "old"
