@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .regex import java
@@ -22,6 +23,16 @@ PLACEHOLDERS = ["unknown", "unknwon", "none", "n a", "na", "nil", "null", "untit
 PASSWORD_WORDS = "pw pwd passwd password passwords passcode passphrase pin pins otp secret secrets".split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, however often it is used; expressions that stand in lambdas are otherwise computed each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns, each computed once a row whatever is made of them later: the optimiser does not copy what a generator gives into each use, nor push filters on it down."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def slug(s: Column) -> Column:
     """Lower-case letters a-z and digits; any other run is one hyphen."""
     return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "-"), F.lit("-"))

@@ -11,10 +11,11 @@ import os
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, DocType, slug
+from ..functions import text as T
 from ..functions.regex import java, phrase
 
 UNCLASSIFIED = "unclassified"
@@ -61,21 +62,21 @@ class Catalog:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(t.name, t.category) for t in self.types], "doctype string, category string")
 
-    def evidence(self, spark: SparkSession) -> DataFrame:
-        """doctype, kind (keyword or pattern), needle and rx: a row for each keyword and pattern. As large as the catalog."""
-        rows = [(t.name, "keyword", k.lower(), phrase(k.lower())) for t in self.types for k in dict.fromkeys(t.keywords)]
-        rows += [(t.name, "pattern", None, java(p)) for t in self.types for p in t.patterns]
-        return spark.createDataFrame(rows, "doctype string, kind string, needle string, rx string")
+    def evidence(self, text: Column, low: Column) -> Column:
+        """An array of (doctype, keywords, patterns) of the types of which anything occurs; low is the lower-cased text. Patterns are literals, so each is compiled once."""
+        one = lambda found: F.when(found, 1).otherwise(0).cast("long")
+        total = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0).cast("long"))
+        kinds = []
+        for t in self.types:
+            words = total([one(F.contains(low, F.lit(k.lower())) & low.rlike(phrase(k.lower()))) for k in dict.fromkeys(t.keywords)])
+            kinds.append(F.struct(F.lit(t.name).alias("doctype"), words.alias("keywords"), total([one(text.rlike(java(p))) for p in t.patterns]).alias("patterns")))
+        return F.filter(F.array(*kinds), lambda k: (k["keywords"] > 0) | (k["patterns"] > 0))
 
 
 def hits(texts: DataFrame, catalog: Catalog, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, doctype, keywords and patterns that occur. Texts are looked through once each, in place: the catalog's size is fixed and broadcast."""
-    evidence = F.broadcast(catalog.evidence(texts.sparkSession))
-    low = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), F.lower(F.col(text_col)).alias("__low"))
-    word = (F.col("kind") == "keyword") & F.contains("__low", F.col("needle")) & F.rlike("__low", F.col("rx"))
-    other = (F.col("kind") == "pattern") & F.rlike("__text", F.col("rx"))
-    found = low.join(evidence, word | other)
-    return found.groupBy("id", "doctype").agg(F.count_if(F.col("kind") == "keyword").alias("keywords"), F.count_if(F.col("kind") == "pattern").alias("patterns"))
+    """id, doctype, keywords and patterns that occur. Texts are looked through once each, in place; nothing moves. Null texts have no hits."""
+    rows = texts.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("__text")).withColumn("__low", F.lower("__text"))
+    return rows.select("id", F.inline(catalog.evidence(F.col("__text"), F.col("__low"))))
 
 
 def scores(texts: DataFrame, catalog: Catalog, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -88,14 +89,23 @@ def confidence(weight: Column, runner_up: Column) -> Column:
     return F.least(F.lit(0.95), w / (w + 3.0) * (0.5 + 0.5 * ((w - r) / w)))
 
 
+def classified(rows: DataFrame, catalog: Catalog, min_confidence: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows with doctype, category, confidence, accepted, weight and runner_up of their text; unclassified where the first type falls short, as with a null or empty text. No row moves."""
+    found = catalog.evidence(F.coalesce(F.col(text_col), F.lit("")), F.col("__low"))
+    ranked = F.array_sort(F.transform(found, lambda k: F.struct((-(k["keywords"] + PATTERN_WEIGHT * k["patterns"])).alias("less"), k["doctype"].alias("doctype"), ((k["patterns"] > 0) | (k["keywords"] >= 2)).alias("enough"))))
+    rows = T.once(rows.withColumn("__low", F.lower(F.coalesce(text_col, F.lit("")))), __ranked=ranked)
+    top, following = F.get("__ranked", F.lit(0)), F.get("__ranked", F.lit(1))
+    enough, none = F.coalesce(top["enough"], F.lit(False)), F.lit(0).cast("long")
+    rows = T.once(rows, doctype=F.when(enough, top["doctype"]).otherwise(UNCLASSIFIED), weight=F.when(enough, -top["less"]).otherwise(none), runner_up=F.when(enough, F.coalesce(-following["less"], none)).otherwise(none))
+    sure = F.when(F.col("weight") > 0, confidence(F.col("weight"), F.col("runner_up"))).otherwise(F.lit(0.0))
+    rows = rows.withColumn("category", catalog.category_of(F.col("doctype"))).withColumn("confidence", sure)
+    return rows.withColumn("accepted", (F.col("weight") > 0) & (F.col("confidence") >= min_confidence)).drop("__low", "__ranked")
+
+
 def classify(texts: DataFrame, catalog: Catalog, min_confidence: float = 0.5, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, doctype, category, confidence, accepted, weight, runner_up: one row a text, unclassified where the first type falls short."""
-    order = Window.partitionBy("id").orderBy(F.desc("weight"), "doctype")
-    ranked = scores(texts, catalog, id_col, text_col).withColumn("rank", F.row_number().over(order)).withColumn("runner_up", F.coalesce(F.lead("weight").over(order), F.lit(0)))
-    top = ranked.where("rank = 1 and (patterns > 0 or keywords >= 2)").withColumn("confidence", confidence(F.col("weight"), F.col("runner_up")))
-    out = texts.select(F.col(id_col).alias("id")).join(top.select("id", "doctype", "confidence", "weight", "runner_up"), "id", "left")
-    sure = F.coalesce(F.col("confidence") >= min_confidence, F.lit(False))
-    return out.select("id", F.coalesce("doctype", F.lit(UNCLASSIFIED)).alias("doctype"), catalog.category_of(F.col("doctype")).alias("category"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), sure.alias("accepted"), F.coalesce("weight", F.lit(0)).alias("weight"), F.coalesce("runner_up", F.lit(0)).alias("runner_up"))
+    """id, doctype, category, confidence, accepted, weight, runner_up: one row a text."""
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
+    return classified(rows, catalog, min_confidence, "__text").select("id", "doctype", "category", "confidence", "accepted", "weight", "runner_up")
 
 
 def extract_fields(catalog: Catalog, doctype: Column, text: Column) -> Column:

@@ -27,18 +27,23 @@ def given_names(config: Config) -> dict[str, str]:
 
 def owners(config: Config, name: Column, text: Column) -> Column:
     """An array of (value, source) in the configured order: people named in the file name, else in the text, by name, tag or a given name of their own."""
-    hay = [(T.normalize_for_match(T.stem(name)), "filename"), (T.normalize_for_match(T.clip(text, OWNER_TEXT)), "document-text")]
-    given, found = given_names(config), []
-    for p in config.people:
-        tokens = [(p.name, None), (p.tag.replace("-", " "), "tag")] + ([(given[p.tag], "given-name")] if p.tag in given else [])
-        source: Column = F.lit(None).cast("string")
-        for norm, where in reversed(hay):
-            for token, how in reversed(tokens):
-                source = F.when(F.coalesce(T.contains_word(norm, T.normalize_for_match(F.lit(token))), F.lit(False)), how or where).otherwise(source)
-        found.append(F.when(source.isNotNull(), F.struct(F.lit(p.name).alias("value"), source.alias("source"))))
-    if not found:
+    if not config.people:
         return F.array().cast("array<struct<value:string,source:string>>")
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    hay = F.struct(T.normalize_for_match(T.stem(name)).alias("filename"), T.normalize_for_match(T.clip(text, OWNER_TEXT)).alias("document-text"))
+    given = given_names(config)
+
+    def found(norm: Column) -> Column:
+        out = []
+        for p in config.people:
+            tokens = [(p.name, None), (p.tag.replace("-", " "), "tag")] + ([(given[p.tag], "given-name")] if p.tag in given else [])
+            source: Column = F.lit(None).cast("string")
+            for where in ("document-text", "filename"):
+                for token, how in reversed(tokens):
+                    source = F.when(F.coalesce(T.contains_word(norm[where], T.normalize_for_match(F.lit(token))), F.lit(False)), how or where).otherwise(source)
+            out.append(F.struct(F.lit(p.name).alias("value"), source.alias("source")))
+        return F.filter(F.array(*out), lambda x: x["source"].isNotNull())
+
+    return T.let(hay, found)
 
 
 def year(fields: Column, modified: Column) -> Column:
@@ -50,10 +55,15 @@ def year(fields: Column, modified: Column) -> Column:
 def identifier(fields: Column, name: Column, doctype: Column, owner_names: Column) -> Column:
     """(value, source): the first usable field without the doctype at its end, else the file name's own words, else Untitled."""
     named = F.transform_keys(fields, lambda k, v: T.field_name(k))
-    ranked = F.filter(F.transform(F.array(*map(F.lit, IDENTIFIER_FIELDS)), lambda f: F.trim(F.try_element_at(named, f))), lambda v: F.coalesce(v != "", F.lit(False)) & ~T.refused(v))
-    said = F.get(F.filter(F.transform(ranked, lambda v: F.trim(T.trim_doctype(v, doctype))), lambda v: v != ""), F.lit(0))
+
+    def first(found: Column) -> Column:
+        ranked = F.filter(F.transform(F.array(*map(F.lit, IDENTIFIER_FIELDS)), lambda f: F.trim(F.try_element_at(found, f))), lambda v: F.coalesce(v != "", F.lit(False)) & ~T.refused(v))
+        return F.get(F.filter(F.transform(ranked, lambda v: F.trim(T.trim_doctype(v, doctype))), lambda v: v != ""), F.lit(0))
+
     stem = F.nullif(T.clean_stem(T.stem(name), doctype, owner_names), F.lit(""))
-    return F.struct(F.coalesce(said, stem, F.lit(UNTITLED)).alias("value"), F.when(said.isNotNull(), "extracted-field").when(stem.isNotNull(), "filename").otherwise("none").alias("source"))
+    both = F.struct(T.let(named, first).alias("said"), stem.alias("stem"))
+    source = lambda x: F.when(x["said"].isNotNull(), "extracted-field").when(x["stem"].isNotNull(), "filename").otherwise("none")
+    return T.let(both, lambda x: F.struct(F.coalesce(x["said"], x["stem"], F.lit(UNTITLED)).alias("value"), source(x).alias("source")))
 
 
 def guessed(owner_reasons: Column, year_reason: Column, identifier_reason: Column) -> Column:

@@ -21,20 +21,20 @@ def proposals(files: DataFrame, config: Config, catalog: C.Catalog, overrides: d
     Overrides (doctype, owners, year, identifier) hold for all files and are checked before any is read; a stated type means a person decided.
     """
     said = checked(config, catalog, overrides or {})
-    found = C.classify(files, catalog, config.min_confidence, "path").withColumnRenamed("id", "path")
-    rows = files.join(found.select("path", "doctype", "confidence", "accepted"), "path")
+    rows = C.classified(files, catalog, config.min_confidence)  # in place: texts never move
     human = "doctype" in said
-    doctype = F.lit(said["doctype"]) if human else F.when(F.col("accepted"), F.col("doctype")).otherwise(C.UNCLASSIFIED)
-    rows = rows.withColumn("doctype", doctype).withColumn("confidence", F.lit(0.0) if human else F.col("confidence")).withColumn("classifier", F.lit("human" if human else "rules"))
-    rows = rows.withColumn("category", catalog.category_of(F.col("doctype"))).withColumn("fields", C.extract_fields(catalog, F.col("doctype"), F.col("text")))
+    rows = T.once(rows.withColumnRenamed("doctype", "__found"), doctype=F.lit(said["doctype"]) if human else F.when(F.col("accepted"), F.col("__found")).otherwise(C.UNCLASSIFIED)).drop("__found", "accepted", "weight", "runner_up")
+    rows = rows.withColumn("confidence", F.lit(0.0) if human else F.col("confidence")).withColumn("classifier", F.lit("human" if human else "rules")).withColumn("category", catalog.category_of(F.col("doctype")))
     name = T.basename(F.col("path"))
     reasons = infer.owners(config, name, F.col("text"))
     stated = lambda v: F.struct(v.alias("value"), F.lit("stated").alias("source"))
     if "owners" in said:
         reasons = F.array(*[stated(F.lit(o)) for o in said["owners"]]) if said["owners"] else F.array().cast("array<struct<value:string,source:string>>")
-    rows = rows.withColumn("why_owners", reasons).withColumn("owners", F.col("why_owners.value"))
-    rows = rows.withColumn("why_year", stated(F.lit(said["year"])) if "year" in said else infer.year(F.col("fields"), F.col("modified")))
-    rows = rows.withColumn("why_identifier", stated(F.lit(said["identifier"])) if "identifier" in said else infer.identifier(F.col("fields"), name, F.col("doctype"), F.col("owners")))
+    rows = T.once(rows, fields=C.extract_fields(catalog, F.col("doctype"), F.col("text")), why_owners=reasons).withColumn("owners", F.col("why_owners.value"))
+    rows = T.once(
+        rows, why_year=stated(F.lit(said["year"])) if "year" in said else infer.year(F.col("fields"), F.col("modified")),
+        why_identifier=stated(F.lit(said["identifier"])) if "identifier" in said else infer.identifier(F.col("fields"), name, F.col("doctype"), F.col("owners")),
+    )
     year, identifier = F.col("why_year.value"), F.col("why_identifier.value")
     target = grammar.path(config, F.col("doctype"), F.col("owners"), identifier, year, F.lit(None).cast("string"), T.extension(name), F.col("category"))
     return rows.withColumn("year", year).withColumn("identifier", identifier).withColumn("destination", target).withColumn("tags", G.proposed(config, F.col("owners"), year, identifier)).withColumn(

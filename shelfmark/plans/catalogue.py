@@ -159,8 +159,8 @@ def flagship_accepted_by_fiscal_year(spark, sf):
     read(spark, sf, "orders").createOrReplaceTempView("orders")
     read(spark, sf, "customer").createOrReplaceTempView("customer")
     texts = spark.sql(derived.SQL["d_texts"].replace("CASE o_orderkey % 5", "CASE 0"))
-    found = C.classify(texts, CATALOG).where("accepted").join(texts.select("id", "text"), "id")
-    fields = C.extract_fields(CATALOG, F.col("doctype"), F.col("text"))
+    found = C.classified(texts, CATALOG).where("accepted")
+    found, fields = T.once(found, fields=C.extract_fields(CATALOG, F.col("doctype"), F.col("text"))), F.col("fields")
     return found.select("doctype", CONFIG.calendar.year_of(F.make_date(infer.year(fields, F.lit(None).cast("timestamp"))["value"], F.lit(1), F.lit(1))).alias("fiscal_year")).groupBy("fiscal_year", "doctype").agg(F.count("*").alias("n"))
 
 
@@ -225,14 +225,15 @@ def infer_owners(spark, sf):
 @query(r"""SELECT id, CASE WHEN id % 5 < 2 THEN year(day)::INTEGER ELSE 2020 END AS y, CASE WHEN id % 5 < 2 THEN 'extracted-field' ELSE 'mtime' END AS source FROM d_texts""")
 def infer_year(spark, sf):
     kind = F.element_at(F.array(*map(F.lit, ("invoice", "receipt", "statement", "passport", "correspondence"))), (F.col("id") % 5 + 1).cast("int"))
-    t = views(spark, sf, "d_texts")["d_texts"].select("id", infer.year(C.extract_fields(CATALOG, kind, F.col("text")), F.lit("2020-05-05").cast("date")).alias("r"))
+    t = T.once(views(spark, sf, "d_texts")["d_texts"], fields=C.extract_fields(CATALOG, kind, F.col("text"))).select("id", infer.year(F.col("fields"), F.lit("2020-05-05").cast("date")).alias("r"))
     return t.select("id", F.col("r.value").alias("y"), F.col("r.source").alias("source"))
 
 
 @query(r"""SELECT id, CASE id % 5 WHEN 0 THEN 'INV-' || id WHEN 1 THEN 'RCT-' || id WHEN 2 THEN 'ACC' || cust || '77' WHEN 3 THEN 'X' || (1000000 + id) ELSE 'Lease' END AS identifier, CASE WHEN id % 5 < 4 THEN 'extracted-field' ELSE 'filename' END AS source FROM d_texts""")
 def infer_identifier(spark, sf):
     kind = F.element_at(F.array(*map(F.lit, ("invoice", "receipt", "statement", "passport", "correspondence"))), (F.col("id") % 5 + 1).cast("int"))
-    t = views(spark, sf, "d_texts")["d_texts"].select("id", infer.identifier(C.extract_fields(CATALOG, kind, F.col("text")), F.lit("scan 2024 lease.pdf"), kind, F.array().cast("array<string>")).alias("r"))
+    t = T.once(views(spark, sf, "d_texts")["d_texts"], kind=kind, fields=C.extract_fields(CATALOG, kind, F.col("text")))
+    t = t.select("id", infer.identifier(F.col("fields"), F.lit("scan 2024 lease.pdf"), F.col("kind"), F.array().cast("array<string>")).alias("r"))
     return t.select("id", F.col("r.value").alias("identifier"), F.col("r.source").alias("source"))
 
 
