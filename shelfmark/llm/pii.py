@@ -5,19 +5,22 @@ Candidates are the spans of the base patterns (email, ip, card, phone) and of lo
 country code, long hexadecimal secrets). Labelers vote on each candidate: for, against, or not at all. They look at
 its form (regular expressions), at lists (gazetteers of top-level domains, issuer prefixes, reserved
 networks), at checks, at its edges and at the words before it (context). All candidates of all documents are counted
-by kind and votes; expectation-maximisation on these counts estimates how often each labeler is right,
-and a logistic span classifier is trained on the resulting probabilities. It decides on the looser spans; base spans
+by kind and votes; expectation-maximisation on these counts estimates, for each family of kinds on its own, how often each labeler is right. A vote for is never
+taken as evidence against, and a small share of pseudo-counts holds labelers to be better than chance. On the resulting probabilities a logistic span classifier is
+trained, whose features are not the votes but the span and what stands around it: its shape, length and edges, the words before and after it, and n-grams before it (hashed). It
+is fitted on about `sample` candidates of each kind. It decides on the looser spans; base spans
 always stay. A looser span that overlaps a base span is dropped.
 
 Offsets are code points, ends exclusive. Null texts count as empty. Rows that repeat are found each on
-its own. What reaches the driver are counts of the at most 9 * 3^6 kinds of votes. An empty table gives an empty
-result, and no candidates leave an empty model.
+its own. What reaches the driver are counts of the at most 9 * 3^5 kinds of votes, and the sample's features. An empty table gives an empty
+result, and no candidates leave a model that accepts nothing. Identifiers are cast to long. Of the caller's columns only those named are read; `redact` returns them all.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,12 @@ from .bpe import texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "email_loose", "ip_loose", "card_loose", "phone_loose", "secret")
-LABELERS = 6
+LABELERS = 5
 FAMILY = {k: k.removesuffix("_loose") for k in KINDS}
+FAMILIES = (*BASE, "secret")
+FAMILY_OF = np.array([FAMILIES.index(FAMILY[k]) for k in KINDS])
+BITS, SAMPLE = 14, 4000  # of the span classifier: hashed features, and candidates a kind that it is fitted on
+HELD = 0.04  # pseudo-counts for labelers that are right, as a share of a family's candidates
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,7 +125,10 @@ def loose_spans(text: str, failed: list[tuple[int, int]], base: list[tuple[int,
     for a, b, kind in sorted(found, key=lambda x: (x[0], KINDS.index(x[2]))):
         while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if a >= last and all(taken[i][0] >= b or taken[i][1] <= a for i in range(at, min(at + 8, len(taken)))):
+        i = at
+        while i < len(taken) and taken[i][0] < b and taken[i][1] <= a:
+            i += 1
+        if a >= last and (i == len(taken) or taken[i][0] >= b):
             out.append((a, b, kind))
             last = b
     return out
@@ -128,7 +138,6 @@ def votes(text: str, a: int, b: int, kind: str) -> tuple[int, ...]:
     """Each labeler's vote on a span: 1 for, 0 against, 2 none."""
     span, family = text[a:b], FAMILY[kind]
     before, after = text[a - 1 : a], text[b : b + 1]
-    form = 1 if kind in BASE else 2
     if family == "email":
         last = re.split(r"[^A-Za-z0-9-]+", span.rstrip("])"))[-1].lower()
         listed, checked = int(last in DOMAINS), int(".." not in span and not span.startswith((".", "-")))
@@ -149,7 +158,21 @@ def votes(text: str, a: int, b: int, kind: str) -> tuple[int, ...]:
     context = 1 if CUES[family].search(near) else 0 if CUES[""].search(near) else 2
     edges = int(not (before.isalnum() or after.isalnum()))
     case = 2 if family not in ("email", "secret") else int(span == span.lower() or span == span.upper())
-    return form, listed, checked, context, edges, case
+    return listed, checked, context, edges, case
+
+
+CLASSES = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "9" for c in "0123456789"}})
+
+
+def features(text: str, a: int, b: int, kind: str) -> list[int]:
+    """Hashed features of a span: its shape, length and edges, words and n-grams around it."""
+    family, before, after = FAMILY[kind], text[max(0, a - 32) : a].lower(), text[b : b + 16].lower()
+    shape = re.sub(r"(.)\1+", r"\1+", text[a:b].translate(CLASSES))
+    said = [kind, f"shape {kind} {shape[:24]}", f"signs {family} {''.join(sorted(set(shape)))}", f"length {kind} {(b - a) // 4}"]
+    said += [f"edges {before[-1:].translate(CLASSES)} {after[:1].translate(CLASSES)}"]
+    said += [f"before {family} {w}" for w in re.findall(r"\w+", before)[-3:]] + [f"after {family} {w}" for w in re.findall(r"\w+", after)[:1]]
+    said += [f"near {family} {before[i : i + 3]}" for i in range(max(0, len(before) - 12), max(0, len(before) - 2))]
+    return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in said]
 
 
 def code(kind: str, said: tuple[int, ...]) -> int:
@@ -168,92 +191,128 @@ def decoded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rest, np.stack(said[::-1], axis=1) if len(codes) else np.zeros((0, LABELERS), int)
 
 
-def reliabilities(kinds: np.ndarray, said: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation over counted votes: the probability that each kind of votes is personal data, and each labeler's table of votes given the truth."""
+def reliabilities(kinds: np.ndarray, said: np.ndarray, n: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over counted votes: the probability that each kind of votes is personal data, and of each family and labeler the table of votes given the truth."""
     fors, against = (said == 1).sum(1), (said == 0).sum(1)
     p = (fors + 1) / (fors + against + 2)  # from the majority
-    table = np.zeros((LABELERS, 2, 3))
-    for _ in range(rounds):
-        for j in range(LABELERS):
-            for v in range(3):
-                of = said[:, j] == v
-                table[j, 1, v] = (n[of] * p[of]).sum() + (2.0 if v == 1 else 1.0)
-                table[j, 0, v] = (n[of] * (1 - p[of])).sum() + (2.0 if v == 0 else 1.0)
-        table /= table.sum(axis=2, keepdims=True)
-        prior = np.array([((n * p)[kinds == k].sum() + 1) / (n[kinds == k].sum() + 2) for k in range(len(KINDS))])
-        z = np.log(prior[kinds]) - np.log(1 - prior[kinds])
-        for j in range(LABELERS):
-            z = z + np.log(table[j, 1, said[:, j]]) - np.log(table[j, 0, said[:, j]])
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    family = FAMILY_OF[kinds]
+    table = np.full((len(FAMILIES), LABELERS, 2, 3), 1 / 3)
+    for f in np.unique(family):
+        own = np.flatnonzero(family == f)
+        votes_, m, q, kind = said[own], n[own], p[own], kinds[own]
+        held = HELD * m.sum() + 1
+        for _ in range(rounds):
+            for j in range(votes_.shape[1]):
+                for v in range(3):
+                    of = votes_[:, j] == v
+                    table[f, j, 1, v] = (m[of] * q[of]).sum() + held * (0.8, 0.2)[v != 1] * (v != 2) + 1
+                    table[f, j, 0, v] = (m[of] * (1 - q[of])).sum() + held * (0.8, 0.2)[v != 0] * (v != 2) + 1
+            t = table[f] / table[f].sum(axis=2, keepdims=True)
+            for v, wrong in ((1, t[:, 1, 1] < t[:, 0, 1]), (0, t[:, 1, 0] > t[:, 0, 0])):  # a vote never speaks for the contrary
+                mean = (t[:, 0, v] + t[:, 1, v]) / 2
+                t[:, 0, v], t[:, 1, v] = np.where(wrong, mean, t[:, 0, v]), np.where(wrong, mean, t[:, 1, v])
+            table[f] = t
+            prior = {k: ((m * q)[kind == k].sum() + 1) / (m[kind == k].sum() + 2) for k in np.unique(kind)}
+            z = np.array([np.log(prior[k] / (1 - prior[k])) for k in kind])
+            for j in range(votes_.shape[1]):
+                z = z + np.log(t[j, 1, votes_[:, j]]) - np.log(t[j, 0, votes_[:, j]])
+            q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p[own] = q
     return p, table
 
 
-def one_hot(kinds: np.ndarray, said: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones((len(kinds), 1)), np.eye(len(KINDS))[kinds], np.eye(3)[said].reshape(len(kinds), -1)], axis=1)
-
-
-def trained(codes: np.ndarray, n: np.ndarray, steps: int = 500, l2: float = 1e-3) -> dict[int, float]:
-    """The span classifier, as the probability of each kind of votes that was met."""
+def probabilities(codes: np.ndarray, n: np.ndarray) -> dict[int, float]:
+    """The label model: how likely each kind of votes that was met is personal data."""
     if not len(codes):
         return {}
     kinds, said = decoded(codes)
-    target, _ = reliabilities(kinds, said, n.astype(float))
-    x, weight, w = one_hot(kinds, said), n / n.sum(), np.zeros(1 + len(KINDS) + 3 * LABELERS)
-    for _ in range(steps):
-        w -= 2.0 * (x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - target)) + l2 * w)
-    return dict(zip(codes.tolist(), (1 / (1 + np.exp(-x @ w))).tolist()))
-
-
-def candidates(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int]], list[int]]:
-    """Base spans, looser spans with their codes, and the codes of the base spans."""
+    return dict(zip(codes.tolist(), reliabilities(kinds, said, n.astype(float))[0].tolist()))
+
+
+def trained(rows: list[list[int]], target: np.ndarray, steps: int = 80, l2: float = 1e-4) -> np.ndarray:
+    """The span classifier: weights of hashed features, the intercept last; Adam over all rows."""
+    w = np.zeros((1 << BITS) + 1)
+    w[-1] = -1e-9
+    if not rows:
+        w[-1] = -30.0
+        return w
+    ids = np.concatenate([np.asarray([*r, 1 << BITS]) for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
+    m, s = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        miss = (1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[ids], minlength=len(rows)), -30, 30))) - target) / len(rows)
+        grad = np.bincount(ids, weights=miss[row], minlength=len(w)) + l2 * w / len(rows)
+        m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
+        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
+    return w
+
+
+def likelihood(w: np.ndarray, found: list[int]) -> float:
+    """How likely a span of these features is personal data, by the classifier."""
+    return float(1 / (1 + np.exp(-np.clip(w[found].sum() + w[-1], -30, 30))))
+
+
+def candidates(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, int, list[int]]], list[tuple[int, list[int]]]]:
+    """Base spans, looser spans with their codes and features, and the codes and features of the base spans."""
     base, failed = base_spans(text)
-    loose = [(a, b, k, code(k, votes(text, a, b, k))) for a, b, k in loose_spans(text, failed, base)]
-    return base, loose, [code(k, votes(text, a, b, k)) for a, b, k in base]
+    both = lambda a, b, k: (code(k, votes(text, a, b, k)), features(text, a, b, k))
+    loose = [(a, b, k, *both(a, b, k)) for a, b, k in loose_spans(text, failed, base)]
+    return base, loose, [both(*x) for x in base]
 
 
 def said(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
 
 
-LOOSE = "loose array<struct<start:long,end:long,kind:string,code:long>>"
-FOUND = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, {LOOSE}, codes array<long>"
+LOOSE = "loose array<struct<start:long,end:long,kind:string,code:long,features:array<int>>>"
+FOUND = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, {LOOSE}, own array<struct<code:long,features:array<int>>>"
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Base spans and candidates of each row."""
     ship(docs.sparkSession)
-    loose_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("code", pa.int64())]))
+    features_type = ("features", pa.list_(pa.int32()))
+    loose_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("code", pa.int64()), features_type]))
+    own_type = pa.list_(pa.struct([("code", pa.int64()), features_type]))
 
     def run(batches):
         for batch in batches:
             found = [candidates(t) for t in texts_of(batch, "text")]
             counts = [pa.array([sum(k == kind for _, _, k in base) for base, _, _ in found], pa.int64()) for kind in BASE]
-            loose = pa.array([[dict(zip(("start", "end", "kind", "code"), x)) for x in own] for _, own, _ in found], loose_type)
-            yield pa.record_batch([batch.column(0), *counts, pa.array([said(base) for base, _, _ in found], pa.string()), loose, pa.array([c for _, _, c in found], pa.list_(pa.int64()))], names=["doc_id", *(f"n_{k}" for k in BASE), "base", "loose", "codes"])
+            loose = pa.array([[dict(zip(("start", "end", "kind", "code", "features"), x)) for x in own] for _, own, _ in found], loose_type)
+            base = pa.array([[{"code": c, "features": f} for c, f in own] for _, _, own in found], own_type)
+            yield pa.record_batch([batch.column(0), *counts, pa.array([said(base) for base, _, _ in found], pa.string()), loose, base], names=["doc_id", *(f"n_{k}" for k in BASE), "base", "loose", "own"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, FOUND)
 
 
-def model(found: DataFrame) -> dict[int, float]:
-    """Trains the span classifier on all candidates, counted by kind and votes."""
-    codes = F.explode(F.concat("codes", F.transform("loose", lambda x: x["code"]))).alias("code")
-    counted = found.select(codes).groupBy("code").count().toArrow().sort_by("code")
-    return trained(counted.column("code").to_numpy(), counted.column("count").to_numpy())
+def model(found: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """The span classifier: the label model on all candidates, counted by kind and votes, then the fit on about `sample` of each kind."""
+    each = found.select(F.explode(F.concat("own", F.transform("loose", lambda x: F.struct(x["code"].alias("code"), x["features"].alias("features"))))).alias("c")).select("c.code", "c.features")
+    counted = each.groupBy("code").count().toArrow().sort_by("code")
+    codes, n = counted.column("code").to_numpy(), counted.column("count").to_numpy()
+    target, kinds = probabilities(codes, n), codes // 3**LABELERS
+    share = F.lit(0.0)
+    for k in np.unique(kinds):  # one a kind, nine at most
+        share = F.when((F.col("code") / 3**LABELERS).cast("long") == int(k), min(1.0, sample / int(n[kinds == k].sum()))).otherwise(share)
+    chosen = each.where(F.pmod(F.xxhash64("code", "features"), F.lit(1 << 20)) < share * (1 << 20)).groupBy("code", "features").count().toArrow()
+    rows = sorted(zip(chosen.column("code").to_pylist(), chosen.column("features").to_pylist()))
+    return trained([f for _, f in rows], np.array([target[c] for c, _ in rows]))
 
 
-def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
+def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans."""
     found = Scratch(docs.sparkSession).write(scan(docs, id_col, text_col), "candidates")
-    accepted = {c for c, p in model(found).items() if p >= threshold}
+    weights = model(found, sample)
 
     def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            spans = [said([(int(a), int(b), k) for k, a, b in (x.split(":") for x in r["base"].split(",") if x)] + [(x["start"], x["end"], x["kind"]) for x in r["loose"] if x["code"] in accepted]) for r in rows]
+            spans = [said([(int(a), int(b), k) for k, a, b in (x.split(":") for x in r["base"].split(",") if x)] + [(x["start"], x["end"], x["kind"]) for x in r["loose"] if likelihood(weights, x["features"]) >= threshold]) for r in rows]
             digest = [hashlib.sha256(r["base"].encode()).hexdigest() for r in rows]
             yield pa.record_batch([*batch.columns[:5], pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=[*batch.schema.names[:5], "base_sha256", "spans"])
 
-    return found.drop("codes").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.drop("own").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted_text(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -266,10 +325,12 @@ def redacted_text(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The same rows and columns, with personal data in the text replaced by marks such as [EMAIL]. Null texts stay null."""
-    found = Scratch(docs.sparkSession).write(scan(docs, id_col, text_col).select("codes", "loose"), "candidates")
-    accepted = {c for c, p in model(found).items() if p >= threshold}
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(scan(docs, id_col, text_col).select("own", "loose"), "candidates")
+    weights = model(found, sample)
+    scratch.drop(found)
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -278,7 +339,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, t
             for text in batch.column(at).to_pylist():
                 if text:
                     base, loose, _ = candidates(text)
-                    spans = base + [(a, b, k) for a, b, k, c in loose if c in accepted]
+                    spans = base + [(a, b, k) for a, b, k, _, f in loose if likelihood(weights, f) >= threshold]
                     text = redacted_text(text, spans) if spans else text
                 new.append(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))

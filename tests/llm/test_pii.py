@@ -37,10 +37,37 @@ def test_long_runs_are_linear():
 def test_em_finds_the_poor_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(20000) < 0.5
-    said = np.stack([np.where(rng.random(20000) < q, truth, ~truth) for q in (0.95, 0.9, 0.9, 0.85, 0.8, 0.5)], axis=1).astype(int)
+    said = np.stack([np.where(rng.random(20000) < q, truth, ~truth) for q in (0.95, 0.9, 0.9, 0.85, 0.5)], axis=1).astype(int)
     p, table = pii.reliabilities(np.zeros(20000, int), said, np.ones(20000))
     assert ((p > 0.5) == truth).mean() > 0.96
-    assert abs(table[0, 1, 1] - 0.95) < 0.02 and abs(table[5, 1, 1] - 0.5) < 0.03
+    assert abs(table[0, 0, 1, 1] - 0.95) < 0.02 and abs(table[0, 4, 1, 1] - 0.5) < 0.03
+
+
+def test_the_model_alone_knows_planted_spans_from_decoys():
+    """Trained without truth on one half of the texts; on the other half it accepts base spans and secrets, and rejects decoys."""
+    rng = np.random.default_rng(6)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    words = ["tor", "elm", "the", "sand", "of", "ever", "lume", "hath", "on", "quite"]
+    filler = lambda: " ".join(rng.choice(words, 6))
+    true = [lambda: f"{filler()} mail {rng.choice(words)}.{rng.choice(words)}@{rng.choice(words)}.com {filler()}", lambda: f"{filler()} call +1 ({digits(3)}) 555-{digits(4)} {filler()}", lambda: f"{filler()} host 10.{rng.integers(1, 250)}.{rng.integers(1, 250)}.7 {filler()}",
+            lambda: f'{filler()} api token = "{hexes(40)}" {filler()}', lambda: f"{filler()} {rng.choice(words)}@{rng.choice(words)}.org {filler()}"]
+    decoy = [lambda: f"{filler()} commit{hexes(33)} is commit {hexes(37)}, {filler()}", lambda: f"{filler()} order {digits(3)}-{digits(3)}-{digits(4)}, {filler()}"]
+    texts = [(k, make()) for _ in range(150) for k, makes in ((1, true), (0, decoy)) for make in makes]
+
+    def spans(part):
+        out = []
+        for k, t in part:
+            _, loose, base = pii.candidates(t)
+            out += [(k, c, f) for c, f in base] + [(k, c, f) for _, _, _, c, f in loose]
+        return out
+
+    learn, test = spans(texts[::2]), spans(texts[1::2])
+    codes, n = np.unique([c for _, c, _ in learn], return_counts=True)
+    target = pii.probabilities(codes, n)
+    w = pii.trained([f for _, _, f in learn], np.array([target[c] for _, c, _ in learn]))
+    accepted = lambda k: np.mean([pii.likelihood(w, f) >= 0.5 for t, _, f in test if t == k])
+    assert accepted(1) >= 0.95 and accepted(0) <= 0.05
 
 
 def test_frames(spark):
