@@ -131,7 +131,7 @@ def by_node(batches, run) -> Iterator:
 
 def promising(members: DataFrame, wide: DataFrame, own: DataFrame | None, least: float) -> DataFrame:
     """Members of small nodes that have a likely partner of another component there, by the bins."""
-    rows = with_own(members.select("node", "rep").join(wide, "rep"), own).select("node", "rep", "own", "wide")
+    rows = owned(packed(members.select("node", "rep")).join(wide, "rep"), own).select("rep", "own", "wide", F.inline("each")).select("node", "rep", "own", "wide")
 
     def of_node(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -188,11 +188,21 @@ def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(lambda b: by_node(b, of_node), "a long, b long")
 
 
-def with_own(rows: DataFrame, own: DataFrame | None) -> DataFrame:
+def packed(rows: DataFrame) -> DataFrame:
+    """One row for each rep, with what else its rows hold in `each`: a rep stands in few nodes (by trees and depth), so joins on it are made once, not once a node."""
+    return rows.groupBy("rep").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "rep"])).alias("each"))
+
+
+def owned(reps: DataFrame, own: DataFrame | None) -> DataFrame:
     """Adds each rep's component so far."""
     if own is None:
-        return rows.withColumn("own", F.col("rep"))
-    return rows.join(own.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("own", F.coalesce("component", "rep")).drop("component")
+        return reps.withColumn("own", F.col("rep"))
+    return reps.join(own.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("own", F.coalesce("component", "rep")).drop("component")
+
+
+def with_own(rows: DataFrame, own: DataFrame | None) -> DataFrame:
+    """Adds the component so far of each row's rep."""
+    return owned(packed(rows), own).select("rep", "own", F.inline("each"))
 
 
 def undecided(members: DataFrame, own: DataFrame) -> DataFrame:
@@ -294,7 +304,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if leaves:
         connect(union(leaves))
 
-    found = with_own(named, own).select("set_key", F.col("own").alias("found"))
+    found = owned(named, own).select("set_key", F.col("own").alias("found"))
     joined = every.join(found, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
