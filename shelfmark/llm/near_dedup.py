@@ -67,7 +67,7 @@ def gathered(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Members (node, rep, n, lead) of nodes with two members at least; of nodes with equal members one stays."""
     nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("n > 1")
     nodes = scratch.write(nodes.groupBy("n", "lead", "x").agg(F.min("node").alias("node")).drop("x"), "nodes")
-    return filters.known(rows, "node", filters.build(nodes, "node")).join(nodes, "node").select("node", "rep", "n", "lead")
+    return filters.build(nodes, "node").known(rows, "node").join(nodes, "node").select("node", "rep", "n", "lead")
 
 
 def meets(similarity: float, level: int, agree: float | None = None) -> float:
@@ -268,7 +268,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = scratch.write(reps.select("set_key", "rep"), "named")
     scratch.drop(reps)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    near = scratch.write(finer(filters.known(texts, "rep", filters.build(members, "rep"))), "near")
+    near = scratch.write(finer(filters.build(members, "rep").known(texts, "rep")), "near")
     wide = near.select("rep", "wide")
     own: DataFrame | None = None
 
@@ -280,7 +280,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if pairs is not None:
             pairs = scratch.write(pairs, "pairs")
             ids, used = ids.unionAll(pairs.select(F.explode(F.array("a", "b")))), [rows, pairs]
-        sets = scratch.write(full_sets(filters.known(texts, "rep", filters.build(ids, "rep"))), "sets")
+        sets = scratch.write(full_sets(filters.build(ids, "rep").known(texts, "rep")), "sets")
         links = linked(rows, sets, percent)
         links = scratch.write(links if pairs is None else links.unionAll(confirmed(pairs, sets, percent)), "confirmed")
         scratch.drop(sets, *used)
@@ -337,17 +337,17 @@ def told_apart(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
     again = scratch.write(docs.where(own.isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "again")
     if again.isEmpty():
         return docs.withColumn("__id", own)
-    both = filters.marked(docs, id_col, filters.build(again, id_col))
-    some = both.where("__known").drop("__known").withColumn("__text", F.coalesce(text, F.lit("")))
+    some, others = filters.build(again, id_col).split(docs, id_col)
+    some = some.withColumn("__text", F.coalesce(text, F.lit("")))
     first = scratch.write(some.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min("__text").alias("__first")), "first")
     other = F.xxhash64(own, F.col("__text")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     some = some.join(first, id_col, "left").withColumn("__id", F.when(F.col("__text") != F.col("__first"), other).otherwise(own))
-    return both.where("not __known").drop("__known").withColumn("__id", own).unionByName(some.select(*docs.columns, "__id"))
+    return others.withColumn("__id", own).unionByName(some.select(*docs.columns, "__id"))
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows that stay, with all their columns: one identifier of each component. Texts that share an identifier are told apart."""
+    """The rows that stay, with all their columns: one identifier of each component. Texts that share an identifier are told apart. Columns may have any names but __id, __text and __first."""
     scratch = Scratch(docs.sparkSession)
     rows = told_apart(docs, id_col, text_col, scratch)
     dropped = scratch.write(near_dedup(rows, "__id", text_col, **options).where("not kept").select(F.col("doc_id").alias("__id")), "dropped")
-    return filters.without(rows, "__id", dropped, filters.build(dropped, "__id")).select(*docs.columns)
+    return filters.without(rows, "__id", dropped).select(*docs.columns)
