@@ -66,10 +66,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, f"{scratch_root(spark).rstrip('/')}/shelfmark-{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """The table, written (a folder for each value of the columns `by`) and to be read anew."""
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, partitionBy=list(by) or None)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
