@@ -1,6 +1,6 @@
 """Language identification by rank-order profiles.
 
-A profile ranks the most frequent n-grams (of 1 to 4 code points, words set off by a space) of all texts
+A profile ranks the most frequent n-grams (of 1 to 4 code points, words set off by a space; told apart by 63-bit hashes) of all texts
 learned from in one language. A document's own most frequent n-grams are ranked alike over its whole text, and
 its distance to a profile is the sum of how far each n-gram is out of place there, or the profile's
 length where the profile lacks it. The nearest profile names the language; ties go to the smaller name.
@@ -8,7 +8,8 @@ length where the profile lacks it. The nearest profile names the language; ties
 The score is the relative lead over the next nearest profile, mapped to 0.5 to 1 (1 with one profile
 only). A text that is null or holds no letter is `und` with score 0. Profiles are learned from at most
 `per_lang` documents of each language, those with the smallest hash of their identifier, never from rows that are held
-out (crc32 of the identifier mod 3 is 1, or a null identifier). Without any profile all is `und`.
+out (crc32 of the identifier mod 3 is 1, or a null identifier). Without any profile all is `und`. Ties of frequency go by hash. Identifiers are cast to
+long; rows that repeat are predicted each on its own; columns not named are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -25,74 +26,89 @@ from .toxicity import held_out
 
 TOP, PROFILE = 300, 400
 PER_LANG = 2000
-BITS, LONGEST = 17, 4
+LONGEST = 4
 BLOCK = 1 << 20
+MERGED = 1 << 18  # counted n-grams that a task holds of one language before it adds them up
 LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
-def counts(text: str) -> np.ndarray:
-    """How often each hashed n-gram occurs in a text's words."""
+def added_up(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, and the sums of their counts."""
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
+    return grams[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed n-grams of a text's words, and how often each occurs."""
     text = f" {OTHER.sub(' ', text.lower()).strip()} "
-    out = np.zeros(1 << BITS, np.int64)
+    parts = []
     for at in range(0, len(text), BLOCK):
         c = np.frombuffer(text[at : at + BLOCK + LONGEST - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        h, own = c, len(c) if at + BLOCK >= len(text) else BLOCK
+        h, own, found = c, len(c) if at + BLOCK >= len(text) else BLOCK, []
         for n in range(1, LONGEST + 1):
             if n > 1:
                 h = h[:-1] * np.uint64(0x100000001B3) + c[n - 1 :]
             if len(h) == 0:
                 break
-            out += np.bincount((((h[:own] ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-    return out
+            found.append((((h[:own] ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64))
+        x = np.sort(np.concatenate(found))
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        parts.append((x[first], np.diff(np.append(first, len(x)))))
+    return parts[0] if len(parts) == 1 else added_up(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
 
 
-def ranked(n: np.ndarray, top: int) -> np.ndarray:
+def ranked(grams: np.ndarray, n: np.ndarray, top: int) -> np.ndarray:
     """The most frequent n-grams, first the most frequent; ties by hash."""
-    at = np.flatnonzero(n)
-    if len(at) > top:
-        least = np.partition(n[at], len(at) - top)[len(at) - top]
-        at = at[n[at] >= least]
-    return at[np.argsort(-n[at], kind="stable")][:top]
+    if len(n) > top:
+        some = n >= np.partition(n, len(n) - top)[len(n) - top]
+        grams, n = grams[some], n[some]
+    return grams[np.argsort(-n, kind="stable")][:top]
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> dict[str, np.ndarray]:
-    """The ranked n-grams of each language; a task sends one row of counts per language."""
+    """The ranked n-grams of each language, counted and ranked on executors: PROFILE rows a language reach the driver."""
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    sized = known.groupBy("lang").count()
-    few = {r["lang"]: r["count"] for r in sized.collect()}
-    if not few:
-        return {}
-    share = F.lit(0.0)
-    for lang, n in few.items():  # one row a language
-        share = F.when(F.col("lang") == lang, min(1.0, per_lang / n)).otherwise(share)
-    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
+    sized = known.groupBy("lang").agg(F.count("*").alias("of"))  # a row a language
+    known = known.join(F.broadcast(sized), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < per_lang / F.col("of") * (1 << 20))
 
     def run(batches):
-        found: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text")):
-                n = counts(text)
-                found[lang] = found[lang] + n if lang in found else n
-        for lang, n in found.items():
-            at = np.flatnonzero(n)
-            yield pa.record_batch([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "gram", "n"])
-
-    summed = known.select("lang", "text").mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    out = {}
-    for lang in sorted(few):
-        best = summed.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(PROFILE).toArrow()
-        out[lang] = best.column("gram").to_numpy().astype(np.int64)
-    return out
-
-
-def places(found: dict[str, np.ndarray]) -> np.ndarray:
-    """For each language and n-gram its rank, or -1."""
-    out = np.full((len(found), 1 << BITS), -1, np.int16)
-    for k, lang in enumerate(sorted(found)):
-        out[k, found[lang]] = np.arange(len(found[lang]))
-    return out
+                own = held.setdefault(lang, [])
+                own.append(counts(text))
+                if sum(len(n) for _, n in own[1:]) > MERGED:
+                    held[lang] = [added_up(*(np.concatenate([p[k] for p in own]) for k in (0, 1)))]
+        found = {lang: added_up(*(np.concatenate([p[k] for p in own]) for k in (0, 1))) for lang, own in held.items()}
+        for lang, (grams, n) in found.items():
+            yield pa.record_batch([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+    summed = known.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best = summed.withColumn("place", place).where(F.col("place") <= PROFILE).toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    langs, grams = best.column("lang").to_pylist(), best.column("gram").to_numpy()
+    return {lang: grams[[k for k, x in enumerate(langs) if x == lang]] for lang in sorted(set(langs))}
+
+
+class Places:
+    """The rank of an n-gram in each language's profile."""
+
+    def __init__(self, found: dict[str, np.ndarray]):
+        self.names = sorted(found)
+        self.grams = np.unique(np.concatenate([*found.values(), np.zeros(0, np.int64)]))
+        self.rank = np.full((len(found), len(self.grams)), -1, np.int16)
+        for k, name in enumerate(self.names):
+            self.rank[k, np.searchsorted(self.grams, found[name])] = np.arange(len(found[name]))
+
+    def distances(self, own: np.ndarray) -> np.ndarray:
+        """How far a document's ranked n-grams are out of place in each profile, in all."""
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        place = np.where(self.grams[at] == own, self.rank[:, at], -1).astype(np.int64)
+        return np.where(place < 0, PROFILE, np.abs(place - np.arange(len(own)))).sum(axis=1)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_lang: int = PER_LANG) -> DataFrame:
@@ -100,10 +116,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     spark = docs.sparkSession
     ship(spark)
     found = profiles(docs, id_col, text_col, lang_col, per_lang)
-    shared = spark.sparkContext.broadcast((sorted(found), places(found)))  # 2 << BITS bytes a language
+    shared = spark.sparkContext.broadcast(Places(found))  # PROFILE numbers a language
 
     def run(batches):
-        names, rank = shared.value
+        places = shared.value
+        names = places.names
         for batch in batches:
             lang, score = [], []
             for text in texts_of(batch, "text"):
@@ -111,9 +128,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     lang.append("und")
                     score.append(0.0)
                     continue
-                own = ranked(counts(text), TOP)
-                place = rank[:, own].astype(np.int64)
-                far = np.where(place < 0, PROFILE, np.abs(place - np.arange(len(own)))).sum(axis=1)
+                far = places.distances(ranked(*counts(text), TOP))
                 order = np.argsort(far, kind="stable")
                 lang.append(names[order[0]])
                 second = far[order[1]] if len(order) > 1 else 0

@@ -49,15 +49,43 @@ def test_blocks_make_no_difference(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 97)
     monkeypatch.setattr(langid, "BLOCK", 97)
     assert sorted(set(np.concatenate(toxicity.ngrams(text)).tolist())) == sorted(set(a.tolist()))
-    assert (langid.counts(text) == b).all()
+    assert all((x == y).all() for x, y in zip(langid.counts(text), b))
 
 
 def test_profile_against_plain_counting():
     text = "abra cadabra ab"
-    n = langid.counts(text)
+    grams, n = langid.counts(text)
     plain = Counter(f" {text} "[i : i + k] for k in range(1, 5) for i in range(len(text) + 3 - k))
-    assert sorted(n[n > 0].tolist()) == sorted(plain.values())
-    assert n[langid.ranked(n, 5)].tolist() == sorted(plain.values(), reverse=True)[:5]
+    assert sorted(n.tolist()) == sorted(plain.values()) and len(set(grams)) == len(grams)
+    top = langid.ranked(grams, n, 5)
+    assert [n[list(grams).index(g)] for g in top] == sorted(plain.values(), reverse=True)[:5]
+
+
+def plain_hash(gram):
+    h = 0
+    for c in gram:
+        h = (h * 0x100000001B3 + ord(c)) % 2**64
+    return ((h ^ len(gram)) * 0x9E3779B97F4A7C15) % 2**64 >> 1
+
+
+def plain_ranks(texts, top):
+    n = Counter()
+    for text in texts:
+        line = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in text.lower()).split())} "
+        n.update(line[i : i + k] for k in range(1, 5) for i in range(len(line) + 1 - k))
+    return sorted(n, key=lambda g: (-n[g], plain_hash(g)))[:top]
+
+
+def test_out_of_place_distance_against_brute_force(spark):
+    rng = random.Random(8)
+    alphabets = {"aa": "abcdefaaee", "bb": "abmnoabrii", "cc": "éèabuabstu"}
+    docs = [(i, words(rng, rng.randint(1, 80), alphabets[lang]), lang) for i in range(120) for lang in ["abc"[i % 3] * 2]]
+    learned = {lang: plain_ranks([t for i, t, x in docs if x == lang and not is_held(i)], langid.PROFILE) for lang in alphabets}
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    for i, text, _ in docs:
+        own = plain_ranks([text], langid.TOP)
+        far = sorted((sum(abs(p.index(g) - k) if g in p else langid.PROFILE for k, g in enumerate(own)), lang) for lang, p in learned.items())
+        assert got[i].lang_pred == far[0][1] and abs(got[i].score - (0.5 + 0.5 * (far[1][0] - far[0][0]) / far[1][0])) < 1e-12
 
 
 def test_langid_on_held_out_rows(spark):
