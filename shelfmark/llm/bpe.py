@@ -17,7 +17,7 @@ Two rules make agreement exact.
   the right side's, leaves only neighbours that were checked already.
 
 Tokens in special form (such as an end-of-text mark) are told apart before, as the tokenizers library
-does. Null texts count as empty and give no ids; one task holds one batch of texts at a time.
+does. Identifiers are cast to long, rows that repeat are encoded each on its own, and columns not named are not read. Null texts count as empty and give no ids; one task holds one batch of texts at a time.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ closures are generated that yield the output piece by piece, so a conversation o
 Conversations are rows by turn. Their turns are sorted by turn, then role, then text, in one task a
 conversation, of which a bounded part is held in memory at a time: the output has a row for each segment
 of about `segment_chars` characters. Null texts and roles count as empty, rows with a null conversation
-are one conversation, repeated rows are turns of their own. An empty table gives an empty result.
+are one conversation, repeated rows are turns of their own. An empty table gives an empty result. Conversation identifiers are cast to long, and columns not named are not read.
 """
 
 from __future__ import annotations
@@ -361,15 +361,17 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, conv_col: s
 
 
 def merged(run: Callable, rows: int = 2000, size: int = 1 << 24) -> Callable:
-    """Joins the small batches a function yields."""
+    """Joins the small batches a function yields, until they have so many rows or bytes."""
 
     def bigger(batches):
         held: list[pa.RecordBatch] = []
+        n = weight = 0
         for b in run(batches):
             held.append(b)
-            if len(held) >= rows or sum(x.nbytes for x in held[-8:]) > size:
+            n, weight = n + b.num_rows, weight + b.nbytes
+            if n >= rows or weight >= size:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held = []
+                held, n, weight = [], 0, 0
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 

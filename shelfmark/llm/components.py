@@ -1,4 +1,7 @@
-"""Connected components of links by alternating large and small stars, in DataFrame operations."""
+"""Connected components of links by alternating large and small stars, in DataFrame operations.
+
+Links may repeat, run either way, and join a node with itself (such links say nothing); those with a null end are left out. No links give no rows.
+"""
 
 from __future__ import annotations
 

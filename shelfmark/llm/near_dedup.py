@@ -15,7 +15,7 @@ the greatest depth, these are compared with all of the node, in blocks; other no
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. Rows
 with a null identifier are linked with nothing, and their component is null. Rows that repeat an identifier share its component. The result
-depends on no order of rows.
+depends on no order of rows. Identifiers are cast to long; columns not named are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

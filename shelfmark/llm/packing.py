@@ -9,7 +9,7 @@ windows are nearly equal. If one holds more than a sequence takes, the number of
 the differencing begins anew.
 
 Null texts count as empty; each document has one id at least, the end mark. Rows that repeat a
-document are packed each on its own. Groups hold a bounded number of fragments, whatever is hot, and
+document are packed each on its own. Identifiers are cast to long; columns not named are not read; an empty table gives no pieces. Groups hold a bounded number of fragments, whatever is hot, and
 only their lengths, never ids.
 """
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,3 +60,11 @@ def test_frame(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{x}\n" for _, role, x in own).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.digests(chat.format_conversations(turns.limit(0))).count() == 0
+
+
+def test_batches_are_let_go_by_their_bytes():
+    big = [pa.record_batch([pa.array(["x" * (1 << 20)])], names=["t"]) for _ in range(60)]
+    given = iter(big)
+    out = chat.merged(lambda batches: given)(None)
+    next(out)
+    assert sum(1 for _ in given) >= 60 - 17
