@@ -1,4 +1,9 @@
-"""A training corpus out of documents: toxicity filter, exact and near dedup, personal data, packing."""
+"""A training corpus out of documents: toxicity filter, exact and near dedup, personal data, packing.
+
+Each stage takes null and empty texts (they are never toxic or near copies; as exact copies of each other one stays), rows with a null identifier (the dedup stages keep them),
+repeated identifiers, empty tables and further columns, which all but the last stage return as they are. Ties go to the smaller identifier. The stages'
+operators say more.
+"""
 
 from __future__ import annotations
 
