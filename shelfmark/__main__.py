@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import config
 from .operators import catalog as C
-from .operators import executor, lint, plan, report, search
+from .operators import executor, filing, lint, plan, report, search
 from .sources import extract, records, vault
 from .streaming import watch
 
@@ -21,8 +21,7 @@ def collection(spark: SparkSession, root: str, cfg: config.Config) -> tuple[Data
     files = vault.read(spark, root, content=True)
     side = records.sidecars(files)
     docs = files.where("kind = 'document'").drop("content", "kind")
-    known = os.path.join(root, ".tags.parquet")
-    docs = docs.join(spark.read.parquet(known), "rel_path", "left") if os.path.exists(known) else docs.withColumn("tags", F.array().cast("array<string>"))
+    docs = docs.join(filing.read_tags(spark, root), "rel_path", "left")
     docs = search.with_placeholders(docs, files.where("kind = 'placeholder'").select(F.col("rel_path").alias("path")))
     meta = F.struct(*[F.col(f"meta.{k}") for k in ("doctype", "owners", "identifier", "year", "fields", "text", "source_sha256")])
     docs = search.attach_sidecars(search.hydrate(docs, cfg), side.select("doc_path", meta.alias("meta")))
@@ -36,7 +35,7 @@ def proposed(spark: SparkSession, root: str, cfg: config.Config, files: DataFram
 
 def main(args: list[str]) -> int:
     p = argparse.ArgumentParser(prog="shelfmark", description=__doc__)
-    p.add_argument("command", choices="find lint index doctypes ingest rollback log watch".split())
+    p.add_argument("command", choices="find resolve lint index doctypes ingest reindex move tag supersede rollback log watch".split())
     p.add_argument("--root", default=".")
     for name in ("person", "company", "area", "doctype", "period", "text"):
         p.add_argument(f"--{name}")
@@ -47,6 +46,11 @@ def main(args: list[str]) -> int:
     p.add_argument("--select", default="all")
     p.add_argument("--manifest")
     p.add_argument("--out", default="proposals")
+    p.add_argument("--path", action="append", default=[], help="a document (move, tag, supersede: the one that gives way)")
+    p.add_argument("--by", help="the document that takes its place (supersede)")
+    p.add_argument("--add", action="append", default=[])
+    p.add_argument("--remove", action="append", default=[])
+    p.add_argument("--for-send", action="store_true", help="confidential documents need --yes (resolve)")
     p.add_argument("--yes", action="store_true")
     a = p.parse_args(args)
     cfg = config.load(config.find(a.root))
@@ -67,19 +71,47 @@ def main(args: list[str]) -> int:
     elif a.command == "index":
         docs, orphans = collection(spark, root, cfg)
         records.replace(path := os.path.join(root, "INDEX.md"), ((line + "\n").encode() for line in report.index_lines(docs, orphans, cfg, catalog, os.path.basename(root))))
-        said = {"path": path}
+        records.replace(guide := os.path.join(root, "AGENTS.md"), ((line + "\n").encode() for line in report.agents_lines(cfg, catalog, os.path.basename(root))))
+        said = {"path": path, "guide": guide}
     elif a.command == "doctypes":
         said = rows(report.filed_by_doctype(collection(spark, root, cfg)[0], catalog, {t.name for t in C.built_in()}).orderBy("doctype"))
     elif a.command == "ingest":
         files = vault.read(spark, root, content=True).where((F.col("kind") == "document") & F.col("rel_path").startswith(a.folder.rstrip("/") + "/"))
         found = proposed(spark, root, cfg, files).cache()
         if a.yes:
-            chosen = search.select(found, search.parse_selection(a.select, found.count())).where("destination is not null")
-            moves = chosen.select(F.concat(F.lit(root + "/"), "path").alias("source"), F.concat(F.lit(root + "/"), "destination").alias("destination"), "sha256")
-            there = vault.read(spark, root, content=True).select(F.concat(F.lit(root + "/"), "rel_path").alias("path"), "sha256")
-            said = executor.execute(plan.planned(moves, there).join(moves.select("source", "sha256"), "source"), root, "ingest")
+            chosen = search.select(found, search.parse_selection(a.select, found.count()))
+            said = filing.file_proposals(chosen, vault.read(spark, root, content=True).select(F.col("rel_path").alias("path"), "sha256"), cfg, root)
         else:
             said, code = {"proposals": rows(found.drop("text", "modified").orderBy("index")), "confirmation": "required"}, 3
+    elif a.command == "reindex":
+        files = vault.read(spark, root, content=True).where(F.col("kind") == "document")
+        found = proposed(spark, root, cfg, files).where(F.col("path").isin(a.path) if a.path else F.lit(True))
+        said, code = (filing.reindex(found, root), 0) if a.yes else ({"documents": rows(found.select("path", "doctype", "destination").orderBy("path")), "confirmation": "required"}, 3)
+    elif a.command == "move":
+        docs, orphans = collection(spark, root, cfg)
+        fixes = lint.fixes(lint.findings(docs, orphans, cfg, catalog).where("rule in ('wrong-folder', 'name-normalization')")).where(F.col("path").isin(a.path) if a.path else F.lit(True))
+        if a.yes:
+            full = lambda c: F.concat(F.lit(root + "/"), F.col(c))
+            moves = fixes.join(docs.select(F.col("rel_path").alias("path"), "sha256"), "path").select(full("path").alias("source"), full("move_to").alias("destination"), "sha256")
+            planned = plan.planned(moves, docs.select(full("rel_path").alias("path"), "sha256")).join(moves.select("source", "sha256"), "source")
+            said = executor.execute(planned, root)
+        else:
+            said, code = {"moves": rows(fixes.orderBy("path")), "confirmation": "required"}, 3
+    elif a.command in ("tag", "supersede"):
+        docs = collection(spark, root, cfg)[0]
+        changed = filing.supersede(docs, a.path[0], a.by) if a.command == "supersede" else filing.retag(docs, spark.createDataFrame([(x,) for x in a.path], "rel_path string"), a.add, a.remove, cfg)
+        said, code = {"documents": rows(changed.orderBy("rel_path"))}, 0
+        if a.yes:
+            filing.write_tags(spark, root, changed)
+            records.append_audit(os.path.join(root, "audit.jsonl"), {"op": a.command, "actor": "shelfmark", "paths": [d["rel_path"] for d in said["documents"]], "confirmed": True})
+        else:
+            said, code = said | {"confirmation": "required"}, 3
+    elif a.command == "resolve":
+        docs = collection(spark, root, cfg)[0]
+        path = search.resolve_path(docs, search.Query(a.person, a.company, a.area, a.doctype, a.period, tuple(a.tag), a.text, a.active), cfg, root)
+        tags = docs.where(F.col("rel_path") == path).select(F.coalesce("tags", F.array().cast("array<string>")).alias("tags")).first().tags
+        held = a.for_send and cfg.confirm_confidential and "confidential" in tags and not a.yes
+        said, code = ({"path": path, "confirmation": "required", "reason": "tagged confidential"}, 3) if held else ({"path": path}, 0)
     elif a.command == "rollback":
         said = executor.rollback(records.read_manifest(spark, a.manifest), root)
     elif a.command == "log":

@@ -11,6 +11,36 @@ REPLY = "struct<contract:int,engine:string,doctype:string,category:string,confid
 CONTRACT = 1
 
 
+def first_object(answer: Column) -> Column:
+    """The first balanced {...} of an answer, which may stand in prose or a fence; braces inside quoted text do not count. Null without one."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def step(s: Column, c: Column) -> Column:
+        at, open_, shut = s["at"] + 1, ~s["quoted"] & (c == "{"), ~s["quoted"] & (c == "}") & (s["depth"] > 0)
+        depth = F.when(open_, s["depth"] + 1).when(shut, s["depth"] - 1).otherwise(s["depth"])
+        quoted = F.when(s["quoted"], (c != '"') | s["escaped"]).otherwise(c == '"')
+        new = F.struct(
+            at.alias("at"), depth.alias("depth"), quoted.alias("quoted"), (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"),
+            F.when(open_ & (s["depth"] == 0), at).otherwise(s["first"]).alias("first"), F.when(shut & (depth == 0), at).otherwise(F.lit(0)).alias("last"),
+        )
+        return F.when(s["last"] > 0, s).otherwise(new)
+
+    return F.aggregate(F.split(answer, ""), start, step, lambda s: F.when(s["last"] > 0, F.substring(answer, s["first"], s["last"] - s["first"] + 1)))
+
+
+def share(confidence: Column) -> Column:
+    """A confidence, also one written as text or of a hundred, as 0 to 1 with four places; null for no number."""
+    n = F.trim(confidence.cast("string")).try_cast("double")
+    return F.round(F.least(F.greatest(F.when(n > 1, n / 100).otherwise(n), F.lit(0.0)), F.lit(1.0)), 4)
+
+
+def loose_answer(answer: Column) -> Column:
+    """(doctype, category, confidence, fields) that a small model's free answer holds; null where no object with a type can be read."""
+    said = F.from_json(first_object(answer), "struct<doctype:string,category:string,confidence:string,fields:map<string,string>>")
+    good = F.trim(F.coalesce(said["doctype"], F.lit(""))) != ""
+    return F.when(good, F.struct(F.trim(said["doctype"]).alias("doctype"), said["category"].alias("category"), F.coalesce(share(said["confidence"]), F.lit(0.0)).alias("confidence"), said["fields"].alias("fields")))
+
+
 def fault(json: Column) -> Column:
     """Why an answer can't be used: bad_response, unsupported_contract or the helper's own code; null for a good one."""
     said = F.from_json(json, REPLY)

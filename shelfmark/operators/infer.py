@@ -86,3 +86,11 @@ def merged(sure: Column, model: Column, text: Column) -> tuple[Column, Column]:
     bad = F.map_filter(fresh, lambda k, v: ~grounded(text, v))
     other = F.map_filter(model, lambda k, v: F.coalesce(words(F.try_element_at(sure, k)) != words(v), F.lit(False)))
     return F.map_concat(sure, good), F.map_concat(F.transform_values(other, lambda k, v: F.lit("superseded")), F.transform_values(bad, lambda k, v: F.lit("ungrounded")))
+
+
+def merged_over(primary: Column, extra: Column) -> Column:
+    """The fields of a stated type over those found before; null without any."""
+    empty = F.create_map().cast("map<string,string>")
+    primary, extra = F.coalesce(primary, empty), F.coalesce(extra, empty)
+    both = F.map_concat(primary, F.map_filter(extra, lambda k, v: ~F.map_contains_key(primary, k)))
+    return F.when(F.size(both) > 0, both)

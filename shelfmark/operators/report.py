@@ -65,3 +65,12 @@ def index_lines(documents: DataFrame, orphans: DataFrame, config: Config, catalo
 def index_text(documents: DataFrame, orphans: DataFrame, config: Config, catalog: Catalog, title: str) -> str:
     """The index as Markdown; equal collections give equal bytes."""
     return "".join(line + "\n" for line in index_lines(documents, orphans, config, catalog, title))
+
+
+def agents_lines(config: Config, catalog: Catalog, title: str) -> Iterator[str]:
+    """The lines of a guide for programs that work with the collection: where things lie, how names are built, what is known, and how to ask. As large as the configuration."""
+    yield from [f"# Guide to {title}", "", "Written by a program; edits are lost when it is written again.", "", "## Where documents lie", "", "| category | folder |", "|---|---|"]
+    yield from [f"| {c.name} | `{c.path}` |" for c in sorted(config.categories, key=lambda c: c.name)]
+    yield from ["", "## People", "", *[f"* {p.name} (tag `{p.tag}`)" for p in config.people], "", "## Types", "", *[f"* `{t.name}` ({t.category})" for t in catalog.types], "", "## Tags", ""]
+    yield from [f"* `{tag}` ({kind})" for tag, kind in sorted(G.explicit(config).items())]
+    yield from ["", "## Asking and changing", "", "* `find`, `resolve`, `lint`, `index`, `doctypes` and `log` only read.", "* `ingest`, `reindex`, `move`, `tag` and `supersede` say what they would do, and do it with `--yes`; nothing is ever deleted.", "* `rollback` undoes a manifest."]

@@ -163,6 +163,15 @@ def resolve_one(documents: DataFrame, query: Query, config: Config):
     return some[0].rel_path
 
 
+def resolve_path(documents: DataFrame, query: Query, config: Config, root: str) -> str:
+    """The document that a text names as a path, absolute or below the root; else the one document that matches the query."""
+    if query.text:
+        rel = query.text[len(root.rstrip("/")) + 1 :] if query.text.startswith(root.rstrip("/") + "/") else query.text
+        if documents.where(F.col("rel_path") == rel).limit(1).count():
+            return rel
+    return resolve_one(documents, query, config)
+
+
 def gated(tags: Column, unsupported: Column, config: Config) -> Column:
     """Whether a document may only be sent after confirmation; unknown tags count as confidential."""
     return F.lit(config.confirm_confidential) & (unsupported | G.has(tags, "confidential"))

@@ -10,6 +10,8 @@ from .plain import Sink
 FREE, END = 0xFFFFFFFF, 0xFFFFFFFE
 LIMIT = 64 << 20
 
+ANSI = "cp1252"  # of strings with one byte a character
+
 
 class Compound:
     """Streams of a compound file. Chains that loop or leave the file are faults."""
@@ -124,7 +126,7 @@ class Strings:
                 wide = self.take(1)[0] & 1
                 room = self.room()
             k = min(n, max(1, room // (1 + wide)))
-            out.append(self.take(k * (1 + wide)).decode("utf-16-le" if wide else "latin-1", "replace"))
+            out.append(self.take(k * (1 + wide)).decode("utf-16-le" if wide else ANSI, "replace"))
             n -= k
         self.take(4 * runs + more)
         return "".join(out)
@@ -162,7 +164,7 @@ def xls(raw: bytes) -> str:
             depth = max(0, depth - 1)
         elif kind == 0x85 and len(body) > 8:
             n, flags = body[6], body[7]
-            names.append(body[8 : 8 + n * (1 + (flags & 1))].decode("utf-16-le" if flags & 1 else "latin-1", "replace"))
+            names.append(body[8 : 8 + n * (1 + (flags & 1))].decode("utf-16-le" if flags & 1 else ANSI, "replace"))
         elif kind == 0xFC and len(body) >= 8:
             blocks = [body[8:]]
             for more, part in everything[k + 1 :]:
@@ -182,7 +184,7 @@ def xls(raw: bytes) -> str:
                 cells[row, col] = strings[i] if i < len(strings) else ""
             elif kind == 0x204 and len(body) >= 9:
                 n, flags = struct.unpack_from("<HB", body, 6)
-                cells[row, col] = body[9 : 9 + n * (1 + (flags & 1))].decode("utf-16-le" if flags & 1 else "latin-1", "replace")
+                cells[row, col] = body[9 : 9 + n * (1 + (flags & 1))].decode("utf-16-le" if flags & 1 else ANSI, "replace")
             elif kind == 0x27E and len(body) >= 10:
                 cells[row, col] = shown(rk(struct.unpack_from("<I", body, 6)[0]))
             elif kind == 0x203 and len(body) >= 14:
@@ -225,7 +227,7 @@ def ppt(raw: bytes) -> str:
             elif kind in (0x0FA0, 0x0FBA):
                 sink.line(stream[body:stop].decode("utf-16-le", "replace").replace("\r", "\n"))
             elif kind == 0x0FA8:
-                sink.line(stream[body:stop].decode("latin-1").replace("\r", "\n"))
+                sink.line(stream[body:stop].decode(ANSI, "replace").replace("\r", "\n"))
             at = body + n
 
     walk(0, len(stream), 0)

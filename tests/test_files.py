@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import config
 from shelfmark.operators import catalog as C
-from shelfmark.operators import executor, lint, plan, report, search
+from shelfmark.operators import executor, filing, lint, plan, report, search
 from shelfmark.sources import extract, records, vault
 from shelfmark.sources.extract import legacy, plain
 from shelfmark.streaming import watch
@@ -92,7 +92,7 @@ def test_propose_move_and_roll_back(spark, tree, loaded):
     assert (got.doctype, got.owners, got.year, got.identifier, got.confidence) == ("invoice", ["Omar Field"], 2024, "INV-9", 0.5)
     assert got.destination == "Financial/Omar-Field/FY 2024/Invoice_Omar-Field_INV-9_2024.txt" and set(got.tags) == {"omar-field", "fy2024", "active"} and not got.guessed
     over = plan.proposals(files, cfg, C.Catalog.of(cfg), {"doctype": "Receipt", "owners": ["nora-field"], "year": 2020}).first()
-    assert (over.classifier, over.confidence, over.destination) == ("human", 0.0, "Financial/Nora-Field/FY 2020/Receipt_Nora-Field_Acme_2020.txt")
+    assert (over.classifier, over.confidence, over.destination) == ("human", 0.0, "Financial/Nora-Field/FY 2020/Receipt_Nora-Field_INV-9_2020.txt")
     for bad in ({"doctype": "invoce"}, {"owners": ["Nobody"]}, {"category": "legal"}, {"year": 3}):
         with pytest.raises(ValueError):
             plan.checked(cfg, C.Catalog.of(cfg), bad)
@@ -262,3 +262,51 @@ def test_every_source_survives_suffixes(spark, tmp_path):
     with pytest.raises(FileExistsError):
         executor.copy_checked(str(tmp_path / "out/a.txt"), str(tmp_path / "there"), executor.digest(str(tmp_path / "out/a.txt")))
     assert (tmp_path / "there").read_text() == "old"
+
+
+def test_filing_tags_and_reindex(spark, tree, loaded):
+    cfg, _, _, docs = loaded
+    root, catalog = str(tree), C.Catalog.of(cfg)
+    (tree / "Inbox").mkdir()
+    for k in (1, 2):
+        (tree / f"Inbox/scan {k}.txt").write_text(f"TAX INVOICE {k}\nInvoice Number: INV-9\nBill To: Omar Field\nDate: 12/03/2024\nTotal: 12.50\n")
+    raw = vault.read(spark, root, content=True).where("rel_path like 'Inbox/%'")
+    files = extract.texts(raw).join(raw.select(F.col("rel_path").alias("path"), "sha256", F.col("mod_time").alias("modified")), "path")
+    found = plan.proposals(files, cfg, catalog)
+    edited = found.withColumn("tags", F.concat("tags", F.array(F.lit("made-up"))))
+    assert [x.tag for x in filing.rechecked(edited, cfg, root).first().dropped_tags] == ["made-up"]
+    bad = found.withColumn("destination", F.when(F.col("path") == "Inbox/scan 2.txt", "manifests/x.txt").otherwise(F.col("destination")))
+    done = filing.file_proposals(bad, vault.read(spark, root, content=True).select(F.col("rel_path").alias("path"), "sha256"), cfg, root, now=dt.datetime(2026, 5, 1))
+    assert done["left"] == [("Inbox/scan 2.txt", "reserved folder")] and len(done["moved"]) == 1 == len(done["sidecars"])
+    meta = records.meta_of(open(done["sidecars"][0], "rb").read())
+    assert (meta["doctype"], meta["owners"], meta["year"], meta["fields"]["invoice_number"]) == ("invoice", ["Omar Field"], 2024, "INV-9") and meta["source_sha256"] == executor.digest(done["moved"][0])
+    rel = os.path.relpath(done["moved"][0], root)
+    assert {r.rel_path: r.tags for r in filing.read_tags(spark, root).collect()} == {rel: ["active", "fy2024", "omar-field"]}
+    names = sorted(r.rel_path for r in docs.collect())
+    got = filing.retag(docs, spark.createDataFrame([(names[0],), (names[0],)], "rel_path string"), ["Active", "acme-corp"], [], cfg).collect()
+    assert [(r.rel_path, r.before, r.tags, r.added) for r in got] == [(names[0], [], ["acme-corp", "active"], ["acme-corp", "active"])]
+    with pytest.raises(ValueError):
+        filing.retag(docs, docs, ["made-up"], [], cfg)
+    turned = filing.supersede(docs.withColumn("tags", F.array(F.lit("active"))), names[0], names[1])
+    filing.write_tags(spark, root, turned)
+    assert {r.rel_path: r.tags for r in filing.read_tags(spark, root).collect()} == {rel: ["active", "fy2024", "omar-field"], names[0]: ["superseded"], names[1]: ["active"]}
+    with pytest.raises(ValueError):
+        filing.supersede(docs, names[0], "nowhere")
+    again = filing.reindex(found.where("path = 'Inbox/scan 2.txt'"), root, dt.datetime(2026, 5, 1))
+    assert again["elsewhere"][0][0] == "Inbox/scan 2.txt" and os.path.exists(again["sidecars"][0])
+    assert search.resolve_path(docs, search.Query(text=f"{root}/{names[1]}"), cfg, root) == names[1]
+    os.symlink("/tmp", tree / "out")
+    assert filing.within(root, f"{root}/new/x.txt") and not filing.within(root, f"{root}/out/x.txt")
+    assert any("passport" in line for line in report.agents_lines(cfg, catalog, "Papers"))
+
+
+def test_free_answers(spark):
+    from shelfmark.functions import model
+    from shelfmark.operators import infer
+
+    answers = ['Sure!\n```json\n{"doctype": "invoice", "confidence": 85, "fields": {"a": "}{"}}\n``` {"x": 1}', '{"doctype":"visa","confidence":"0.7"}', "none", "} { no end", '{"doctype": " "}', None, '{"doctype":"a \\" {","confidence":null}']
+    got = spark.createDataFrame([(k, a) for k, a in enumerate(answers)], "k int, a string").select("k", model.first_object(F.col("a")).alias("o"), model.loose_answer(F.col("a")).alias("s")).orderBy("k").collect()
+    assert got[0].o == '{"doctype": "invoice", "confidence": 85, "fields": {"a": "}{"}}' and [r.o is None for r in got] == [False, False, True, True, False, True, False]
+    assert [(r.s.doctype, r.s.confidence) if r.s else None for r in got] == [("invoice", 0.85), ("visa", 0.7), None, None, None, None, ('a " {', 0.0)]
+    m = spark.sql("SELECT map('a', '1', 'b', '2') AS p, map('b', '3', 'c', '4') AS e").select(infer.merged_over(F.col("p"), F.col("e")).alias("m"), infer.merged_over(F.lit(None).cast("map<string,string>"), F.lit(None).cast("map<string,string>")).alias("n")).first()
+    assert m.m == {"a": "1", "b": "2", "c": "4"} and m.n is None
