@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import model, ocr
 from ..functions import tags as G
 from ..operators import catalog as C
-from ..operators import infer, plan
+from ..operators import filing, infer, plan
 from .derived import CONFIG, views
 from .registry import query
 
@@ -150,3 +150,36 @@ def model_names_and_pages(spark, sf):
 @query(r"""SELECT id, 'kMDItemUserTags == "' || lower(replace(name, chr(39), '')) || '"c' AS expression FROM d_files""")
 def desktop_tag_query(spark, sf):
     return views(spark, sf, "d_files")["d_files"].select("id", model.tag_query(F.lower("name")).alias("expression"))
+
+
+FREE = """CASE id % 6 WHEN 0 THEN 'Sure: {"doctype": "invoice", "confidence": ' || cast(id % 90 + 2 AS string) || ', "fields": {"a": "}{"}} and {"x": 1}' WHEN 1 THEN '{"doctype":"visa","confidence":"0.' || cast(id % 10 AS string) || '"}' WHEN 2 THEN 'no answer ' || cast(id AS string)
+    WHEN 3 THEN '} {"doctype": "' WHEN 4 THEN '{"doctype": " ", "confidence": 1}' ELSE '{"doctype":" nda ","fields":{"k":"' || cast(id AS string) || '"}} {' END"""
+
+
+@query("""SELECT id, CASE id % 6 WHEN 0 THEN 'invoice' WHEN 1 THEN 'visa' WHEN 5 THEN 'nda' ELSE '-' END AS doctype, CASE id % 6 WHEN 0 THEN round((id % 90 + 2) / 100.0::DOUBLE, 4) WHEN 1 THEN round((id % 10) / 10.0::DOUBLE, 4) WHEN 5 THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END AS confidence,
+    CASE id % 6 WHEN 0 THEN '}{' WHEN 5 THEN id::VARCHAR ELSE '-' END AS field FROM d_files""")
+def model_free_answers(spark, sf):
+    """Objects in prose, confidences of a hundred or as text, and answers without an object."""
+    d = views(spark, sf, "d_files")["d_files"].select("id", model.loose_answer(F.expr(FREE)).alias("s"))
+    field = F.coalesce(F.try_element_at("s.fields", F.lit("a")), F.try_element_at("s.fields", F.lit("k")), F.lit("-"))
+    return d.select("id", F.coalesce("s.doctype", F.lit("-")).alias("doctype"), F.coalesce("s.confidence", F.lit(-1.0)).alias("confidence"), field.alias("field"))
+
+
+@query("""SELECT id, CASE id % 3 WHEN 0 THEN 'reserved folder' WHEN 1 THEN 'outside the collection' ELSE '-' END AS fault, CASE WHEN id % 2 = 0 THEN 'active' ELSE 'active|nora-field' END AS tags, CASE WHEN id % 2 = 0 THEN 'made-up-' || id ELSE '-' END AS dropped FROM d_files""")
+def filing_recheck(spark, sf):
+    d = views(spark, sf, "d_files")["d_files"]
+    target = F.element_at(F.array(F.concat(F.lit("manifests/"), "rel_path"), F.concat(F.lit("../"), "rel_path"), F.col("rel_path")), (F.col("id") % 3 + 1).cast("int"))
+    tags = F.when(F.col("id") % 2 == 0, F.array(F.lit("Active "), F.concat(F.lit("made-up-"), F.col("id").cast("string")))).otherwise(F.array(F.lit("nora-field"), F.lit("active"), F.lit("active")))
+    got = filing.rechecked(d.select("id", target.alias("destination"), tags.alias("tags")), CONFIG, "/vault")
+    return got.select("id", F.coalesce("fault", F.lit("-")).alias("fault"), F.array_join("tags", "|").alias("tags"), F.when(F.size("dropped_tags") > 0, F.array_join("dropped_tags.tag", "|")).otherwise("-").alias("dropped"))
+
+
+@query("""SELECT id, 'number:INV-' || id || CASE WHEN id % 2 = 0 THEN '|date:' || day ELSE '' END || '|seller:Globex' AS fields FROM (SELECT id, strftime(day, '%Y-%m-%d') AS day FROM d_texts)""")
+def infer_fields_over(spark, sf):
+    """Fields of a stated type over those found before."""
+    t = views(spark, sf, "d_texts")["d_texts"]
+    stated = F.create_map(F.lit("number"), F.concat(F.lit("INV-"), F.col("id").cast("string")))
+    found = F.map_filter(F.create_map(F.lit("number"), F.lit("old"), F.lit("seller"), F.lit("Globex"), F.lit("date"), F.when(F.col("id") % 2 == 0, F.col("day").cast("string"))), lambda k, v: v.isNotNull())
+    m = infer.merged_over(stated, found)
+    part = lambda k: F.when(F.map_contains_key(m, k), F.concat(F.lit(k + ":"), F.try_element_at(m, F.lit(k))))
+    return t.select("id", F.concat_ws("|", part("number"), part("date"), part("seller")).alias("fields"))
