@@ -16,10 +16,10 @@ from .sources import extract, records, vault
 from .streaming import watch
 
 
-def collection(spark: SparkSession, root: str, cfg: config.Config) -> tuple[DataFrame, DataFrame]:
-    """Documents with their sidecars, and orphan sidecars. Tags stand in tags.parquet (rel_path, tags), where there is one."""
-    files = vault.read(spark, root, content=True)
-    side = records.sidecars(files)
+def collection(spark: SparkSession, root: str, cfg: config.Config, hashed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents with their sidecars, and orphan sidecars. Bytes are read of sidecars only, unless digests are asked for. Tags stand in .tags.parquet (rel_path, tags), where there is one."""
+    files = vault.read(spark, root, content=hashed)
+    side = records.sidecars(files if hashed else vault.described(files.where("kind = 'sidecar'"), root))
     docs = files.where("kind = 'document'").drop("content", "kind")
     docs = docs.join(filing.read_tags(spark, root), "rel_path", "left")
     docs = search.with_placeholders(docs, files.where("kind = 'placeholder'").select(F.col("rel_path").alias("path")))
@@ -51,6 +51,7 @@ def main(args: list[str]) -> int:
     p.add_argument("--add", action="append", default=[])
     p.add_argument("--remove", action="append", default=[])
     p.add_argument("--for-send", action="store_true", help="confidential documents need --yes (resolve)")
+    p.add_argument("--gap", type=float, default=2.0, help="seconds without a change that end a burst (watch)")
     p.add_argument("--yes", action="store_true")
     a = p.parse_args(args)
     cfg = config.load(config.find(a.root))
@@ -65,7 +66,7 @@ def main(args: list[str]) -> int:
         found = rows(search.find(docs, query, cfg, a.limit).orderBy("rel_path"))
         said: object = {"count": total, "documents": found, "truncated": len(found) < total}
     elif a.command == "lint":
-        found = lint.findings(*collection(spark, root, cfg), cfg, catalog)
+        found = lint.findings(*collection(spark, root, cfg, hashed=True), cfg, catalog)
         said = {"findings": rows(lint.ordered(found)), **lint.counts(found).first().asDict()}
         code = 4 if said["error"] else 0
     elif a.command == "index":
@@ -88,7 +89,7 @@ def main(args: list[str]) -> int:
         found = proposed(spark, root, cfg, files).where(F.col("path").isin(a.path) if a.path else F.lit(True))
         said, code = (filing.reindex(found, root), 0) if a.yes else ({"documents": rows(found.select("path", "doctype", "destination").orderBy("path")), "confirmation": "required"}, 3)
     elif a.command == "move":
-        docs, orphans = collection(spark, root, cfg)
+        docs, orphans = collection(spark, root, cfg, hashed=True)
         fixes = lint.fixes(lint.findings(docs, orphans, cfg, catalog).where("rule in ('wrong-folder', 'name-normalization')")).where(F.col("path").isin(a.path) if a.path else F.lit(True))
         if a.yes:
             full = lambda c: F.concat(F.lit(root + "/"), F.col(c))
@@ -117,7 +118,7 @@ def main(args: list[str]) -> int:
     elif a.command == "log":
         said = rows(plan.tail(records.read_audit(spark, os.path.join(root, "audit.jsonl")), a.limit).orderBy("line"))
     else:
-        watch.watch(spark, root, lambda files: proposed(spark, root, cfg, files).drop("text"), a.out, a.out + ".checkpoint").awaitTermination()
+        watch.watch(spark, root, lambda files: proposed(spark, root, cfg, files).drop("text"), a.out, a.out + ".checkpoint", gap=a.gap).awaitTermination()
         said = {}
     print(records.envelope(a.command, said))
     return code

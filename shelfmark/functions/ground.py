@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Patterns of numbers and dates.
 NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 VALUE = r"^\p{Sc}?[\t\n\f\r ]*-?[\t\n\f\r ]*[0-9][0-9, ]*(?:\.[0-9]+)?$"
 NUMERIC = r"([0-9]{1,4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,4})"

@@ -143,7 +143,7 @@ def holds_text(text: str) -> Column:
 
 
 def find(documents: DataFrame, query: Query, config: Config, limit: int = 0) -> DataFrame:
-    """Matching documents in path order, with the columns of a result; count is the number before the limit (0: none)."""
+    """Matching documents with the columns of a result. With a limit they are the first in path order, and count is the number before it; without one (0) they are in no order, and whoever shows them sorts."""
     found = documents.where(query.column(config))
     rows = found.select(
         "rel_path", "name", "category", effective("doctype").alias("doctype"), effective("owners").alias("owners"), F.col("doc.identifier").alias("identifier"), effective("year").alias("year"), F.col("doc.modifier").alias("modifier"),

@@ -167,3 +167,25 @@ def register(spark) -> None:
 def read(spark, path: str, content: bool = False):
     register(spark)
     return spark.read.format("vault").option("content", str(content).lower()).load(path)
+
+
+def described(paths, root: str):
+    """The rows of files with their content, out of their paths (rel_path). Tasks read them, one file at a time. Null paths and files that are gone meanwhile are left out; repeated paths give repeated rows."""
+    from ..runtime import ship
+
+    ship(paths.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.timestamp("us", tz="UTC"), pa.string(), pa.string(), pa.binary()]
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():
+                try:
+                    found = row(root, rel, os.stat(os.path.join(root, rel)), True) if rel else None
+                except OSError:
+                    continue
+                if found:
+                    yield pa.record_batch([pa.array([x], k) for x, k in zip(found, kinds)], names=["rel_path", "name", "size", "mod_time", "kind", "sha256", "content"])
+
+    return paths.select("rel_path").mapInArrow(run, SCHEMA)

@@ -16,24 +16,31 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.search import watchable
 from ..runtime import ship
-from ..sources.vault import register
+from ..sources.vault import described, register
 
 
-def changes(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+def changes(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     register(spark)
     rows = spark.readStream.format("vault").option("content", str(content).lower()).load(path)
     return rows.where((F.col("kind") == "document") & watchable(F.col("rel_path")))
 
 
-def watch(spark: SparkSession, path: str, propose: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = False, every: str = "2 seconds") -> StreamingQuery:
-    """Writes the proposals of each batch to `out` as JSON lines; they are never carried out."""
+def watch(spark: SparkSession, path: str, propose: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = False, every: str = "2 seconds", gap: float | None = None) -> StreamingQuery:
+    """Writes the proposals of each batch to `out` as JSON lines; they are never carried out.
 
-    def batch(rows: DataFrame, number: int) -> None:
-        settled = rows.dropDuplicates(["rel_path"])
-        if not settled.isEmpty():
-            propose(settled).write.mode("overwrite").json(f"{out}/batch={number}")
+    Only paths stream; tasks read the files of a batch. With a gap (seconds) a burst of changes is one batch once nothing changed for so long.
+    """
 
-    writer = changes(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    def batch(rows: DataFrame, number: int) -> None:
+        paths = rows.select("rel_path").distinct()
+        if not paths.isEmpty():
+            propose(described(paths, path)).write.mode("overwrite").json(f"{out}/batch={number}")
+
+    rows = changes(spark, path)
+    if gap is not None:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        rows = settled(rows.select(F.lit(path).alias("tree"), "rel_path"), gap)
+    writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 

@@ -310,3 +310,22 @@ def test_free_answers(spark):
     assert [(r.s.doctype, r.s.confidence) if r.s else None for r in got] == [("invoice", 0.85), ("visa", 0.7), None, None, None, None, ('a " {', 0.0)]
     m = spark.sql("SELECT map('a', '1', 'b', '2') AS p, map('b', '3', 'c', '4') AS e").select(infer.merged_over(F.col("p"), F.col("e")).alias("m"), infer.merged_over(F.lit(None).cast("map<string,string>"), F.lit(None).cast("map<string,string>")).alias("n")).first()
     assert m.m == {"a": "1", "b": "2", "c": "4"} and m.n is None
+
+
+def test_a_burst_is_one_batch(spark, tree):
+    import time
+
+    out = tree.parent / "bursts"
+    query = watch.watch(spark, str(tree), lambda rows: rows.select("rel_path", "sha256"), str(out), str(tree.parent / "gap"), every="200 milliseconds", gap=1.0)
+    try:
+        for k in range(3):
+            (tree / f"Travel/burst {k}.txt").write_text(f"{k}")
+            time.sleep(0.1)
+        deadline = time.time() + 90
+        while time.time() < deadline and (not out.exists() or not any(p.name == "_SUCCESS" for p in out.rglob("*"))):
+            time.sleep(0.3)
+    finally:
+        query.stop()
+    got = spark.read.json(str(out)).collect()
+    assert {f"Travel/burst {k}.txt" for k in range(3)} <= {r.rel_path for r in got} and len({r.rel_path for r in got}) == len(got)
+    assert next(r.sha256 for r in got if r.rel_path == "Travel/burst 1.txt") == executor.digest(str(tree / "Travel/burst 1.txt"))
