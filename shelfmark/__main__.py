@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import config
 from .operators import catalog as C
-from .operators import executor, filing, lint, plan, report, search
+from .operators import doctor, executor, filing, lint, plan, report, search
 from .sources import extract, records, vault
 from .streaming import watch
 
@@ -35,7 +35,7 @@ def proposed(spark: SparkSession, root: str, cfg: config.Config, files: DataFram
 
 def main(args: list[str]) -> int:
     p = argparse.ArgumentParser(prog="shelfmark", description=__doc__)
-    p.add_argument("command", choices="find resolve lint index doctypes ingest reindex move tag supersede rollback log watch".split())
+    p.add_argument("command", choices="find resolve lint doctor index doctypes ingest reindex move tag supersede rollback log watch".split())
     p.add_argument("--root", default=".")
     for name in ("person", "company", "area", "doctype", "period", "text"):
         p.add_argument(f"--{name}")
@@ -84,6 +84,10 @@ def main(args: list[str]) -> int:
             said = filing.file_proposals(chosen, vault.read(spark, root, content=True).select(F.col("rel_path").alias("path"), "sha256"), cfg, root)
         else:
             said, code = {"proposals": rows(found.drop("text", "modified").orderBy("index")), "confirmation": "required"}, 3
+    elif a.command == "doctor":
+        found = doctor.checks(spark, cfg, root)
+        said = {"checks": rows(found), **doctor.counts(found).first().asDict()}
+        code = 4 if said["fail"] else 0
     elif a.command == "reindex":
         files = vault.read(spark, root, content=True).where(F.col("kind") == "document")
         found = proposed(spark, root, cfg, files).where(F.col("path").isin(a.path) if a.path else F.lit(True))

@@ -49,6 +49,11 @@ def tags_in_use(documents: DataFrame, config: Config) -> DataFrame:
     return counted.join(F.broadcast(G.vocabulary(documents.sparkSession, config)), "tag", "left").select("tag", F.coalesce("kind", F.lit("unknown")).alias("kind"), "n")
 
 
+def harvest(documents: DataFrame) -> DataFrame:
+    """tag: every tag that any document has, once, in order. Null and empty tag sets give none."""
+    return documents.select(F.explode("tags").alias("tag")).distinct().orderBy("tag")
+
+
 def index_lines(documents: DataFrame, orphans: DataFrame, config: Config, catalog: Catalog, title: str) -> Iterator[str]:
     """The lines of the index as Markdown. Its tables are as large as the configuration, but for that of the tags, which has every tag and comes a part at a time."""
     t = totals(documents, orphans).first()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as G
 from ..functions import text as T
 from ..operators import catalog as C
-from ..operators import grammar, lint, report, search
+from ..operators import doctor, grammar, lint, report, search
 from ..operators.search import Query
 from .derived import CONFIG, views
 from .registry import query
@@ -199,6 +199,17 @@ def report_tags_in_use(spark, sf):
     return report.tags_in_use(files(spark, sf), CONFIG)
 
 
+@query(f"WITH t AS (SELECT {TAGS} AS tags FROM d_tags) SELECT DISTINCT unnest(tags) AS tag FROM t")
+def report_tag_harvest(spark, sf):
+    return report.harvest(files(spark, sf))
+
+
+@query("SELECT count_if(id % 7 = 0) AS fail, count_if(id % 7 IN (1, 2)) AS warn, count_if(id % 7 IN (3, 4)) AS ok FROM d_files")
+def doctor_counts(spark, sf):
+    status = F.when(F.col("id") % 7 == 0, "fail").when((F.col("id") % 7).isin(1, 2), "warn").when((F.col("id") % 7).isin(3, 4), "ok").when(F.col("id") % 7 == 5, "other")
+    return doctor.counts(views(spark, sf, "d_files")["d_files"].select(status.alias("status")))
+
+
 # ---- tags
 
 

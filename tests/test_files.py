@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import config
 from shelfmark.operators import catalog as C
-from shelfmark.operators import executor, filing, lint, plan, report, search
+from shelfmark.operators import doctor, executor, filing, lint, plan, report, search
 from shelfmark.sources import extract, records, vault
 from shelfmark.sources.extract import legacy, plain
 from shelfmark.streaming import watch
@@ -329,3 +329,9 @@ def test_a_burst_is_one_batch(spark, tree):
     got = spark.read.json(str(out)).collect()
     assert {f"Travel/burst {k}.txt" for k in range(3)} <= {r.rel_path for r in got} and len({r.rel_path for r in got}) == len(got)
     assert next(r.sha256 for r in got if r.rel_path == "Travel/burst 1.txt") == executor.digest(str(tree / "Travel/burst 1.txt"))
+
+
+def test_doctor(spark, tree, loaded):
+    found = {r.name: r.status for r in doctor.checks(spark, loaded[0], str(tree)).collect()}
+    assert found["root"] == "ok" and found["category financial"] == "ok" and found["category legal"] == "warn"
+    assert doctor.counts(spark.createDataFrame([("ok",), ("ok",), ("fail",), (None,), ("?",)], "status string")).first().asDict() == {"ok": 2, "warn": 0, "fail": 1}
