@@ -73,9 +73,62 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_near_dedup": op7_near_dedup, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rejected_by")
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_near_dedup": op7_near_dedup, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup, "op11_quality": op11_quality}
+
+#: CRC-32 of a string of ASCII characters.
+CRC32 = """xor(list_reduce(list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT), lambda c, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, x)), 4294967295::BIGINT), 4294967295)"""
 
 ORACLE = {
+    "op11_quality": r"""
+        WITH w AS (
+            SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+        ), said AS (
+            SELECT doc_id, unnest(range(1, len(words) - 6)) AS spot, unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' '))) AS eight FROM w WHERE len(words) >= 8
+        ), met AS (
+            SELECT doc_id, spot FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, eight) AS n FROM said) WHERE n > 1
+        ), rep AS (
+            SELECT doc_id, count(DISTINCT spot + k) AS n_repeat_words FROM met, (SELECT unnest(range(0, 8)) AS k) GROUP BY doc_id
+        ), m AS (
+            SELECT doc_id, lang, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, length(regexp_replace(array_to_string(words, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                length(regexp_replace(array_to_string(words, ''), '[^A-Z]', '', 'g')) AS n_upper, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+            FROM w LEFT JOIN rep USING (doc_id)
+        ), b AS (
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+                {'symbols': least(1000, 1000 * n_symbols // greatest(word_chars, 1)), 'capitals': least(1000, 1000 * n_upper // greatest(word_chars, 1)), 'long_words': least(1000, 20 * word_chars // greatest(n_words, 1)),
+                 'dup_lines': least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)), 'repeats': least(1000, 1000 * n_repeat_words // greatest(n_words, 1))} AS v FROM m
+        ), told AS (
+            SELECT lang, v, good, CRC % 3 = 0 AS fit FROM b JOIN (SELECT doc_id, bool_or(quality = 1) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed
+        ), each AS (
+            SELECT lang, good, fit, 'symbols' AS rule, v.symbols AS value FROM told UNION ALL SELECT lang, good, fit, 'capitals', v.capitals FROM told UNION ALL SELECT lang, good, fit, 'long_words', v.long_words FROM told
+            UNION ALL SELECT lang, good, fit, 'dup_lines', v.dup_lines FROM told UNION ALL SELECT lang, good, fit, 'repeats', v.repeats FROM told
+        ), counts AS (
+            SELECT lang, rule, value, count(*) FILTER (fit AND good) AS fg, count(*) FILTER (fit AND NOT good) AS fb, count(*) FILTER (NOT fit AND good) AS hg FROM each GROUP BY ALL
+        ), steps AS (
+            SELECT lang, rule, value, lag(value) OVER d AS next, coalesce(sum(fg) OVER u, 0) AS lost, coalesce(sum(fb) OVER u, 0) AS found, coalesce(sum(hg) OVER u, 0) AS rejected, sum(fg) OVER r AS goods, sum(fb) OVER r AS bads, sum(hg) OVER r AS n
+            FROM counts WINDOW r AS (PARTITION BY lang, rule), d AS (PARTITION BY lang, rule ORDER BY value DESC), u AS (PARTITION BY lang, rule ORDER BY value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), proposed AS (
+            SELECT lang, rule, max_by(value, (gain, value)) AS proposal, max(gain) AS gain FROM (SELECT *, found * goods - 20 * lost * bads AS gain FROM steps) GROUP BY ALL HAVING max(gain) > 0
+        ), share AS (
+            SELECT lang, count(*) AS rules, sum(count(*)) OVER () AS tests FROM proposed GROUP BY lang
+        ), tried AS (
+            SELECT s.*, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / rules) + (n - i) * ln(1 - 0.05 / rules))) FROM (SELECT unnest(range(0, rejected::BIGINT + 1)) AS i)) <= 0.05 / tests AS safe
+            FROM steps s JOIN proposed p ON s.lang IS NOT DISTINCT FROM p.lang AND s.rule = p.rule AND s.value >= p.proposal JOIN share h ON s.lang IS NOT DISTINCT FROM h.lang
+        ), cut AS (
+            SELECT lang, rule, coalesce((min(value) + min_by(next, value) - 1) // 2, min(value)) AS cutoff FROM tried WHERE safe GROUP BY ALL
+        ), cuts AS (
+            SELECT lang, max(cutoff) FILTER (rule = 'symbols') AS c1, max(cutoff) FILTER (rule = 'capitals') AS c2, max(cutoff) FILTER (rule = 'long_words') AS c3, max(cutoff) FILTER (rule = 'dup_lines') AS c4, max(cutoff) FILTER (rule = 'repeats') AS c5 FROM cut GROUP BY lang
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND NOT (coalesce(v.symbols > c1, false) OR coalesce(v.capitals > c2, false) OR coalesce(v.long_words > c3, false) OR coalesce(v.dup_lines > c4, false) OR coalesce(v.repeats > c5, false)) AS kept
+        FROM b LEFT JOIN cuts ON b.lang IS NOT DISTINCT FROM cuts.lang
+    """.replace("CRC", CRC32.format("doc_id::VARCHAR")),
     "op1_chat": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
