@@ -79,13 +79,45 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rejected_by")
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_near_dedup": op7_near_dedup, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup, "op11_quality": op11_quality}
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import digests, periodic_runs, planted
+
+    return digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_near_dedup": op7_near_dedup, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup, "op11_quality": op11_quality, "op12_periodic": op12_periodic}
 
 #: CRC-32 of a string of ASCII characters.
 CRC32 = """xor(list_reduce(list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT), lambda c, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
     lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, x)), 4294967295::BIGINT), 4294967295)"""
 
 ORACLE = {
+    "op12_periodic": r"""
+        WITH d AS (
+            SELECT doc_id, CRC AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), e AS (
+            SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d
+        ), t AS (
+            SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM e
+        ), u AS (
+            SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM t
+        ), m AS (
+            SELECT x.doc_id, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+            FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4
+        ), s AS (
+            SELECT doc_id, min(i) AS start, count(*) + q AS length, q AS period FROM m GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+        ), r AS (
+            SELECT * FROM s WHERE NOT EXISTS (FROM s z WHERE z.doc_id = s.doc_id AND z.period < s.period AND z.start <= s.start AND z.start + z.length >= s.start + s.length)
+        ), o AS (
+            SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM r GROUP BY doc_id
+        ), b AS (
+            SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1
+        ), k AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM u WHERE NOT EXISTS (FROM r WHERE r.doc_id = u.doc_id AND u.i >= r.start + r.period AND u.i < r.start + r.length) GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM d LEFT JOIN o USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+    """.replace("CRC", CRC32.format("doc_id::VARCHAR")),
     "op11_quality": r"""
         WITH w AS (
             SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
