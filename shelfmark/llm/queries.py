@@ -85,13 +85,45 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_near_dedup": op7_near_dedup, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup, "op11_quality": op11_quality, "op12_periodic": op12_periodic}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..runtime import Scratch
+    from .trie import grafted, ordered, prefix_trie
+
+    turns = Scratch(spark).write(ordered(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie(*grafted(turns))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_html": op4_html, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_near_dedup": op7_near_dedup, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_exact_dedup": op10_exact_dedup, "op11_quality": op11_quality, "op12_periodic": op12_periodic, "op13_trie": op13_trie}
 
 #: CRC-32 of a string of ASCII characters.
 CRC32 = """xor(list_reduce(list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT), lambda c, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
     lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, x)), 4294967295::BIGINT), 4294967295)"""
 
 ORACLE = {
+    "op13_trie": r"""
+        WITH o AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS host, CRC % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)
+        ), t AS (
+            SELECT c.conv_id, place, role, text FROM c JOIN o ON o.conv_id = host AND place <= h UNION ALL SELECT conv_id, 1000000 + place, role, text FROM c JOIN o USING (conv_id) WHERE place > h
+        ), p AS (
+            SELECT conv_id, row_number() OVER w AS depth, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS key, strlen(text) AS size, count(*) OVER (PARTITION BY conv_id) AS turns
+            FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+        ), q AS (
+            SELECT * FROM p UNION ALL SELECT conv_id, 0, '', 0, coalesce(any_value(turns), 0) FROM c LEFT JOIN p USING (conv_id) GROUP BY conv_id
+        ), n AS (
+            SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256 FROM q GROUP BY key
+        ), e AS (
+            SELECT n.*, u.key AS parent FROM n LEFT JOIN q u ON u.conv_id = n.conv_id AND u.depth = n.depth - 1
+        ), k AS (
+            SELECT parent AS key, count(*) AS n_children FROM e WHERE parent IS NOT NULL GROUP BY parent
+        ), s AS (
+            SELECT q.key, count(*) FILTER (k.key IS NULL) AS n_leaves, sum(n.saved) AS saved_tokens FROM n LEFT JOIN k USING (key) JOIN q ON q.conv_id = n.conv_id AND q.depth <= n.depth GROUP BY q.key
+        )
+        SELECT e.conv_id, e.depth, u.conv_id AS parent_conv_id, e.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, e.ends_sha256
+        FROM e JOIN s USING (key) LEFT JOIN k USING (key) LEFT JOIN n u ON u.key = e.parent
+    """.replace("CRC", CRC32.format("conv_id::VARCHAR")),
     "op12_periodic": r"""
         WITH d AS (
             SELECT doc_id, CRC AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
