@@ -1,16 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one a block of the page, each with the length of its own text, of the part
-of it that stands in links, and the number of containers it stands in that are named as something else
-than an article. Over a sliding window of lines the text lengths are summed. Lines in menus, headers of the page,
-footers, asides, forms, notices, adverts and comments carry no length, so that no window counts them and
-none of them is kept. A stretch of lines ends only at these, or at a whole window of lines that are nothing but links.
-Where its sums rise to a share of the page's typical (median) line the text surges; all from the first stretch with a surge to the
-last one is kept, so that neither one long block nor an advert silences what stands around it. Lines that are links
-for the most part lift no sum, and lines that are nothing but links go where they begin or end a stretch.
-A page's own marks (article, main) are weights: a line that stands in one lifts its windows to a surge however short it is, and one outside
-carries no length; but where a stretch outside is longer than all text inside, as beside a mere teaser, the marks weigh nothing. On all pages of the
-tables the windows find the same text with the marks' weights and without.
+Markup is stripped to lines, one a block of the page, and each line weighs as much as the text it has outside links. Lines that are nothing but links weigh nothing; lines in containers named as something else than an
+article (menus, headers of the page, footers, asides, forms, notices, adverts, comments) count against text. Over a sliding window of lines the weights of text are summed. Text surges where
+the sum reaches a share of the page's typical line (half of the page's text stands in lines as long or longer), and dives where a whole window has no text. All between the first surge and the last dive is kept, with the lines of text that
+lead to the surge, but for lines that count against and for dives in between. So short lines before, between or after rows of links or clutter
+(a date, a slogan, a copyright line) go without being named, while a short last line of the story stays.
+
+A page's own marks (article, main) are weights: lines in one gain half of what a surge takes, and lines outside weigh nothing; but where a stretch outside is longer than all text inside, as beside a mere
+teaser, the marks weigh nothing. Where nothing surges, names of classes are forgiven, and the page is read again: its text stands in a container that is badly named.
 
 A null or empty page gives an empty text. Character references are decoded, also without a semicolon
 where HTML allows that; references cut short stay as they are. White space inside a block becomes one
@@ -21,7 +18,6 @@ from __future__ import annotations
 
 import html
 import re
-from statistics import median_low
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +28,7 @@ from ..runtime import ship
 from .bpe import texts_of
 
 WINDOW = 3
-SURGE, LEAST = 0.02, 40  # a window's sum at a surge: of the page's median line, and never more than so many code points
+SURGE, MOST = 0.2, 80  # a window's sum at a surge: of the page's typical line, and never more than so many code points
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)[^<]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Element names of HTML by what they do.
@@ -63,8 +59,8 @@ def named_clutter(attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Of each block: its text, the code points of it in links, how many clutter containers hold it, whether an article does, and whether no letter or digit stands outside links."""
+def lines(page: str, named: bool = True) -> list[tuple[str, int, int, bool, bool]]:
+    """Of each block: its text, the code points of it in links, how many clutter containers (by element or, if `named`, by attributes) hold it, whether an article does, and whether no letter or digit stands outside links."""
     out: list[tuple[str, int, int, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is clutter
     text: list[str] = []
@@ -135,7 +131,7 @@ def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
             while stack[-1][0] != shut:
                 pop()
             pop()
-        bad = name in CLUTTER or name == "header" and not article or name not in ("html", "body", "article", "main") and named_clutter(m[3] or "")
+        bad = name in CLUTTER or name == "header" and not article or named and name not in ("html", "body", "article", "main") and named_clutter(m[3] or "")
         stack.append((name, bad))
         deep[name] = deep.get(name, 0) + 1
         if bad and name in INLINE:
@@ -147,53 +143,71 @@ def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
     return out
 
 
-def stretches(sizes: list[int], least: float, window: int = WINDOW) -> list[tuple[int, int]]:
+def typical(weights: list[int]) -> int:
+    """The length of line such that half of the text stands in lines as long or longer."""
+    half, most = sum(n for n in weights if n > 0) / 2, 0
+    for n in sorted((n for n in weights if n > 0), reverse=True):
+        most += n
+        if most >= half:
+            return n
+    return 0
+
+
+def stretches(weights: list[int], surge: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """From which to which line (not included) text lies between a surge and the next dive of the windows' sums."""
-    sums = [sum(sizes[max(0, i - window + 1) : i + 1]) for i in range(len(sizes))]
-    out, start = [], None
-    for i, total in enumerate(sums):
-        if start is None and sizes[i] and total >= least:
-            start = i  # the surge; lines of text just before it lifted the window too
-            while start > (out[-1][1] if out else 0) and sizes[start - 1]:
-                start -= 1
-        elif start is not None and total < least:
-            out.append((start, i))  # the dive
-            start = None
-    return out if start is None else [*out, (start, len(sizes))]
-
-
-def between_clutter(found: list[tuple[str, int, int, bool, bool]], window: int = WINDOW) -> list[list[int]]:
-    """The lines of each stretch, without edges of links."""
-    parts: list[list[int]] = [[]]
-    links: list[int] = []  # lines of links since the last other one
-    for i, (_, _, clutter, _, bare) in enumerate(found):
-        if bare and not clutter:
-            links.append(i)
-            continue
-        if clutter or len(links) >= window:
-            parts.append([])
-        if not clutter:
-            parts[-1] += [*links, i] if parts[-1] else [i]
-        links = []
-    return parts
+    out, first, last = [], None, None  # first: of the lines of text since the last dive; last: one of those
+    risen, total = False, 0
+    for i, n in enumerate([*weights, *[0] * window]):
+        total += max(n, 0) - (max(weights[i - window], 0) if i >= window else 0)
+        if n > 0:
+            first, last = i if first is None else first, i
+            risen = risen or total >= surge
+        elif total == 0 and first is not None:
+            if risen:
+                out.append((first, last + 1))
+            first, risen = None, False
+    return out
 
 
-def weighed(found: list[tuple[str, int, int, bool, bool]]) -> tuple[list[tuple[str, int, int, bool, bool]], list[int]]:
-    """The lines, and the length each adds to its windows. Where marks weigh, lines outside count as clutter, and those inside as no mere links."""
-    sizes = [0 if c or 2 * li > len(x) else len(x) for x, li, c, _, _ in found]
+def longest_outside(weights: list[int], found: list[tuple[str, int, int, bool, bool]], window: int = WINDOW) -> int:
+    """The text of the longest stretch outside articles."""
+    own = [0 if line[3] else n for n, line in zip(weights, found)]
+    return max((sum(max(n, 0) for n in own[a:b]) for a, b in stretches(own, 1, window)), default=0)
+
+
+def weighed(found: list[tuple[str, int, int, bool, bool]]) -> list[int]:
+    """What each line weighs; -1 where it counts against text."""
+    weights = [-1 if c else 0 if bare else max(1, len(x) - li) for x, li, c, _, bare in found]
     inside = sum(len(x) for x, _, c, a, _ in found if a and not c)
-    if not inside or inside < max(sum(sizes[i] for i in part if not found[i][3]) for part in between_clutter(found)):
-        return found, sizes
-    lines_ = [(x, li, c if a else c + 1, a, False) for x, li, c, a, _ in found]
-    return lines_, [0 if c else max(LEAST, len(x)) for x, _, c, _, _ in lines_]
+    if not inside or inside < longest_outside(weights, found):
+        return weights
+    gain = round(min(MOST, SURGE * typical([len(x) if a and not c else 0 for x, _, c, a, _ in found])) / 2)
+    return [-1 if c else len(x) + gain if a else 0 for x, _, c, a, _ in found]
+
+
+def chosen(weights: list[int], window: int = WINDOW) -> list[int]:
+    """The lines between surges and dives."""
+    parts = stretches(weights, max(1.0, min(MOST, SURGE * typical(weights))), window)
+    if not parts:
+        return []
+    out, empty = [], []
+    for i in range(parts[0][0], parts[-1][1]):
+        if weights[i] <= 0:
+            empty.append(i)
+            continue
+        out += [k for k in empty if weights[k] == 0] if len(empty) < window else []  # else a dive
+        out.append(i)
+        empty = []
+    return out
 
 
 def main_text(page: str | None) -> str:
-    found, sizes = weighed(lines(page or ""))
-    parts = between_clutter(found)
-    least = max(1.0, min(LEAST, SURGE * median_low([n for n in sizes if n] or [0])))
-    surges = [k for k, part in enumerate(parts) if stretches([sizes[i] for i in part], least)]
-    return "\n".join(found[i][0] for part in parts[surges[0] : surges[-1] + 1] for i in part) if surges else ""
+    for named in (True, False):
+        found = lines(page or "", named)
+        kept = chosen(weighed(found))
+        if kept or not found:
+            break
+    return "\n".join(found[i][0] for i in kept) if found else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
