@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,11 +62,35 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
+_scopes: list[list["Scratch"]] = []
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Whatever scratch tables are written in this block are removed at its end: all that reads them must have been written by then."""
+    scope: list[Scratch] = []
+    _scopes.append(scope)
+    try:
+        yield
+    finally:
+        _scopes.remove(scope)
+        for scratch in scope:
+            scratch.keep()
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, and outlive any executor."""
+    """Tables written to the shared folder: they cut lineage, and outlive any executor. What is not dropped before goes with the driver."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, f"{scratch_root(spark).rstrip('/')}/shelfmark-{uuid.uuid4().hex}", 0
+        self.paths: set[str] = set()
+        path = self._path(self.base)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        if _scopes:
+            _scopes[-1].append(self)
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
 
     def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """The table, written (a folder for each value of the columns `by`) and to be read anew."""
@@ -73,11 +99,19 @@ class Scratch:
         df.write.mode("overwrite").parquet(path, partitionBy=list(by) or None)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that nothing lazy reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self._remove(t._scratch_path for t in tables)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but these."""
+        self._remove(self.paths - {t._scratch_path for t in tables})
+
+    def _remove(self, paths: Iterable[str]) -> None:
+        for name in list(paths):
+            path = self._path(name)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.paths.discard(name)
