@@ -34,5 +34,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(now)
         now = new
         if found == mark:  # the stars no longer change
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out._scratch_path = now._scratch_path
+            return out
         mark = found

@@ -1,6 +1,6 @@
 """Near-duplicate documents by the chosen-path set similarity join.
 
-A document's set is that of its distinct shingles of five words, as 64-bit hashes. Equal sets are joined first,
+A document's set is that of its distinct shingles of five words. Equal sets are joined first,
 and one document stands for them. A minwise sketch of each set has 128 tokens. `trees` independent trees begin with all
 sets in one node. A node picks, by its own hash, one or two of the sketch's positions (1 / similarity on average), and its
 members branch by their tokens there. Nodes of at most `leaf` members are compared exhaustively by
@@ -8,8 +8,8 @@ finer sketches; larger ones branch again. Any two sets as similar as asked for a
 of a node as in the node itself, while others thin out.
 
 Only connections matter, so pairs inside a component that is known already are never looked at again. The
-finer sketches tell which members of a small node have a likely partner there; these are compared on their full sets, and the node yields
-a forest that spans its links. Large nodes are dealt out to small ones first, and yield the links of their members with the first one, which
+finer sketches tell which members of a small node have a likely partner there; these are compared on their full sets, in blocks of bounded bytes, and the node yields
+a forest that spans its links. Each of these is confirmed on the shingles' words. (Equal sets are told by a name of 128 bits.) Large nodes are dealt out to small ones first, and yield the links of their members with the first one, which
 connects most of a dense group. Large nodes whose members are all connected end there. Where few are left outside the largest component, or at
 the greatest depth, these are compared with all of the node, in blocks; other nodes branch again. Nodes with the same members are compared once.
 
@@ -26,16 +26,17 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch, ship
+from ..runtime import Scratch, cleared, ship
 from . import filters, shingles
 from .bpe import texts_of
 from .components import components
 
 EMPTY = pa.record_batch([pa.array([], pa.int64())] * 3, names=["node", "rep", "own"])
 LEAF, DEPTH = 1024, 8
+NODE_BYTES = 8 << 20  # texts of one node in a task: about twice as many at most, or two texts
 MISS = 1e-4  # how many of the pairs at the threshold may meet in no tree, where nodes branch to the deepest level
 SLACK = 0.06  # a pair is likely if its bins say so much less than asked for; 5 standard deviations at least
 
@@ -45,11 +46,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [shingles.shingle_set(t) for t in texts_of(batch, "text")]
-            yield pa.record_batch(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([shingles.set_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([shingles.sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "sketch"],
-            )
+            sizes, keys, made = [], [], []
+            for text in texts_of(batch, "text"):
+                first, second = shingles.halves(text)
+                sizes.append(len(first))
+                keys.append(shingles.set_key(first, second) if len(first) else None)
+                made.append(shingles.sketch(first).tobytes() if len(first) else None)
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
@@ -166,26 +169,40 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside small nodes, by their full sets: of each node a forest that spans what is linked and not connected yet."""
-    joined = rows.join(sets, "rep").select("node", "rep", "own", "hashes")
-
-    def of_node(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        reps, mine = t.column("rep").to_numpy(), t.column("own").to_numpy()
-        own = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-        both, size = intersections(own), np.array([len(s) for s in own])
-        i, j = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
-        parent: dict[int, int] = {}
-        links = []
-        for x, y in zip(i, j):
-            p, q = root(parent, int(mine[x])), root(parent, int(mine[y]))
-            if p != q:
+def in_bytes(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """The rows (node, rep, own) of small nodes; where a node's texts have more bytes than `most`, it is dealt out to nodes for each two of its blocks of so many bytes."""
+    order = Window.partitionBy("node").orderBy("rep")
+    block = F.floor((F.sum("bytes").over(order) - F.col("bytes")) / most).cast("int")
+    blocks = rows.join(sizes, "rep").withColumn("block", block).withColumn("last", F.max("block").over(Window.partitionBy("node")))
+    pair = lambda x: F.xxhash64("node", F.least("block", x), F.greatest("block", x))
+    return blocks.select("rep", "own", F.explode(F.when(F.col("last") == 0, F.array("node")).otherwise(F.transform(F.sequence(F.lit(0), F.col("last")), pair))).alias("node"))
+
+
+def links_of_node(held: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """A forest (a, b) that spans what is linked in a node (node, rep, own, text) and not connected yet. Pairs are found by the hashes of their full sets, and each link is confirmed on the shingles' words."""
+    t = pa.Table.from_batches(held)
+    reps, mine, said = t.column("rep").to_pylist(), t.column("own").to_pylist(), t.column("text")
+    sets = [shingles.shingle_set(x.as_py()) for x in said]
+    both, size = intersections(sets), np.array([len(s) for s in sets])
+    i, j = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+    parent: dict[int, int] = {}
+    links = []
+    known, whole = None, set()
+    for x, y in zip(i.tolist(), j.tolist()):
+        p, q = root(parent, mine[x]), root(parent, mine[y])
+        if p != q:
+            if known != x:
+                known, whole = x, shingles.word_shingles(said[x].as_py())
+            if shingles.alike(whole, shingles.word_shingles(said[y].as_py()), percent):
                 parent[max(p, q)] = min(p, q)
-                links.append((int(reps[x]), int(reps[y])))
-        return pa.record_batch([pa.array([k[c] for k in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+                links.append((reps[x], reps[y]))
+    return pa.record_batch([pa.array([k[c] for k in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return joined.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(lambda b: by_node(b, of_node), "a long, b long")
+
+def linked(rows: DataFrame, texts: DataFrame, percent: int, most: int) -> DataFrame:
+    """Links inside small nodes."""
+    joined = in_bytes(rows, texts.groupBy("rep").agg(F.sum(F.octet_length("text")).alias("bytes")), most).join(texts, "rep").select("node", "rep", "own", "text")
+    return joined.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(lambda b: by_node(b, lambda held: links_of_node(held, percent)), "a long, b long")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -235,16 +252,13 @@ def against_all(rows: DataFrame, leaf: int) -> DataFrame:
     return each.unionByName(outside).select(F.xxhash64("node", F.lit("all"), "i", "j").alias("node"), "rep").distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough: 100 * intersection >= percent * union."""
-    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+    joined = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                both, union = shingles.overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
-                keep.append(100 * both >= percent * union)
+            keep = [shingles.alike(shingles.word_shingles(x.as_py()), shingles.word_shingles(y.as_py()), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long")
@@ -254,7 +268,7 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, trees: int | None = None, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, trees: int | None = None, leaf: int = LEAF, depth: int = DEPTH, most_bytes: int = NODE_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept. The trees follow from the similarity and the depth, unless given."""
     ship(docs.sparkSession)
     scratch, similarity = Scratch(docs.sparkSession), percent / 100
@@ -280,14 +294,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if pairs is not None:
             pairs = scratch.write(pairs, "pairs")
             ids, used = ids.unionAll(pairs.select(F.explode(F.array("a", "b")))), [rows, pairs]
-        sets = scratch.write(full_sets(filters.build(ids, "rep").known(texts, "rep")), "sets")
-        links = linked(rows, sets, percent)
-        links = scratch.write(links if pairs is None else links.unionAll(confirmed(pairs, sets, percent)), "confirmed")
-        scratch.drop(sets, *used)
+        said = scratch.write(filters.build(ids, "rep").known(texts, "rep"), "texts")
+        links = linked(rows, said, percent, most_bytes)
+        links = scratch.write(links if pairs is None else links.unionAll(confirmed(pairs, said, percent)), "confirmed")
+        scratch.drop(said, *used)
         if own is None:
             own = components(links, scratch)
         elif not links.isEmpty():
-            own = components(links.unionAll(own.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch)
+            before = own
+            own = components(links.unionAll(before.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch)
+            scratch.drop(before)
+        scratch.drop(links)
 
     small, large = members.where(F.col("n") <= leaf), members.where(F.col("n") > leaf)
     connect(small.select("node", "rep").unionAll(in_blocks(large, leaf)), stars(large, wide, least))
@@ -304,6 +321,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if leaves:
         connect(union(leaves))
 
+    scratch.keep(every, named, own)
     found = owned(named, own).select("set_key", F.col("own").alias("found"))
     joined = every.join(found, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
@@ -315,39 +333,36 @@ def finer(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [shingles.shingle_set(t) for t in texts_of(batch, "text")]
-            yield pa.record_batch([batch.column(0), pa.array([shingles.sketch(s).tobytes() for s in sets], pa.binary()), pa.array([shingles.bins(s).tobytes() for s in sets], pa.binary())], names=["rep", "sketch", "wide"])
+            made, wide = [], []
+            for text in texts_of(batch, "text"):
+                hashes = shingles.shingle_set(text)
+                made.append(shingles.sketch(hashes).tobytes())
+                wide.append(shingles.bins(hashes).tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(made, pa.binary()), pa.array(wide, pa.binary())], names=["rep", "sketch", "wide"])
 
     return texts.mapInArrow(run, "rep long, sketch binary, wide binary")
 
 
-def full_sets(texts: DataFrame) -> DataFrame:
-    """rep and hashes (the whole set, as 64-bit numbers)."""
-
-    def run(batches):
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingles.shingle_set(t).tobytes() for t in texts_of(batch, "text")], pa.binary())], names=["rep", "hashes"])
-
-    return texts.mapInArrow(run, "rep long, hashes binary")
-
-
-def told_apart(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """The rows with __id: the identifier, but a hash of 62 bits with the next one set for all texts of a repeated identifier save one."""
+def told_apart(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, str]:
+    """The rows with one more column, and its name: the identifier, but a hash of 62 bits with the next one set for all texts of a repeated identifier save one."""
+    name, said, first = (filters.fresh(docs, x) for x in ("__id", "__text", "__first"))
     own, text = F.col(id_col).cast("long"), F.sha2(F.col(text_col).cast("string"), 256)
-    again = scratch.write(docs.where(own.isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "again")
+    again = scratch.write(docs.where(own.isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
     if again.isEmpty():
-        return docs.withColumn("__id", own)
+        return docs.withColumn(name, own), name
+    again = again.withColumnRenamed("id", id_col)
     some, others = filters.build(again, id_col).split(docs, id_col)
-    some = some.withColumn("__text", F.coalesce(text, F.lit("")))
-    first = scratch.write(some.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min("__text").alias("__first")), "first")
-    other = F.xxhash64(own, F.col("__text")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    some = some.join(first, id_col, "left").withColumn("__id", F.when(F.col("__text") != F.col("__first"), other).otherwise(own))
-    return others.withColumn("__id", own).unionByName(some.select(*docs.columns, "__id"))
+    some = some.withColumn(said, F.coalesce(text, F.lit("")))
+    least = scratch.write(some.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min(said).alias(first)), "first")
+    other = F.xxhash64(own, F.col(said)).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    some = some.join(least, id_col, "left").withColumn(name, F.when(F.col(said) != F.col(first), other).otherwise(own))
+    return others.withColumn(name, own).unionByName(some.select(*docs.columns, name)), name
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows that stay, with all their columns: one identifier of each component. Texts that share an identifier are told apart. Columns may have any names but __id, __text and __first."""
+    """The rows that stay, with all their columns, whatever their names: one identifier of each component. Texts that share an identifier are told apart."""
     scratch = Scratch(docs.sparkSession)
-    rows = told_apart(docs, id_col, text_col, scratch)
-    dropped = scratch.write(near_dedup(rows, "__id", text_col, **options).where("not kept").select(F.col("doc_id").alias("__id")), "dropped")
-    return filters.without(rows, "__id", dropped).select(*docs.columns)
+    rows, name = told_apart(docs, id_col, text_col, scratch)
+    with cleared():
+        dropped = scratch.write(near_dedup(rows, name, text_col, **options).where("not kept").select(F.col("doc_id").alias(name)), "dropped")
+    return filters.without(rows, name, dropped).select(*docs.columns)

@@ -1,8 +1,8 @@
-"""Sets of word shingles as 64-bit hashes, and their minwise sketches.
+"""Sets of word shingles as hashes, and their minwise sketches.
 
-A word's hash is XXH3's over its bytes, and a shingle's is the sum of its words' hashes, each times an odd number for its place, mixed. So unlike
-shingles share a hash no more often than random numbers do (a polynomial over bytes modulo
-2^64 would not do: it has words that collide whatever its base). Sets stand for texts by these hashes.
+A word's hash is XXH3's over its bytes (128 bits), and a shingle's is the sum of its words' hashes, each times an odd number for its place, mixed: one of 64 bits
+from each half. So unlike shingles share a hash no more often than random numbers do (a polynomial over bytes modulo
+2^64 would not do: it has words that collide whatever its base). Sketches are made of the first halves; a set's name is made of both.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 PLACE = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
 FACTOR = _rng.integers(0, 1 << 64, SKETCH, dtype=np.uint64) | np.uint64(1)
 OFFSET = _rng.integers(0, 1 << 64, SKETCH, dtype=np.uint64)
+PLACE_2 = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,21 +28,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles: runs of `words` words, or all its words if they are fewer; none without words.
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z are lower-cased, and words are what stands between spaces and the characters 9 to 13."""
+    return (text or "").encode().lower().split()
+
+
+def word_shingles(text: str | None, words: int = WORDS) -> set[tuple[bytes, ...]]:
+    """The shingles themselves: runs of `words` words, or all words if they are fewer; none without words."""
+    said = words_of(text)
+    n = min(words, len(said))
+    return set(zip(*[said[k : len(said) - n + 1 + k] for k in range(n)]))
 
-    A-Z are lower-cased, and words are what stands between spaces and the characters 9 to 13.
-    """
-    said = (text or "").encode().lower().split()
+
+def halves(text: str | None, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of each distinct shingle of a text, sorted by the first."""
+    said = words_of(text)
     if not said:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, said), np.uint64, len(said))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    own = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, said)), "<u8").reshape(-1, 2)
     n = min(words, len(own))
-    out = own[: len(own) - n + 1] * PLACE[0]
-    for k in range(1, n):
-        out += own[k : len(own) - n + 1 + k] * PLACE[k]
-    out = np.sort(mixed(out + np.uint64(n)))
-    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+    first, second = (sum(own[k : len(own) - n + 1 + k, half] * place[k] for k in range(n)) for half, place in ((0, PLACE), (1, PLACE_2)))
+    first, second = mixed(first + np.uint64(n)), mixed(second + np.uint64(n))
+    order = np.argsort(first)
+    first, second = first[order], second[order]
+    new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+    return first[new], second[new]
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The first hashes of a text's shingles, sorted."""
+    return halves(text, words)[0]
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -66,12 +82,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(axis=-1) / np.maximum(((a | b) != 0).sum(axis=-1), 1)
 
 
-def set_key(hashes: np.ndarray) -> bytes:
+def set_key(first: np.ndarray, second: np.ndarray) -> bytes:
     """128 bits that name a set."""
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(first.tobytes() + second.tobytes(), digest_size=16).digest()
+
+
+def alike(a: set, b: set, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union."""
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Sizes of intersection and union of two sorted sets."""
+    """Sizes of intersection and union of two sorted sets of hashes."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both, len(a) + len(b) - both

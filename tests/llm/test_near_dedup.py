@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfmark.llm import shingles
 from shelfmark.llm.components import components
-from shelfmark.llm.near_dedup import DEPTH, MISS, meets, missed, near_dedup, trees_for
+from shelfmark.llm.near_dedup import DEPTH, MISS, kept_rows, links_of_node, meets, missed, near_dedup, trees_for
 from shelfmark.runtime import Scratch
 
 
@@ -140,3 +141,35 @@ def test_words_that_collide_in_polynomial_hashes(spark):
     rows = [(1, f"p q r s {one}"), (2, f"p q r s {other}"), (3, f"a {one} b c d {other}"), (4, f"a {other} b c d {one}")]
     got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i for i, _ in rows}
+
+
+def test_columns_of_any_name_and_repeated_identifiers(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base, "x", "p", "q"), (2, base + " more", "y", "r", "s"), (3, "quite another text of some words here", "z", "t", "u"), (3, base + " end", "v", "m", "n"), (3, "quite another text of some words here", "w", "k", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, __text string, __first string")
+    got = kept_rows(docs)
+    assert got.columns == docs.columns
+    kept = sorted(tuple(r) for r in got.collect())
+    assert set(kept) <= set(rows) and {r[2] for r in kept} >= {"x"} and "y" not in {r[2] for r in kept} and "v" not in {r[2] for r in kept}
+    assert [tuple(r) for r in kept_rows(docs.where("__id in ('x', 'y', 'w')")).orderBy("__id").collect()] == [rows[4], rows[0]]
+
+
+@pytest.mark.parametrize("most_bytes", [3000])
+def test_nodes_in_blocks_of_bytes(spark, most_bytes):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(90)]
+    rows = [(k, " ".join(changed(rng, base, rng.choice((0, 1, 2))))) for k in range(40)] + [(100 + k, " ".join(f"v{rng.randrange(99)}" for _ in range(70))) for k in range(10)]
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), most_bytes=most_bytes).collect()}
+    assert got == brute(rows, 80)
+
+
+def test_links_are_confirmed_on_words(spark, monkeypatch):
+    """Where hashes say too much, words decide."""
+    one, other = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = pa.table({"node": [7, 7], "rep": [1, 2], "own": [1, 2], "text": [one, other]})
+    monkeypatch.setattr(shingles, "shingle_set", lambda text, words=5: np.arange(46, dtype=np.uint64))
+    assert not any(b.num_rows for b in [links_of_node(rows.to_batches(), 80)])
+    same = pa.table({"node": [7, 7], "rep": [1, 2], "own": [1, 2], "text": [one, one + " x"]})
+    assert links_of_node(same.to_batches(), 80).to_pylist() == [{"a": 1, "b": 2}]
+    assert shingles.word_shingles("A b  C d e f") == {(b"a", b"b", b"c", b"d", b"e"), (b"b", b"c", b"d", b"e", b"f")}
+    assert shingles.word_shingles("x y") == {(b"x", b"y")} and shingles.word_shingles(None) == set()
