@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm import exact_dedup, near_dedup, packing, pii, toxicity
-from shelfmark.runtime import Scratch
+from shelfmark.runtime import Scratch, cleared
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +47,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with cleared():  # what a stage wrote on its way
+            docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
