@@ -1,6 +1,6 @@
 """Filing: proposals are checked once more, moved, described beside their new place, and tagged; and facts about filed documents are renewed in place.
 
-Proposals that people approve fit the driver, where these side effects happen one after another. No proposals change nothing. A proposal with a null destination is left where it is.
+Files are moved and described by tasks; the driver writes the manifest, which it streams, and the tags. No proposals change nothing. A proposal with a null destination is left where it is.
 """
 
 from __future__ import annotations
@@ -8,12 +8,12 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import tags as G
-from ..sources import records
+from ..sources.moves import within  # noqa: F401
 from . import executor, plan, search
 
 FACTS = ("classifier", "doctype", "category", "confidence", "owners", "identifier", "year", "fields", "text")
@@ -29,34 +29,29 @@ def rechecked(proposals: DataFrame, config: Config, root: str) -> DataFrame:
     return proposals.withColumn("fault", search.destination_fault(target, root)).withColumn("dropped_tags", dropped).withColumn("tags", G.known(config, tags))
 
 
-def within(root: str, path: str) -> bool:
-    """Whether a path, with symbolic links followed as far as it exists, stays below the root."""
-    top, at = os.path.realpath(root), os.path.realpath(path)
-    return at.startswith(top.rstrip("/") + "/")
+def facts_of(rows: DataFrame, now: dt.datetime | None) -> Column:
+    """What a sidecar is to say."""
+    day = F.lit(now.date().isoformat() if now else None).cast("string")
+    return F.struct(day.alias("extracted_at"), F.lit(None).cast("string").alias("ocr_engine"), *[F.col(c) for c in FACTS if c != "text"], F.col("sha256").alias("source_sha256"), "text")
 
 
 def file_proposals(proposals: DataFrame, taken: DataFrame, config: Config, root: str, on_collision: str = "suffix", now: dt.datetime | None = None) -> dict:
-    """Carries proposals (path, destination, sha256, tags and FACTS) out: what moved, what was left and why, and the sidecars written at the new places. taken: path and sha256 of what is there, relative to the root as well."""
-    spark, full = proposals.sparkSession, lambda c: F.concat(F.lit(root.rstrip("/") + "/"), F.col(c))
+    """Carries proposals (path, destination, sha256, tags and FACTS) out: what moved, what was left and why, and the sidecars written at the new places. taken: path and sha256 of what is there, relative to the root as well.
+
+    Tasks move the files and write the sidecars; tags of what moved are joined to it.
+    """
+    full = lambda c: F.concat(F.lit(root.rstrip("/") + "/"), F.col(c))
     rows = rechecked(proposals.where("destination is not null"), config, root).withColumn("source", full("path")).cache()
     left = [(r.path, r.fault) for r in rows.where("fault is not null").select("path", "fault").toLocalIterator()]
     good = rows.where("fault is null")
     moves = good.select("source", full("destination").alias("destination"), "sha256")
-    planned = plan.planned(moves, taken.select(full("path").alias("path"), "sha256"), on_collision).join(moves.select("source", "sha256"), "source").cache()
-    outside = [r.destination for r in planned.where("action = 'move'").select("destination").toLocalIterator() if not within(root, r.destination)]
-    if outside:
-        raise ValueError(f"{outside[0]} leads outside {root}")
-    done = executor.execute(planned, root, "ingest", now)
-    moved, sidecars, tagged = set(done["moved"]), [], []
-    facts = planned.where("action = 'move'").select("source", F.col("destination").alias("target")).join(good.select("source", "sha256", "tags", *FACTS), "source")
-    for r in facts.orderBy("target").toLocalIterator():
-        if r.target in moved:
-            sidecars.append(records.write_sidecar(r.target, {k: r[k] for k in FACTS} | {"source_sha256": r.sha256, **({"extracted_at": now.date().isoformat()} if now else {})}))
-            tagged.append((os.path.relpath(r.target, root), list(r.tags or [])))
-    write_tags(spark, root, spark.createDataFrame(tagged, "rel_path string, tags array<string>"))
+    planned = plan.planned(moves, taken.select(full("path").alias("path"), "sha256"), on_collision).join(good.select("source", "sha256", facts_of(good, now).alias("facts")), "source")
+    manifest, outcome = executor.carry_out(planned, root, "ingest", now)
+    moved = outcome.where("status != 'failed'").select("source", F.substring("destination", len(root.rstrip("/")) + 2, 1 << 30).alias("rel_path"))
+    write_tags(proposals.sparkSession, root, moved.join(good.select("source", F.coalesce("tags", F.array()).alias("tags")), "source").select("rel_path", "tags"))
+    done = executor.told(outcome, root, "ingest", manifest)
     rows.unpersist()
-    planned.unpersist()
-    return done | {"left": left, "sidecars": sidecars}
+    return done | {"left": left}
 
 
 def read_tags(spark: SparkSession, root: str) -> DataFrame:
@@ -100,11 +95,9 @@ def supersede(documents: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def reindex(proposals: DataFrame, root: str, now: dt.datetime | None = None) -> dict:
-    """Writes the facts beside each document where it is; nothing moves. Documents that belong elsewhere are named."""
-    written, elsewhere = [], []
-    for r in proposals.orderBy("path").toLocalIterator():
-        meta = {k: r[k] for k in FACTS} | {"source_sha256": r.sha256, **({"extracted_at": now.date().isoformat()} if now else {})}
-        written.append(records.write_sidecar(os.path.join(root, r.path), meta))
-        if r.destination and r.destination != r.path:
-            elsewhere.append((r.path, r.destination))
-    return {"sidecars": written, "elsewhere": elsewhere}
+    """Writes the facts beside each document where it is, in tasks; nothing moves. Documents that belong elsewhere are named."""
+    full = F.concat(F.lit(root.rstrip("/") + "/"), F.col("path"))
+    rows = proposals.select(full.alias("source"), F.lit(None).cast("string").alias("destination"), "sha256", facts_of(proposals, now).alias("facts"))
+    outcome = executor.carried_out(rows, root, f"{now or dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}_reindex", proposals.count())
+    elsewhere = proposals.where("destination is not null and destination != path").select("path", "destination").orderBy("path")
+    return {"sidecars": [r.sidecar for r in outcome.where("sidecar is not null").orderBy("source").toLocalIterator()], "elsewhere": [tuple(r) for r in elsewhere.toLocalIterator()]}

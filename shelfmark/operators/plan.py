@@ -131,9 +131,10 @@ def planned(moves: DataFrame, taken: DataFrame, on_collision: str = "suffix") ->
 
     The same content at the same place is skipped. Other collisions fail, are skipped, or get the next free suffix; the first source in path order keeps the plain name.
     A suffixed name is free if it is neither taken nor the destination another move of the batch asks for, so no two moves go to one place. With all of
-    2 to 999 used a move fails. No moves give no rows; a null destination or source stays as it is; a move that is stated twice is skipped once.
+    2 to 999 used a move fails. No moves give no rows; moves with a null destination or source fail; a move that is stated twice is skipped once.
     """
     there = taken.select(F.col("path").alias("destination"), F.col("sha256").alias("there"))
+    nowhere = F.col("destination").isNull() | F.col("source").isNull()
     rows = moves.join(there.groupBy("destination").agg(F.min("there").alias("there")), "destination", "left")
     same = Window.partitionBy("destination", "sha256").orderBy("source")
     rows = rows.withColumn("again", F.row_number().over(same) > 1).withColumn("known", F.coalesce(F.col("there") == F.col("sha256"), F.lit(False)))
@@ -141,13 +142,13 @@ def planned(moves: DataFrame, taken: DataFrame, on_collision: str = "suffix") ->
     order = Window.partitionBy("destination", F.when(skip, 1).otherwise(0)).orderBy("source")
     rows = rows.withColumn("k", F.row_number().over(order) + F.col("there").isNotNull().cast("int"))
     if on_collision != "suffix":
-        return rows.select("source", "destination", F.when(skip, "skip").when(F.col("k") > 1, on_collision).otherwise("move").alias("action"))
+        return rows.select("source", "destination", F.when(nowhere, "fail").when(skip, "skip").when(F.col("k") > 1, on_collision).otherwise("move").alias("action"))
     used = numbered_names(there.select("destination").unionAll(moves.select("destination")))
     free = rows.where(~skip).join(used.withColumnRenamed("plain", "destination"), "destination", "left")
     # numbers in use move the later ones up
     up = F.when((F.col("k") > 1) & F.col("used").isNotNull(), F.aggregate("used", F.col("k"), lambda k, u: F.when(u <= k, k + 1).otherwise(k))).otherwise(F.col("k"))
-    done = free.withColumn("k", up).select("source", suffixed(F.col("destination"), F.col("k")).alias("destination"), F.when(F.col("k") <= 999, "move").otherwise("fail").alias("action"))
-    return done.unionByName(rows.where(skip).select("source", "destination", F.lit("skip").alias("action")))
+    done = free.withColumn("k", up).select("source", suffixed(F.col("destination"), F.col("k")).alias("destination"), F.when((F.col("k") > 999) | nowhere, "fail").otherwise("move").alias("action"))
+    return done.unionByName(rows.where(skip).select("source", "destination", F.when(nowhere, "fail").otherwise("skip").alias("action")))
 
 
 def unreversed(manifest: DataFrame, done: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import infer
 from . import derived
 from .derived import CONFIG, views, with_derived
 from .registry import ORACLE, QUERIES, query
-from . import files, plans  # noqa: F401  registers more
+from . import files, plans, trees  # noqa: F401  registers more
 
 CATALOG = C.Catalog.of(CONFIG)
 APRIL = fiscal.Calendar(4)

@@ -84,20 +84,27 @@ def replace(path: str, raw: bytes | Iterable[bytes]) -> None:
     os.replace(tmp, path)
 
 
-def write_manifest(folder: str, op: str, rows: list[tuple[str, str, str]], now: dt.datetime) -> str:
-    path = os.path.join(folder, f"{now:%Y%m%dT%H%M%S}_{op}.csv")
+def write_manifest(folder: str, op: str, rows: Iterable[tuple[str, str, str]], now: dt.datetime) -> tuple[str, int]:
+    """Writes a manifest, whole or not at all, and returns its path and number of rows. Rows stream. A manifest of the same second gets the next free number."""
     os.makedirs(folder, exist_ok=True)
+    names = (os.path.join(folder, f"{now:%Y%m%dT%H%M%S}{'' if k == 1 else f'-{k}'}_{op}.csv") for k in range(1, 10_000))
+    path = next(p for p in names if not os.path.exists(p))
+    n = 0
     with open(tmp := path + ".tmp", "w", newline="", encoding="utf-8") as f:
-        csv.writer(f).writerows([["current_path", "original_path", "sha256"], *rows])
+        out = csv.writer(f)
+        out.writerow(["current_path", "original_path", "sha256"])
+        for row in rows:
+            out.writerow(row)
+            n += 1
         f.flush()
         os.fsync(f.fileno())
     os.replace(tmp, path)
-    return path
+    return path, n
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a manifest; another header is an error."""
-    return spark.read.option("mode", "FAILFAST").option("enforceSchema", "false").csv(path, header=True, schema=MANIFEST)
+    return spark.read.option("mode", "FAILFAST").option("enforceSchema", "false").option("escape", '"').csv(path, header=True, schema=MANIFEST)
 
 
 def op_of(path: Column) -> Column:
