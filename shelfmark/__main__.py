@@ -33,6 +33,13 @@ def proposed(spark: SparkSession, root: str, cfg: config.Config, files: DataFram
     return plan.numbered(plan.proposals(extract.texts(files).where("fault is null").join(facts, "path"), cfg, C.Catalog.of(cfg)))
 
 
+def places(spark: SparkSession, root: str, chosen: DataFrame) -> DataFrame:
+    """path of every file, and its sha256 where one of the chosen documents is to go: bytes are read of these only."""
+    every = vault.read(spark, root).where("kind in ('document', 'sidecar')").select("rel_path")
+    asked = every.join(chosen.select(F.col("destination").alias("rel_path")).distinct(), "rel_path", "left_semi")
+    return every.join(vault.described(asked, root).select("rel_path", "sha256"), "rel_path", "left").select(F.col("rel_path").alias("path"), "sha256")
+
+
 def main(args: list[str]) -> int:
     p = argparse.ArgumentParser(prog="shelfmark", description=__doc__)
     p.add_argument("command", choices="find resolve lint doctor index doctypes ingest reindex move tag supersede rollback log watch".split())
@@ -52,6 +59,8 @@ def main(args: list[str]) -> int:
     p.add_argument("--remove", action="append", default=[])
     p.add_argument("--for-send", action="store_true", help="confidential documents need --yes (resolve)")
     p.add_argument("--gap", type=float, default=2.0, help="seconds without a change that end a burst (watch)")
+    p.add_argument("--once", action="store_true", help="end after the first burst (watch)")
+    p.add_argument("--wait", type=float, help="seconds to wait for a burst (watch --once)")
     p.add_argument("--yes", action="store_true")
     a = p.parse_args(args)
     cfg = config.load(config.find(a.root))
@@ -64,7 +73,7 @@ def main(args: list[str]) -> int:
         docs = collection(spark, root, cfg)[0]
         total = docs.where(query.column(cfg)).count()
         found = rows(search.find(docs, query, cfg, a.limit).orderBy("rel_path"))
-        said: object = {"count": total, "documents": found, "truncated": len(found) < total}
+        said: object = {"count": total, "documents": found, "truncated": len(found) < total, "unreadable": rows(vault.read(spark, root, kinds=["unreadable"]).select("rel_path", F.col("name").alias("reason")).orderBy("rel_path"))}
     elif a.command == "lint":
         found = lint.findings(*collection(spark, root, cfg, hashed=True), cfg, catalog)
         said = {"findings": rows(lint.ordered(found)), **lint.counts(found).first().asDict()}
@@ -77,11 +86,11 @@ def main(args: list[str]) -> int:
     elif a.command == "doctypes":
         said = rows(report.filed_by_doctype(collection(spark, root, cfg)[0], catalog, {t.name for t in C.built_in()}).orderBy("doctype"))
     elif a.command == "ingest":
-        files = vault.read(spark, root, content=True).where((F.col("kind") == "document") & F.col("rel_path").startswith(a.folder.rstrip("/") + "/"))
+        files = vault.read(spark, root, content=True, kinds=["document"], prefix=a.folder.rstrip("/") + "/")
         found = proposed(spark, root, cfg, files).cache()
         if a.yes:
             chosen = search.select(found, search.parse_selection(a.select, found.count()))
-            said = filing.file_proposals(chosen, vault.read(spark, root, content=True).select(F.col("rel_path").alias("path"), "sha256"), cfg, root)
+            said = filing.file_proposals(chosen, places(spark, root, chosen), cfg, root)
         else:
             said, code = {"proposals": rows(found.drop("text", "modified").orderBy("index")), "confirmation": "required"}, 3
     elif a.command == "doctor":
@@ -89,7 +98,7 @@ def main(args: list[str]) -> int:
         said = {"checks": rows(found), **doctor.counts(found).first().asDict()}
         code = 4 if said["fail"] else 0
     elif a.command == "reindex":
-        files = vault.read(spark, root, content=True).where(F.col("kind") == "document")
+        files = vault.read(spark, root, content=True, kinds=["document"], paths=a.path or None)
         found = proposed(spark, root, cfg, files).where(F.col("path").isin(a.path) if a.path else F.lit(True))
         said, code = (filing.reindex(found, root), 0) if a.yes else ({"documents": rows(found.select("path", "doctype", "destination").orderBy("path")), "confirmation": "required"}, 3)
     elif a.command == "move":
@@ -122,8 +131,12 @@ def main(args: list[str]) -> int:
     elif a.command == "log":
         said = rows(plan.tail(records.read_audit(spark, os.path.join(root, "audit.jsonl")), a.limit).orderBy("line"))
     else:
-        watch.watch(spark, root, lambda files: proposed(spark, root, cfg, files).drop("text"), a.out, a.out + ".checkpoint", gap=a.gap).awaitTermination()
-        said = {}
+        propose = lambda files: proposed(spark, root, cfg, files).drop("text")
+        if a.once:
+            said = {"settled": watch.watch_once(spark, root, propose, a.out, a.out + ".checkpoint", a.gap, a.wait), "out": a.out}
+        else:
+            watch.watch(spark, root, propose, a.out, a.out + ".checkpoint", gap=a.gap).awaitTermination()
+            said = {}
     print(records.envelope(a.command, said))
     return code
 

@@ -2,7 +2,11 @@
 
 Spark's own file sources hide names that begin with a dot or an underscore; here sidecars and shared folders are wanted.
 Rows: rel_path, name, size, mod_time, sha256 and content (each only read if asked for by option `content` = true), kind (document, sidecar, placeholder).
-One partition a folder of the first level; folders that can't be read are skipped, as are hidden folders, manifests and staged files.
+A folder that can't be read gives one row of kind unreadable, whose name says why. Hidden folders, manifests and staged files are left out.
+
+The driver lists at most LISTED folders, level by level, and only their names. Of a folder that it has listed tasks take slices of about SLICE names; a folder that it has not is a task's with all below it.
+Small ones share a task. The options `kinds`, `prefix` and `only` prune: folders that can't hold such paths are not opened, and files of other kinds not looked at. (They are options, as filters that
+Spark 4.1 pushes to a Python source stay with the frame, and so would hold for its other uses as well.)
 The tree must be readable by every executor under the same path.
 """
 
@@ -10,9 +14,13 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 import os
 import time
+from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -29,15 +37,31 @@ def kind_of(name: str) -> str | None:
     return None if name.startswith(".") else "document"
 
 
+def entries(root: str, folder: str) -> tuple[list[str], list[str]]:
+    """Names of the files and of the folders to look into, of a folder given relative to the root; sorted. Raises OSError."""
+    names, folders = [], []
+    with os.scandir(os.path.join(root, folder)) as found:
+        for e in found:
+            if e.is_dir():
+                if not e.name.startswith(".") and e.name not in RESERVED and not (folder and e.is_symlink()):
+                    folders.append(e.name)
+            elif kind_of(e.name) is not None and (folder or e.name not in PLUMBING):
+                names.append(e.name)
+    return sorted(names), sorted(folders)
+
+
 def walk(root: str, top: str) -> Iterator[tuple[str, os.stat_result]]:
-    """Files below a folder of the root, or those that lie in the root itself for an empty one."""
-    start = os.path.join(root, top)
-    for folder, folders, names in os.walk(start):
-        folders[:] = [] if not top else sorted(f for f in folders if not f.startswith(".") and f not in RESERVED)
-        for name in sorted(names):
-            rel = os.path.relpath(os.path.join(folder, name), root)
-            if kind_of(name) is None or not top and name in PLUMBING:
-                continue
+    """Files below a folder of the root, or those that lie in the root itself for an empty one. Folders that can't be read are passed over."""
+    waiting = [top]
+    while waiting:
+        folder = waiting.pop()
+        try:
+            names, folders = entries(root, folder)
+        except OSError:
+            continue
+        waiting += [os.path.join(folder, f) for f in reversed(folders)] if top else []
+        for name in names:
+            rel = os.path.join(folder, name)
             try:
                 yield rel, os.stat(os.path.join(root, rel))
             except OSError:  # gone meanwhile
@@ -53,23 +77,92 @@ def row(root: str, rel: str, stat: os.stat_result, content: bool) -> tuple:
     return rel, name, stat.st_size, dt.datetime.fromtimestamp(stat.st_mtime, dt.timezone.utc), kind_of(name), hashlib.sha256(raw).hexdigest() if content else None, raw
 
 
-class Folder(InputPartition):
-    def __init__(self, top: str):
-        super().__init__(top)
-        self.top = top
+@dataclass(frozen=True)
+class Piece:
+    """Of a folder, the names whose hash is `part` of `parts`; with `deep` also all folders below."""
+
+    folder: str
+    part: int = 0
+    parts: int = 1
+    deep: bool = False
+
+
+class Pieces(InputPartition):
+    def __init__(self, pieces: list[Piece]):
+        super().__init__(pieces)
+        self.pieces = pieces
+
+
+class Wanted:
+    """What the options `kinds`, `prefix` and `only` (paths; lists are JSON) leave."""
+
+    def __init__(self, options: dict):
+        listed = lambda name: frozenset(json.loads(options[name])) if name in options else None
+        self.kinds, self.paths, self.prefix = listed("kinds"), listed("only"), options.get("prefix", "")
+
+    def folder(self, folder: str) -> bool:
+        """Whether a wanted path may lie in the folder or below."""
+        inside = f"{folder}/" if folder else ""
+        near = inside.startswith(self.prefix) or self.prefix.startswith(inside)
+        return near and (self.paths is None or any(p.startswith(inside) for p in self.paths))
+
+    def file(self, rel: str, name: str) -> bool:
+        return (self.kinds is None or kind_of(name) in self.kinds) and (self.paths is None or rel in self.paths) and rel.startswith(self.prefix)
 
 
 class VaultReader(DataSourceReader):
+    LISTED, SLICE = 2048, 2000
+
     def __init__(self, options: dict):
         self.root, self.content = options["path"], options.get("content", "false").lower() == "true"
+        self.wanted = Wanted(options)
 
     def partitions(self) -> list[InputPartition]:
-        tops = sorted(e.name for e in os.scandir(self.root) if e.is_dir() and not e.name.startswith(".") and e.name not in RESERVED)
-        return [Folder(t) for t in ["", *tops]]
+        waiting, pieces, listed = deque([""]), [], 0
+        while waiting and listed < self.LISTED:
+            folder = waiting.popleft()
+            listed += 1
+            try:
+                names, folders = entries(self.root, folder)
+            except OSError:
+                pieces.append((1, Piece(folder)))  # its task says so
+                continue
+            parts = max(1, -(-len(names) // self.SLICE))
+            if names:
+                pieces += [(-(-len(names) // parts), Piece(folder, k, parts)) for k in range(parts)]
+            waiting.extend(f for f in (os.path.join(folder, x) for x in folders) if self.wanted.folder(f))
+        pieces += [(self.SLICE, Piece(f, deep=True)) for f in waiting]
+        out: list[Pieces] = []
+        room = 0
+        for weight, piece in pieces:
+            if weight > room:
+                out.append(Pieces([]))
+                room = self.SLICE
+            out[-1].pieces.append(piece)
+            room -= weight
+        return out or [Pieces([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for rel, stat in walk(self.root, partition.top):
-            yield row(self.root, rel, stat, self.content)
+        for piece in partition.pieces:
+            waiting = [piece.folder]
+            while waiting:
+                folder = waiting.pop()
+                try:
+                    names, folders = entries(self.root, folder)
+                except OSError as e:
+                    if self.wanted.kinds is None or "unreadable" in self.wanted.kinds:
+                        yield folder, e.strerror or str(e), None, None, "unreadable", None, None
+                    continue
+                if piece.deep:
+                    waiting += [f for f in (os.path.join(folder, x) for x in reversed(folders)) if self.wanted.folder(f)]
+                for name in names:
+                    rel = os.path.join(folder, name)
+                    if piece.parts > 1 and crc32(os.fsencode(name)) % piece.parts != piece.part or not self.wanted.file(rel, name):
+                        continue
+                    try:
+                        yield row(self.root, rel, os.stat(os.path.join(self.root, rel)), self.content)
+                    except FileNotFoundError:  # gone meanwhile
+                        continue
 
 
 class VaultStream(SimpleDataSourceStreamReader):
@@ -164,9 +257,11 @@ def register(spark) -> None:
     spark.dataSource.register(Vault)
 
 
-def read(spark, path: str, content: bool = False):
+def read(spark, path: str, content: bool = False, kinds: list[str] | None = None, prefix: str = "", paths: list[str] | None = None):
+    """The tree, or what is of some kinds, begins with a prefix or has one of some paths (relative to the root)."""
     register(spark)
-    return spark.read.format("vault").option("content", str(content).lower()).load(path)
+    some = {k: json.dumps(list(v)) for k, v in (("kinds", kinds), ("only", paths)) if v is not None}
+    return spark.read.format("vault").options(content=str(content).lower(), prefix=prefix, **some).load(path)
 
 
 def described(paths, root: str):

@@ -6,6 +6,7 @@ changed for `gap` seconds (a timer for the tree's key, restarted by every change
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,16 +26,18 @@ def changes(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     return rows.where((F.col("kind") == "document") & watchable(F.col("rel_path")))
 
 
-def watch(spark: SparkSession, path: str, propose: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = False, every: str = "2 seconds", gap: float | None = None) -> StreamingQuery:
+def watch(spark: SparkSession, path: str, propose: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = False, every: str = "2 seconds", gap: float | None = None, proposed: Callable[[int], None] | None = None) -> StreamingQuery:
     """Writes the proposals of each batch to `out` as JSON lines; they are never carried out.
 
-    Only paths stream; tasks read the files of a batch. With a gap (seconds) a burst of changes is one batch once nothing changed for so long.
+    Only paths stream; tasks read the files of a batch. With a gap (seconds) a burst of changes is one batch once nothing changed for so long. `proposed` is told the number of each batch that was not empty.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         paths = rows.select("rel_path").distinct()
         if not paths.isEmpty():
             propose(described(paths, path)).write.mode("overwrite").json(f"{out}/batch={number}")
+            if proposed is not None:
+                proposed(number)
 
     rows = changes(spark, path)
     if gap is not None:
@@ -44,6 +47,32 @@ def watch(spark: SparkSession, path: str, propose: Callable[[DataFrame], DataFra
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def watch_once(spark: SparkSession, path: str, propose: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, gap: float, wait: float | None = None) -> bool:
+    """Proposes the first burst of changes that settles, and ends: whether there was one within `wait` seconds (without a limit, if that is not given).
+
+    What was there before the first run is a burst. The query stops when the burst's batch is committed, so the next run begins behind it.
+    """
+    settled_batch: list[int] = []
+
+    def seen(number: int) -> None:
+        settled_batch.append(number)
+
+    query = watch(spark, path, propose, out, checkpoint, every=f"{max(50, int(gap * 250))} milliseconds", gap=gap, proposed=seen)
+    until = None if wait is None else time.monotonic() + wait
+    try:
+        while query.isActive:
+            if settled_batch and (query.lastProgress or {}).get("batchId", -1) >= settled_batch[0]:
+                return True
+            if not settled_batch and until is not None and time.monotonic() > until:
+                return False
+            time.sleep(0.05)
+        if error := query.exception():
+            raise error
+        return bool(settled_batch)
+    finally:
+        query.stop()
+
+
 class TrailingGap(StatefulProcessor):
     """Holds paths of a key until nothing came for `gap` milliseconds, then yields each once."""
 
