@@ -28,6 +28,34 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def quoted(s: str) -> str:
+    """A string as a literal of SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r") + "'"
+
+
+def named(column: str) -> str:
+    """A column's name in SQL."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def let_sql(value: Column, sql: str) -> Column:
+    """What SQL text makes of x, a value that is computed once. Large expressions are parsed in one go, where building them call by call would take seconds."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {sql}")), F.lit(0))
+
+
+def fresh(rows: DataFrame, name: str) -> str:
+    """A name that no column of the rows has."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(rows: DataFrame, *results: str) -> DataFrame:
+    """The rows without columns that bear a result's name, which replaces them."""
+    return rows.drop(*[c for c in rows.columns if c.lower() in {r.lower() for r in results}])
+
+
 def once(rows: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns, each computed once a row whatever is made of them later: the optimiser does not copy what a generator gives into each use, nor push filters on it down."""
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
@@ -59,6 +87,14 @@ def normalize_for_match(s: Column) -> Column:
     return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{Nd}]+", " "))
 
 
+PAD = "  "  # what an empty text becomes
+
+
+def padded(s: Column) -> Column:
+    """Normalised text of which any run of words can be looked for with its edges."""
+    return F.concat(F.lit(" "), s, F.lit(" "))
+
+
 def contains_word(haystack: Column, needle: Column) -> Column:
     """Whether the words of needle stand in haystack, both normalised; never for an empty one."""
     inside = F.contains(F.concat(F.lit(" "), haystack, F.lit(" ")), F.concat(F.lit(" "), needle, F.lit(" ")))

@@ -29,19 +29,22 @@ def owners(config: Config, name: Column, text: Column) -> Column:
     """An array of (value, source) in the configured order: people named in the file name, else in the text, by name, tag or a given name of their own."""
     if not config.people:
         return F.array().cast("array<struct<value:string,source:string>>")
-    hay = F.struct(T.normalize_for_match(T.stem(name)).alias("filename"), T.normalize_for_match(T.clip(text, OWNER_TEXT)).alias("document-text"))
     given = given_names(config)
+    said = [[(p.name, None), (p.tag.replace("-", " "), "tag")] + ([(given[p.tag], "given-name")] if p.tag in given else []) for p in config.people]
+    words = F.expr(f"array({', '.join(T.quoted(token) for tokens in said for token, _ in tokens)})")
+    hay = F.struct(T.padded(T.normalize_for_match(T.stem(name))).alias("filename"), T.padded(T.normalize_for_match(T.clip(text, OWNER_TEXT))).alias("document"), F.transform(words, lambda w: T.padded(T.normalize_for_match(w))).alias("words"))
 
-    def found(norm: Column) -> Column:
-        out = []
-        for p in config.people:
-            tokens = [(p.name, None), (p.tag.replace("-", " "), "tag")] + ([(given[p.tag], "given-name")] if p.tag in given else [])
+    def found(x: Column) -> Column:
+        out, at = [], 0
+        for p, tokens in zip(config.people, said):
             source: Column = F.lit(None).cast("string")
-            for where in ("document-text", "filename"):
-                for token, how in reversed(tokens):
-                    source = F.when(F.coalesce(T.contains_word(norm[where], T.normalize_for_match(F.lit(token))), F.lit(False)), how or where).otherwise(source)
+            for field, where in (("document", "document-text"), ("filename", "filename")):
+                for k, (_, how) in reversed(list(enumerate(tokens))):
+                    word = F.get(x["words"], F.lit(at + k))
+                    source = F.when(F.coalesce((word != T.PAD) & F.contains(x[field], word), F.lit(False)), how or where).otherwise(source)
+            at += len(tokens)
             out.append(F.struct(F.lit(p.name).alias("value"), source.alias("source")))
-        return F.filter(F.array(*out), lambda x: x["source"].isNotNull())
+        return F.filter(F.array(*out), lambda o: o["source"].isNotNull())
 
     return T.let(hay, found)
 
@@ -49,7 +52,8 @@ def owners(config: Config, name: Column, text: Column) -> Column:
 def year(fields: Column, modified: Column) -> Column:
     """(value, source): the first year in a field that tells it, else that of the last change."""
     said = F.coalesce(*[T.year_in(F.try_element_at(fields, F.lit(f))) for f in YEAR_FIELDS])
-    return F.struct(F.coalesce(said, F.year(modified)).alias("value"), F.when(said.isNotNull(), "extracted-field").otherwise("mtime").alias("source"))
+    both = F.struct(said.alias("said"), F.year(modified).alias("modified"))
+    return T.let(both, lambda x: F.struct(F.coalesce(x["said"], x["modified"]).alias("value"), F.when(x["said"].isNotNull(), "extracted-field").otherwise("mtime").alias("source")))
 
 
 def identifier(fields: Column, name: Column, doctype: Column, owner_names: Column) -> Column:
@@ -57,7 +61,7 @@ def identifier(fields: Column, name: Column, doctype: Column, owner_names: Colum
     named = F.transform_keys(fields, lambda k, v: T.field_name(k))
 
     def first(found: Column) -> Column:
-        ranked = F.filter(F.transform(F.array(*map(F.lit, IDENTIFIER_FIELDS)), lambda f: F.trim(F.try_element_at(found, f))), lambda v: F.coalesce(v != "", F.lit(False)) & ~T.refused(v))
+        ranked = F.filter(F.transform(F.expr(f"array({', '.join(map(T.quoted, IDENTIFIER_FIELDS))})"), lambda f: F.trim(F.try_element_at(found, f))), lambda v: F.coalesce(v != "", F.lit(False)) & ~T.refused(v))
         return F.get(F.filter(F.transform(ranked, lambda v: F.trim(T.trim_doctype(v, doctype))), lambda v: v != ""), F.lit(0))
 
     stem = F.nullif(T.clean_stem(T.stem(name), doctype, owner_names), F.lit(""))

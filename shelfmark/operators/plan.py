@@ -15,15 +15,21 @@ from . import catalog as C
 from . import grammar, infer
 
 
+RESULTS = ("doctype", "category", "confidence", "classifier", "fields", "owners", "why_owners", "why_year", "why_identifier", "year", "identifier", "destination", "tags", "guessed", "accepted", "weight", "runner_up")
+
+
 def proposals(files: DataFrame, config: Config, catalog: C.Catalog, overrides: dict[str, object] | None = None) -> DataFrame:
     """What to do with new files (path, text, modified, sha256): type, fields, owners, year, identifier, destination and tags, each with its source.
 
     Overrides (doctype, owners, year, identifier) hold for all files and are checked before any is read; a stated type means a person decided.
+    Further columns of the files stay, but for those that bear a result's name (RESULTS), which are replaced.
     """
     said = checked(config, catalog, overrides or {})
+    files = T.without(files, *RESULTS)
+    kind, sure = T.fresh(files, "found"), T.fresh(files, "sure")
     rows = C.classified(files, catalog, config.min_confidence)  # in place: texts never move
     human = "doctype" in said
-    rows = T.once(rows.withColumnRenamed("doctype", "__found"), doctype=F.lit(said["doctype"]) if human else F.when(F.col("accepted"), F.col("__found")).otherwise(C.UNCLASSIFIED)).withColumnRenamed("accepted", "__sure").drop("weight", "runner_up")
+    rows = T.once(rows.withColumnRenamed("doctype", kind), doctype=F.lit(said["doctype"]) if human else F.when(F.col("accepted"), F.col(kind)).otherwise(C.UNCLASSIFIED)).withColumnRenamed("accepted", sure).drop("weight", "runner_up")
     rows = rows.withColumn("confidence", F.lit(0.0) if human else F.col("confidence")).withColumn("classifier", F.lit("human" if human else "rules")).withColumn("category", catalog.category_of(F.col("doctype")))
     name = T.basename(F.col("path"))
     reasons = infer.owners(config, name, F.col("text"))
@@ -32,8 +38,8 @@ def proposals(files: DataFrame, config: Config, catalog: C.Catalog, overrides: d
         reasons = F.array(*[stated(F.lit(o)) for o in said["owners"]]) if said["owners"] else F.array().cast("array<struct<value:string,source:string>>")
     fields = C.extract_fields(catalog, F.col("doctype"), F.col("text"))
     if human:  # what the classifier's own type gives is kept where the stated type says nothing
-        fields = infer.merged_over(fields, C.extract_fields(catalog, F.when(F.col("__sure"), F.col("__found")), F.col("text")))
-    rows = T.once(rows, fields=fields, why_owners=reasons).drop("__found", "__sure").withColumn("owners", F.col("why_owners.value"))
+        fields = infer.merged_over(fields, C.extract_fields(catalog, F.when(F.col(sure), F.col(kind)), F.col("text")))
+    rows = T.once(rows, fields=fields, why_owners=reasons).drop(kind, sure).withColumn("owners", F.col("why_owners.value"))
     rows = T.once(
         rows, why_year=stated(F.lit(said["year"])) if "year" in said else infer.year(F.col("fields"), F.col("modified")),
         why_identifier=stated(F.lit(said["identifier"])) if "identifier" in said else infer.identifier(F.col("fields"), name, F.col("doctype"), F.col("owners")),

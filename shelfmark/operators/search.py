@@ -203,3 +203,18 @@ def parse_selection(text: str, n: int) -> list[int]:
 def catalog_category(catalog: Catalog, rows: DataFrame) -> DataFrame:
     """Adds the catalog's category of the effective doctype: a lookup as large as the catalog."""
     return rows.withColumn("catalog_category", catalog.category_of(effective("doctype")))
+
+
+def overlapping(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str]) -> DataFrame:
+    """All columns of both for each pair of rows whose ranges (columns of the first day and the first day after) share a day.
+
+    Both sides are dealt out to the years that they touch, and joined by year; each pair counts in the first year that both touch, so it comes once, however many they share. Neither side
+    need be small. Ranges with a null end or without a day share none. Columns of the two sides may not share names.
+    """
+    (a, b), (c, d) = left_range, right_range
+    at, other = T.fresh(left, "in_year"), T.fresh(right, "of_year")
+    years = lambda first, after: F.explode(F.sequence(F.year(first), F.year(F.date_sub(after, 1))))
+    left, right = left.where(F.col(a) < F.col(b)), right.where(F.col(c) < F.col(d))
+    left, right = left.select("*", years(a, b).alias(at)), right.select("*", years(c, d).alias(other))
+    shared = (F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col(at) == F.greatest(F.year(a), F.year(c)))
+    return left.join(right, (F.col(at) == F.col(other)) & shared).drop(at, other)

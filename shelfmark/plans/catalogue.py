@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fiscal, ground
+from ..functions import fiscal, ground, sql
 from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import infer
@@ -100,6 +100,32 @@ def fn_clip(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.octet_length(T.clip(F.col("text"), 1000)).cast("long").alias("n"))
 
 
+# ---- in SQL
+
+
+@query(rf"SELECT doc_id, md5({NORM_SQL}) AS norm, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')) AS slug, md5(trim(regexp_replace(regexp_replace(text, '[ \t\n_/\\]+', '-', 'g'), '-{{2,}}', '-', 'g'), '-')) AS word FROM documents")
+def sql_text_functions(spark, sf):
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, md5(normalize_for_match(coalesce(text, ''))) AS norm, md5(slug(text)) AS slug, md5(name_word(text)) AS word FROM {documents}", documents=read(spark, sf, "documents"))
+
+
+@query(r"""SELECT id, regexp_replace(rel_path, '([^/]+)$', '.\1.meta.yaml') AS sidecar, rel_path AS back, true AS is_one, regexp_replace(name, '\.[^./]*$', '') AS stem, regexp_extract(name, '(\.[^./]*)$', 1) AS ext, regexp_extract(rel_path, '^(.*)/[^/]*$', 1) AS folder,
+    coalesce(try_cast(nullif(regexp_extract(replace(name, '_', ' '), '\b((?:19|20|21)[0-9]{2})\b', 1), '') AS INTEGER), -1) AS y FROM d_files""")
+def sql_path_functions(spark, sf):
+    sql.register(spark)
+    return spark.sql("""SELECT id, sidecar_path(rel_path) AS sidecar, document_of(sidecar_path(rel_path)) AS back, is_sidecar(sidecar_path(rel_path)) AND NOT is_sidecar(rel_path) AS is_one, file_stem(rel_path) AS stem, file_extension(file_name(rel_path)) AS ext, folder_name(rel_path) AS folder,
+        coalesce(year_in(replace(name, '_', ' ')), -1) AS y FROM {files}""", files=views(spark, sf, "d_files")["d_files"])
+
+
+@query("""WITH y AS (SELECT o_orderkey, year(date_trunc('month', o_orderdate) - INTERVAL 3 MONTH) AS y, (month(o_orderdate) - 4 + 12) % 12 // 3 + 1 AS q FROM orders)
+    SELECT o_orderkey, y::INTEGER AS fy, q::INTEGER AS quarter, 'FY ' || lpad((y % 100)::VARCHAR, 2, '0') || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') AS label, 'fy' || lpad((y % 100)::VARCHAR, 2, '0') || '-' || lpad(((y + 1) % 100)::VARCHAR, 2, '0') AS tag,
+        strftime(make_date(y, 4, 1), '%Y-%m-%d') AS first, strftime(make_date(y + 1, 4, 1), '%Y-%m-%d') AS after FROM y""")
+def sql_fiscal_functions(spark, sf):
+    sql.register(spark, APRIL)
+    return spark.sql("""SELECT o_orderkey, fy_year(day) AS fy, fy_quarter(day) AS quarter, fy_label(day) AS label, fy_tag(day) AS tag, cast(fy_start(fy_year(day)) AS STRING) AS first, cast(fy_end(fy_year(day)) AS STRING) AS after
+        FROM (SELECT o_orderkey, to_date(o_orderdate) AS day FROM {orders})""", orders=read(spark, sf, "orders"))
+
+
 # ---- fiscal calendar
 
 

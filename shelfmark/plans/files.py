@@ -158,7 +158,17 @@ def join_periods(spark, sf):
     periods = spark.sql("SELECT * FROM VALUES ('early', DATE '1990-01-01', DATE '1995-01-01'), ('mid', DATE '1995-01-01', DATE '1997-01-01'), ('late', DATE '1997-01-01', DATE '2003-01-01') AS p(label, first, to)")
     first, to = CONFIG.calendar.range(search.effective("year"))
     d = documents(spark, sf).select("id", first.alias("d_first"), to.alias("d_to"))
-    return d.join(F.broadcast(periods), (F.col("d_first") < F.col("to")) & (F.col("first") < F.col("d_to"))).select("label", "id")  # three periods
+    return search.overlapping(d, periods, ("d_first", "d_to"), ("first", "to")).select("label", "id")
+
+
+@query("""WITH d AS (SELECT o_orderkey AS id, o_orderdate::DATE AS a, o_orderdate::DATE + (1 + o_orderkey % 9)::INTEGER AS b FROM orders), p AS (SELECT o_orderkey AS period, o_orderdate::DATE AS c, o_orderdate::DATE + (o_orderkey % 800)::INTEGER AS e FROM orders)
+    SELECT period, count(*) AS n, min(id) AS first, max(id) AS last FROM p JOIN d ON a < e AND c < b AND c < e GROUP BY period""")
+def join_many_periods(spark, sf):
+    """Many periods, of up to two years and none, against all orders' days."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("a"))
+    days = orders.withColumn("b", F.date_add("a", (1 + F.col("id") % 9).cast("int")))
+    periods = orders.select(F.col("id").alias("period"), F.col("a").alias("c"), F.date_add("a", (F.col("id") % 800).cast("int")).alias("e"))
+    return search.overlapping(days, periods, ("a", "b"), ("c", "e")).groupBy("period").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 # ---- aggregates

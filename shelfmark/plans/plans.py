@@ -18,17 +18,33 @@ PROPOSED = """p AS (SELECT id, 'inbox/scan ' || id || '.pdf' AS path, day, text,
     CASE k WHEN 0 THEN 'INV-' || id WHEN 1 THEN 'RCT-' || id WHEN 2 THEN regexp_extract(text, 'ACC[0-9]+') WHEN 3 THEN 'X' || (1000000 + id) END AS identifier FROM p)"""
 
 
-@query(f"""WITH {PROPOSED} SELECT path, doctype, year::INTEGER AS year, coalesce(array_to_string(owners, '|'), '') AS owners,
+PROPOSALS = f"""WITH {PROPOSED} SELECT path, doctype, year::INTEGER AS year, coalesce(array_to_string(owners, '|'), '') AS owners,
     CASE k WHEN 0 THEN 'Financial/_Shared/FY ' || year || '/Invoice_Shared_' || identifier || '_' || year || '.pdf' WHEN 1 THEN 'Financial/Nora-Field/FY ' || year || '/Receipt_Nora-Field_' || identifier || '_' || year || '.pdf'
     WHEN 2 THEN 'Financial/_Shared/FY 2020/Statement_Shared_' || identifier || '_2020.pdf' WHEN 3 THEN 'Identity/Iris-Vane/Passport_Iris-Vane_' || identifier || '_2020.pdf' ELSE '-' END AS destination,
-    k >= 2 OR k = 3 AS guessed FROM q""")
-def plan_proposals(spark, sf):
-    t = views(spark, sf, "d_texts")["d_texts"]
-    files = t.select(F.concat(F.lit("inbox/scan "), F.col("id").cast("string"), F.lit(".pdf")).alias("path"), "text", F.lit("2020-05-05").cast("timestamp").alias("modified"))
-    found = plan.proposals(files, CONFIG, CATALOG)
+    k >= 2 OR k = 3 AS guessed FROM q"""
+
+
+def shown(found):
     return found.select("path", "doctype", "year", F.array_join("owners", "|").alias("owners"), F.coalesce("destination", F.lit("-")).alias("destination"), "guessed")
 
 
+def new_files(spark, sf):
+    path = F.concat(F.lit("inbox/scan "), F.col("id").cast("string"), F.lit(".pdf"))
+    return views(spark, sf, "d_texts")["d_texts"].select(path.alias("path"), "text", F.lit("2020-05-05").cast("timestamp").alias("modified"))
+
+
+@query(PROPOSALS)
+def plan_proposals(spark, sf):
+    return shown(plan.proposals(new_files(spark, sf), CONFIG, CATALOG))
+
+
+@query(PROPOSALS)
+def plan_proposals_over_clashing_columns(spark, sf):
+    """Files that come with columns of the names of results and of those used on the way."""
+    files = new_files(spark, sf).withColumns({c: F.lit("other") for c in ("doctype", "category", "Confidence", "accepted", "owners", "year", "found", "said", "low", "ranked", "sure", "tags")})
+    return shown(plan.proposals(files, CONFIG, CATALOG))
+
+
 @query("""SELECT id, CASE id % 3 WHEN 0 THEN 'active|fy' || y || '|nora-field' WHEN 1 THEN 'acme-corp|active|fy' || y ELSE 'active|fy' || y || '|iris-vane|omar-field' END AS tags FROM (SELECT id, year(day) AS y FROM d_texts)""")
 def plan_tags(spark, sf):
     owners = F.element_at(F.array(F.array(F.lit("Nora Field")), F.array().cast("array<string>"), F.array(F.lit("Omar Field"), F.lit("Iris Vane"))), (F.col("id") % 3 + 1).cast("int"))

@@ -134,3 +134,29 @@ def test_ocr_reading_order(spark):
     row = one(spark, lambda c: F.struct(ocr.text(ocr.parsed(c)).alias("t"), ocr.mean_confidence(ocr.parsed(c)).alias("m"), ocr.pages(ocr.parsed(c)).alias("p")), answer)
     assert row.t == "a\nb\nc" and abs(row.m - 0.8) < 1e-9 and row.p == 2
     assert one(spark, lambda c: ocr.text(ocr.parsed(c)), '{"contract":2,"blocks":[]}') is None
+
+
+def test_overlapping_ranges_and_sql_functions(spark):
+    import datetime as dt
+
+    from shelfmark.functions import sql
+    from shelfmark.functions import text as T
+    from shelfmark.functions.fiscal import Calendar
+    from shelfmark.operators import search
+
+    day = lambda n: dt.date(2019, 12, 20) + dt.timedelta(n)
+    left = [(k, day(k * 37 % 900), day(k * 37 % 900 + k % 5 * 200)) for k in range(40)] + [(90, None, day(1)), (91, day(1), None)]
+    right = [(k, day(k * 91 % 1000 - 30), day(k * 91 % 1000 - 30 + k % 4 * 300)) for k in range(30)] + [(95, None, None)]
+    a, b = spark.createDataFrame(left, "i int, a date, b date"), spark.createDataFrame(right, "j int, c date, d date")
+    got = search.overlapping(a, b, ("a", "b"), ("c", "d"))
+    want = sorted((i, j) for i, x, y in left for j, u, v in right if None not in (x, y, u, v) and x < y and u < v and x < v and u < y)
+    assert sorted((r.i, r.j) for r in got.collect()) == want and len(want) > 50 and got.columns == ["i", "a", "b", "j", "c", "d"]
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and search.overlapping(a.limit(0), b, ("a", "b"), ("c", "d")).count() == 0
+
+    names = sql.register(spark, Calendar(4, "FY{yyyy1}/{yy2}"))
+    assert len(names) == len(set(names)) and spark.sql("SELECT fy_label(DATE '2026-03-31') AS l, fy_tag(DATE '2026-04-01') AS t, fy_quarter(DATE '2026-03-31') AS q").first() == ("FY2025/26", "fy2026-27", 4)
+    rows = [("Ünïcode Straße, Œuvre & Æther_x",), ("a  -- b__c/d\\e",), ("",), (None,), ("x/.y.pdf.meta.yaml",), ("o'brien\n2031",)]
+    s = F.col("s")
+    both = spark.createDataFrame(rows, "s string").selectExpr("s", "slug(s) AS a", "name_word(s) AS b", "title_words(s) AS c", "normalize_for_match(s) AS d", "field_name(s) AS e", "file_stem(s) AS f", "document_of(s) AS g", "is_sidecar(s) AS h", "year_in(s) AS i", "contains_words(s, 'strasse') AS j")
+    same = both.select(F.col("a").eqNullSafe(T.slug(s)), F.col("b").eqNullSafe(T.word(s)), F.col("c").eqNullSafe(T.title_case(s)), F.col("d").eqNullSafe(T.normalize_for_match(s)), F.col("e").eqNullSafe(T.field_name(s)), F.col("f").eqNullSafe(T.stem(s)), F.col("g").eqNullSafe(T.document_of(s)), F.col("h").eqNullSafe(T.is_sidecar(s)), F.col("i").eqNullSafe(T.year_in(s)))
+    assert all(all(r) for r in same.collect()) and [r.j for r in both.collect()][:3] == [True, False, False]
