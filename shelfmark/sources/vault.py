@@ -8,10 +8,13 @@ The driver lists at most LISTED folders, level by level, and only their names. O
 Small ones share a task. The options `kinds`, `prefix` and `only` prune: folders that can't hold such paths are not opened, and files of other kinds not looked at. (They are options, as filters that
 Spark 4.1 pushes to a Python source stay with the frame, and so would hold for its other uses as well.)
 The tree must be readable by every executor under the same path.
+
+As a stream the source needs the option `state`, a folder that all tasks share, where they keep what they have listed (VaultChanges). Without it the driver lists the tree (VaultStream).
 """
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import hashlib
 import json
@@ -22,7 +25,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.errors import PySparkNotImplementedError
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "rel_path string, name string, size bigint, mod_time timestamp, kind string, sha256 string, content binary"
 RESERVED = ("manifests", "_To-Delete-After-Verification")
@@ -118,29 +122,7 @@ class VaultReader(DataSourceReader):
         self.wanted = Wanted(options)
 
     def partitions(self) -> list[InputPartition]:
-        waiting, pieces, listed = deque([""]), [], 0
-        while waiting and listed < self.LISTED:
-            folder = waiting.popleft()
-            listed += 1
-            try:
-                names, folders = entries(self.root, folder)
-            except OSError:
-                pieces.append((1, Piece(folder)))  # its task says so
-                continue
-            parts = max(1, -(-len(names) // self.SLICE))
-            if names:
-                pieces += [(-(-len(names) // parts), Piece(folder, k, parts)) for k in range(parts)]
-            waiting.extend(f for f in (os.path.join(folder, x) for x in folders) if self.wanted.folder(f))
-        pieces += [(self.SLICE, Piece(f, deep=True)) for f in waiting]
-        out: list[Pieces] = []
-        room = 0
-        for weight, piece in pieces:
-            if weight > room:
-                out.append(Pieces([]))
-                room = self.SLICE
-            out[-1].pieces.append(piece)
-            room -= weight
-        return out or [Pieces([])]
+        return cut(self.root, self.wanted, self.LISTED, self.SLICE)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for piece in partition.pieces:
@@ -165,6 +147,162 @@ class VaultReader(DataSourceReader):
                         continue
 
 
+def cut(root: str, wanted: Wanted, listed: int, size: int) -> list[Pieces]:
+    """Partitions of the tree: folders of the first `listed` in slices of about `size` names, deeper ones with all below them."""
+    waiting, pieces, seen = deque([""]), [], 0
+    while waiting and seen < listed:
+        folder = waiting.popleft()
+        seen += 1
+        try:
+            names, folders = entries(root, folder)
+        except OSError:
+            pieces.append((1, Piece(folder)))  # its task says so
+            continue
+        parts = max(1, -(-len(names) // size))
+        pieces += [(max(1, -(-len(names) // parts)), Piece(folder, k, parts)) for k in range(parts)]
+        waiting.extend(f for f in (os.path.join(folder, x) for x in folders) if wanted.folder(f))
+    pieces += [(size, Piece(f, deep=True)) for f in waiting]
+    out: list[Pieces] = []
+    room = 0
+    for weight, piece in pieces:
+        if weight > room:
+            out.append(Pieces([]))
+            room = size
+        out[-1].pieces.append(piece)
+        room -= weight
+    return out or [Pieces([])]
+
+
+class Listings:
+    """What a stream has seen of each folder: a file for each listing that differs from the one before, named by its instant, in a folder that all tasks share."""
+
+    def __init__(self, state: str):
+        self.state = state
+
+    def at(self, piece: Piece, folder: str, instant: int) -> tuple[int, dict] | None:
+        """The latest listing up to an instant: its own, and inode and ctime of each file and (with ctime 0) folder."""
+        top = self.place(piece, folder)
+        try:
+            found = max(n for n in map(int, (x for x in os.listdir(top) if x.isdigit())) if n <= instant)
+            with open(os.path.join(top, str(found)), encoding="utf-8") as f:
+                return found, json.load(f)
+        except (OSError, ValueError):  # none
+            return None
+
+    def put(self, piece: Piece, folder: str, instant: int, said: dict, done: int) -> None:
+        """Writes a listing, whole or not at all, and removes those that the one of `done` or before has replaced."""
+        os.makedirs(top := self.place(piece, folder), exist_ok=True)
+        tmp = os.path.join(top, f"{instant}.{os.getpid()}.{time.time_ns()}")
+        with open(tmp, "w", encoding="utf-8") as f:
+            json.dump(said, f)
+        os.replace(tmp, os.path.join(top, str(instant)))
+        past = sorted(int(x) for x in os.listdir(top) if x.isdigit() and int(x) <= done)
+        for old in past[:-1]:
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(os.path.join(top, str(old)))
+
+    def place(self, piece: Piece, folder: str) -> str:
+        name = hashlib.sha256(os.fsencode(folder)).hexdigest()
+        return os.path.join(self.state, name[:2], name)
+
+
+class Span(InputPartition):
+    def __init__(self, pieces: list[Piece], start: int, end: int):
+        super().__init__(pieces)
+        self.pieces, self.start, self.end = pieces, start, end
+
+
+class VaultChanges(DataSourceStreamReader):
+    """Files that are new or changed between two instants, in partitions.
+
+    The offset is an instant (ms) and nothing else. Tasks list their folders and compare them with what the `state` folder holds of the listing before: a file is new if its inode or ctime (which every write,
+    copy and rename moves on) is not the one listed, or if its folder was not there; so files that were moved or renamed with their folder are delivered too. The new listing is written before any row is
+    returned. A batch that is read again, after a failure or a restart, gives the difference of the same two listings. Changes of the last TICK are left to the next batch, as later ones could bear the same
+    ctime. With the option `limit` a task delivers that many files of a batch and leaves the others out of its listing, for the batches to come.
+    """
+
+    TICK = 50  # ms, more than the steps of a file system's clock
+    LISTED, SLICE = 512, 2000
+
+    def __init__(self, options: dict):
+        self.root, self.content = options["path"], options.get("content", "false").lower() == "true"
+        self.listings, self.limit = Listings(options["state"]), int(options.get("limit", 0))
+
+    def initialOffset(self) -> dict:
+        return {"ms": 0}
+
+    def latestOffset(self) -> dict:
+        return {"ms": time.time_ns() // 1_000_000}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        pieces = cut(self.root, Wanted({}), self.LISTED, self.SLICE)
+        whole = {p.folder: Piece(p.folder, deep=p.deep) for part in pieces for p in part.pieces}  # one task a folder's listing
+        out: list[Span] = []
+        for part in pieces:
+            mine = [whole.pop(p.folder) for p in part.pieces if p.folder in whole]
+            if mine:
+                out.append(Span(mine, start["ms"], end["ms"]))
+        return out
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        left = self.limit or None
+        for piece in partition.pieces:
+            waiting = [piece.folder]
+            while waiting:
+                folder = waiting.pop()
+                try:
+                    names, folders = entries(self.root, folder)
+                except OSError:  # gone, or not to be read
+                    continue
+                if piece.deep:
+                    waiting += [os.path.join(folder, x) for x in reversed(folders)]
+                found = self.changed(piece, folder, names, folders, partition.start, partition.end, left)
+                left = None if left is None else left - len(found)
+                for rel in found:
+                    try:
+                        yield row(self.root, rel, os.stat(os.path.join(self.root, rel)), self.content)
+                    except FileNotFoundError:  # gone meanwhile
+                        continue
+
+    def changed(self, piece: Piece, folder: str, names: list[str], folders: list[str], start: int, end: int, limit: int | None) -> list[str]:
+        """The folder's files that the listing of the end has otherwise than that of the start."""
+        before = self.listings.at(piece, folder, start)
+        known = before[1] if before and self.was_there(piece, folder, start) else {}
+        after = self.listings.at(piece, folder, end)
+        if after is None or after[0] <= start:
+            passed, said = time.time_ns() - self.TICK * 1_000_000, {}
+            room = len(names) if limit is None else limit
+            for name, is_folder in [(x, True) for x in folders] + [(x, False) for x in names]:
+                try:
+                    stat = os.stat(os.path.join(self.root, folder, name))
+                except OSError:  # gone meanwhile
+                    continue
+                mark = [stat.st_ino, 0 if is_folder else stat.st_ctime_ns]
+                if is_folder or known.get(name) == mark:
+                    said[name] = mark
+                elif stat.st_ctime_ns <= passed and room > 0:
+                    said[name] = mark
+                    room -= 1
+            if before is None or said != before[1] or known != before[1]:
+                self.listings.put(piece, folder, end, said, start)
+        else:
+            said = after[1]
+        return [os.path.join(folder, name) for name, mark in said.items() if mark[1] and known.get(name) != mark]
+
+    def was_there(self, piece: Piece, folder: str, start: int) -> bool:
+        """Whether the folder above listed this one, under this inode."""
+        if not folder:
+            return True
+        above = self.listings.at(piece, os.path.dirname(folder), start)
+        try:
+            return above is not None and above[1].get(os.path.basename(folder), [None])[0] == os.stat(os.path.join(self.root, folder)).st_ino
+        except OSError:
+            return False
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class VaultStream(SimpleDataSourceStreamReader):
     """Files that are new or changed since the offset, also those moved or copied in with an old mtime, and those in folders that were moved or renamed.
 
@@ -246,6 +384,11 @@ class Vault(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return VaultReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        if "state" not in self.options:  # the simple reader, which lists on the driver
+            raise PySparkNotImplementedError(errorClass="NOT_IMPLEMENTED", messageParameters={"feature": "streamReader without the option state"})
+        return VaultChanges(self.options)
+
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return VaultStream(self.options)
 

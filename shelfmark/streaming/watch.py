@@ -20,9 +20,10 @@ from ..runtime import ship
 from ..sources.vault import described, register
 
 
-def changes(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
+def changes(spark: SparkSession, path: str, content: bool = False, state: str | None = None) -> DataFrame:
+    """New and changed documents as a stream. With `state`, a folder that all tasks share, tasks list the tree; else the driver does."""
     register(spark)
-    rows = spark.readStream.format("vault").option("content", str(content).lower()).load(path)
+    rows = spark.readStream.format("vault").options(content=str(content).lower(), **({} if state is None else {"state": state})).load(path)
     return rows.where((F.col("kind") == "document") & watchable(F.col("rel_path")))
 
 
@@ -39,7 +40,8 @@ def watch(spark: SparkSession, path: str, propose: Callable[[DataFrame], DataFra
             if proposed is not None:
                 proposed(number)
 
-    rows = changes(spark, path)
+    plain = checkpoint.removeprefix("file://")
+    rows = changes(spark, path, state=None if "://" in plain else f"{plain}.listings")
     if gap is not None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         rows = settled(rows.select(F.lit(path).alias("tree"), "rel_path"), gap)

@@ -1,6 +1,9 @@
 """The tree as a table: slices, filters, folders that can't be read; and watching for one burst."""
 
+import json
 import os
+import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +98,64 @@ def test_watch_ends_after_one_burst(spark, tmp_path):
     grown(tree, ["In/c.txt"])
     assert watch.watch_once(spark, str(tree), propose, out, checkpoint, gap=0.5, wait=120)
     assert sorted(r.rel_path for r in spark.read.json(out).collect()) == ["In/a.txt", "In/b.txt", "In/c.txt"]
+
+
+def step(reader, start, change=lambda: None):
+    change()
+    time.sleep(0.12)
+    end = reader.latestOffset()
+    got = [r[0] for p in reader.partitions(start, end) for r in reader.read(p)]
+    assert sorted(got) == sorted(r[0] for p in reader.partitions(start, end) for r in reader.read(p))  # a batch read again
+    assert len(json.dumps(end)) < 40 and len(got) == len(set(got))
+    return sorted(got), end
+
+
+@pytest.mark.parametrize("listed", [512, 1])
+def test_changes_in_partitions(tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(vault.VaultChanges, "LISTED", listed)
+    tree = grown(tmp_path / "tree", FILES)
+    (tmp_path / "aside/Old").mkdir(parents=True)
+    for rel in ("a1.txt", "b1.txt", "Old/c1.txt"):
+        (tmp_path / "aside" / rel).write_text("x")
+        os.utime(tmp_path / "aside" / rel, (1e9, 1e9))
+    make = lambda: vault.VaultChanges({"path": str(tree), "state": str(tmp_path / "state")})
+    reader = make()
+    got, at = step(reader, reader.initialOffset())
+    assert got == SEEN
+    assert step(reader, at)[0] == []
+
+    def then(change):
+        nonlocal at
+        got, at = step(make(), at, change)  # a new reader, as after a restart
+        return got
+
+    assert then(lambda: os.rename(tmp_path / "aside/a1.txt", tree / "Two/a1.txt")) == ["Two/a1.txt"]
+    assert then(lambda: shutil.copy2(tmp_path / "aside/b1.txt", tree / "Two/b1.txt")) == ["Two/b1.txt"]
+    assert then(lambda: os.rename(tree / "Two/b1.txt", tree / "Two/d1.txt")) == ["Two/d1.txt"]
+    assert then(lambda: os.rename(tmp_path / "aside/Old", tree / "Two/Old")) == ["Two/Old/c1.txt"]
+    assert then(lambda: os.rename(tree / "Two/Old", tree / "Two/New")) == ["Two/New/c1.txt"]
+    assert then(lambda: os.rename(tree / "Two/New", tree / "Two/Old")) == ["Two/Old/c1.txt"]
+    assert then(lambda: (tree / "One/b.txt").write_text("other")) == ["One/b.txt"]
+    assert then(lambda: os.remove(tree / "One/b.txt")) == []
+    assert then(lambda: grown(tree, ["One/b.txt", "New/Deep/x.txt"])) == ["New/Deep/x.txt", "One/b.txt"]
+    assert then(lambda: None) == []
+
+
+def test_a_limit_of_files_a_batch(tmp_path):
+    tree = grown(tmp_path / "tree", [f"In/{k}.txt" for k in range(25)])
+    reader = vault.VaultChanges({"path": str(tree), "state": str(tmp_path / "state"), "limit": "10"})
+    seen, at = [], reader.initialOffset()
+    for size in (10, 10, 5, 0):
+        got, at = step(reader, at)
+        assert len(got) == size
+        seen += got
+    assert sorted(seen) == sorted(f"In/{k}.txt" for k in range(25))
+
+
+def test_many_folders_need_no_large_offset(spark, tmp_path):
+    tree = grown(tmp_path / "tree", [f"F{k}/x.txt" for k in range(700)])
+    reader = vault.VaultChanges({"path": str(tree), "state": str(tmp_path / "state")})
+    end = reader.latestOffset()
+    assert len(json.dumps(end)) < 40 and len(reader.partitions(reader.initialOffset(), end)) > 100
+    spans = reader.partitions(reader.initialOffset(), end)
+    assert sum(1 for p in spans for _ in reader.read(p)) in (699, 700)  # the last one may be a tick too young
