@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import model, ocr
+from ..functions import chain, model, ocr
 from ..functions import tags as G
 from ..operators import catalog as C
 from ..operators import filing, infer, plan
@@ -199,3 +199,23 @@ def infer_fields_over(spark, sf):
     m = infer.merged_over(stated, found)
     part = lambda k: F.when(F.map_contains_key(m, k), F.concat(F.lit(k + ":"), F.try_element_at(m, F.lit(k))))
     return t.select("id", F.concat_ws("|", part("number"), part("date"), part("seller")).alias("fields"))
+
+
+def _reply(kind: str, good: str, sure: str) -> str:
+    return f"""CASE {kind} WHEN 0 THEN '{{"contract":1,"doctype":"{good}","confidence":{sure}}}' WHEN 1 THEN '{{"contract":1,"doctype":"Unclassified","confidence":1}}' WHEN 2 THEN '{{"contract":1,"doctype":"{good}","confidence":0.1}}'
+        WHEN 3 THEN '{{"error":"no_model","message":"x"}}' ELSE 'oops' END"""
+
+
+@query("""WITH k AS (SELECT id, id % 5 AS a, id // 5 % 5 AS b, id // 25 % 2 AS r FROM d_files), w AS (SELECT *, ['answered', 'declined', 'unusable', 'failed', 'failed'] AS s, [NULL, NULL, NULL, 'no_model', 'bad_response'] AS f FROM k)
+    SELECT id, CASE WHEN a = 0 THEN 'invoice' WHEN b = 0 THEN 'boarding-pass' WHEN r = 0 THEN 'receipt' ELSE 'unclassified' END AS doctype, CASE WHEN a = 0 THEN 0.9 WHEN b = 0 THEN 0.8 WHEN r = 0 THEN 0.6 ELSE 0.0 END::DOUBLE AS confidence,
+        CASE WHEN a = 0 THEN 'first' WHEN b = 0 THEN 'second' ELSE 'rules' END AS tier, CASE WHEN a >= 3 THEN 'first:' || f[a + 1] WHEN a > 0 AND b >= 3 THEN 'second:' || f[b + 1] ELSE '-' END AS degraded,
+        'first=' || s[a + 1] || CASE WHEN a = 0 THEN '' ELSE '|second=' || s[b + 1] || CASE WHEN b = 0 THEN '' WHEN r = 0 THEN '|rules=answered' ELSE '|rules=unusable' END END AS attempts FROM w""")
+def model_chain_matrix(spark, sf):
+    """Every way in which two tiers and the rules can answer, decline, fall short or fail."""
+    n = lambda by, of: f"cast(id / {by} AS bigint) % {of}"
+    d = views(spark, sf, "d_files")["d_files"].select("id", F.expr(_reply(n(1, 5), "Invoice", "0.9")).alias("a"), F.expr(_reply(n(5, 5), "boarding pass", "0.8")).alias("b"), F.expr(f"if({n(25, 2)} = 0, 0.6D, 0.3D)").alias("r"))
+    rules = F.struct(F.lit("receipt").alias("doctype"), F.lit("financial").alias("category"), F.col("r").alias("confidence"))
+    tiers = [chain.Tier("first", "a"), chain.Tier("absent", "b", available=False), chain.Tier("second", "b")]
+    got = d.withColumn("c", chain.classified(tiers, rules, CATALOG, 0.5))
+    shown = F.array_join(F.transform("c.attempts", lambda t: F.concat(t["tier"], F.lit("="), t["status"])), "|")
+    return got.select("id", "c.doctype", "c.confidence", "c.tier", F.coalesce(F.concat("c.degraded.tier", F.lit(":"), "c.degraded.reason"), F.lit("-")).alias("degraded"), shown.alias("attempts"))

@@ -160,3 +160,24 @@ def test_overlapping_ranges_and_sql_functions(spark):
     both = spark.createDataFrame(rows, "s string").selectExpr("s", "slug(s) AS a", "name_word(s) AS b", "title_words(s) AS c", "normalize_for_match(s) AS d", "field_name(s) AS e", "file_stem(s) AS f", "document_of(s) AS g", "is_sidecar(s) AS h", "year_in(s) AS i", "contains_words(s, 'strasse') AS j")
     same = both.select(F.col("a").eqNullSafe(T.slug(s)), F.col("b").eqNullSafe(T.word(s)), F.col("c").eqNullSafe(T.title_case(s)), F.col("d").eqNullSafe(T.normalize_for_match(s)), F.col("e").eqNullSafe(T.field_name(s)), F.col("f").eqNullSafe(T.stem(s)), F.col("g").eqNullSafe(T.document_of(s)), F.col("h").eqNullSafe(T.is_sidecar(s)), F.col("i").eqNullSafe(T.year_in(s)))
     assert all(all(r) for r in same.collect()) and [r.j for r in both.collect()][:3] == [True, False, False]
+
+
+def test_tiers_by_name_and_order(spark):
+    from shelfmark.functions import chain
+    from shelfmark.operators import catalog as C
+    from shelfmark.plans.derived import CONFIG
+
+    catalog = C.Catalog.of(CONFIG)
+    tiers = [chain.Tier("a", "x"), chain.Tier("b", "y", available=False, detail="needs a key")]
+    rows = spark.createDataFrame([('{"contract":1,"doctype":"visa","confidence":0.9}', None), (None, '{"contract":1,"doctype":"visa","confidence":0.9}'), ('{"contract":1,"doctype":"made up","confidence":0.9}', "")], "x string, y string")
+    none = F.lit(None).cast("struct<doctype: string, category: string, confidence: double>")
+    got = [r.c for r in rows.select(chain.classified(tiers, none, catalog, 0.5).alias("c")).collect()]
+    assert [(c.doctype, c.tier, c.degraded and c.degraded.reason) for c in got] == [("visa", "a", None), ("unclassified", "rules", "bad_response"), ("unclassified", "rules", None)]
+    assert [t.reason for t in got[2].attempts] == ["unknown type", "not sure enough"] and got[2].category is None and got[2].confidence == 0
+    alone = rows.select(chain.classified(tiers, none, catalog, 0.5, "rules").alias("c")).first().c
+    assert [t.tier for t in alone.attempts] == ["rules"]
+    with pytest.raises(ValueError, match="needs a key"):
+        chain.classified(tiers, none, catalog, 0.5, "b")
+    table = lambda forced: {r.name: (r.available, r.place, r.fault is not None) for r in chain.describe(spark, tiers, forced).collect()}
+    assert table("") == {"a": (True, 1, False), "b": (False, None, False), "rules": (True, 2, False)}
+    assert table("rules")["rules"] == (True, 1, False) and table("b")["b"] == (False, None, True) and table("b")["rules"][1] is None
