@@ -53,7 +53,7 @@ def main(args: list[str]) -> int:
     p.add_argument("--select", default="all")
     p.add_argument("--manifest")
     p.add_argument("--out", default="proposals")
-    p.add_argument("--path", action="append", default=[], help="a document (move, tag, supersede: the one that gives way)")
+    p.add_argument("--path", action="append", default=[], help="a document (move, tag, supersede: the one that gives way), or a file or folder anywhere (ingest)")
     p.add_argument("--by", help="the document that takes its place (supersede)")
     p.add_argument("--add", action="append", default=[])
     p.add_argument("--remove", action="append", default=[])
@@ -86,7 +86,7 @@ def main(args: list[str]) -> int:
     elif a.command == "doctypes":
         said = rows(report.filed_by_doctype(collection(spark, root, cfg)[0], catalog, {t.name for t in C.built_in()}).orderBy("doctype"))
     elif a.command == "ingest":
-        files = vault.read(spark, root, content=True, kinds=["document"], prefix=a.folder.rstrip("/") + "/")
+        files = vault.collected(spark, root, a.path) if a.path else vault.read(spark, root, content=True, kinds=["document"], prefix=a.folder.rstrip("/") + "/")
         found = proposed(spark, root, cfg, files).cache()
         if a.yes:
             chosen = search.select(found, search.parse_selection(a.select, found.count()))

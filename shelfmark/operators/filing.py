@@ -29,6 +29,11 @@ def rechecked(proposals: DataFrame, config: Config, root: str) -> DataFrame:
     return proposals.withColumn("fault", search.destination_fault(target, root)).withColumn("dropped_tags", dropped).withColumn("tags", G.known(config, tags))
 
 
+def located(root: str, path: Column) -> Column:
+    """Where a path lies: below the root, but for one that is whole."""
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+
+
 def facts_of(rows: DataFrame, now: dt.datetime | None) -> Column:
     """What a sidecar is to say."""
     day = F.lit(now.date().isoformat() if now else None).cast("string")
@@ -40,7 +45,7 @@ def file_proposals(proposals: DataFrame, taken: DataFrame, config: Config, root:
 
     Tasks move the files and write the sidecars; tags of what moved are joined to it.
     """
-    full = lambda c: F.concat(F.lit(root.rstrip("/") + "/"), F.col(c))
+    full = lambda c: located(root, F.col(c))
     rows = rechecked(proposals.where("destination is not null"), config, root).withColumn("source", full("path")).cache()
     left = [(r.path, r.fault) for r in rows.where("fault is not null").select("path", "fault").toLocalIterator()]
     good = rows.where("fault is null")
@@ -96,8 +101,7 @@ def supersede(documents: DataFrame, old: str, new: str) -> DataFrame:
 
 def reindex(proposals: DataFrame, root: str, now: dt.datetime | None = None) -> dict:
     """Writes the facts beside each document where it is, in tasks; nothing moves. Documents that belong elsewhere are named."""
-    full = F.concat(F.lit(root.rstrip("/") + "/"), F.col("path"))
-    rows = proposals.select(full.alias("source"), F.lit(None).cast("string").alias("destination"), "sha256", facts_of(proposals, now).alias("facts"))
+    rows = proposals.select(located(root, F.col("path")).alias("source"), F.lit(None).cast("string").alias("destination"), "sha256", facts_of(proposals, now).alias("facts"))
     outcome = executor.carried_out(rows, root, f"{now or dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}_reindex", proposals.count())
     elsewhere = proposals.where("destination is not null and destination != path").select("path", "destination").orderBy("path")
     return {"sidecars": [r.sidecar for r in outcome.where("sidecar is not null").orderBy("source").toLocalIterator()], "elsewhere": [tuple(r) for r in elsewhere.toLocalIterator()]}

@@ -67,12 +67,20 @@ def findings(documents: DataFrame, orphans: DataFrame, config: Config, catalog:
     return union([rows_of(d, F.concat(F.array(*out), strange)), multiple_active(documents.where(tagged), config), rows_of(orphans, F.array(finding("orphan-sidecar", F.lit(True), F.lit("its document is gone"))), "path")])
 
 
+NAMED = 50  # paths in one message; the findings themselves are one a document, however many
+
+
 def multiple_active(documents: DataFrame, config: Config) -> DataFrame:
     """Every active document of a watched type and owner of which there are two or more. Groups are counted before they are joined back, so none is gathered."""
     owner = F.explode(F.when(F.size(effective("owners")) > 0, effective("owners")).otherwise(F.array(F.lit(""))))
     rows = documents.where(G.has(F.col("tags"), "active") & effective("doctype").isin(list(config.single_active))).select("rel_path", effective("doctype").alias("doctype"), owner.alias("owner")).withColumn("owner", T.slug(F.col("owner")))
-    many = rows.groupBy("doctype", "owner").agg(F.count("*").alias("n"), F.min("rel_path").alias("first")).where("n > 1")
-    message = F.concat_ws(" ", F.col("n").cast("string"), F.lit("active"), "doctype", F.lit("documents of"), F.when(F.col("owner") == "", "nobody").otherwise(F.col("owner")), F.lit("from"), "first")
+    group = Window.partitionBy("doctype", "owner").orderBy("rel_path")
+    few = rows.withColumn("k", F.row_number().over(group)).where(F.col("k") <= NAMED)  # the sort of a group is Spark's, and stops mattering after so many
+    many = rows.groupBy("doctype", "owner").agg(F.count("*").alias("n")).where("n > 1")
+    names = few.groupBy("doctype", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "rel_path"))), lambda x: x["rel_path"]), ", ").alias("names"))
+    more = F.when(F.col("n") > NAMED, F.concat(F.lit(" and "), (F.col("n") - NAMED).cast("string"), F.lit(" more"))).otherwise("")
+    many = many.join(names, ["doctype", "owner"])
+    message = F.concat(F.concat_ws(" ", F.col("n").cast("string"), F.lit("active"), "doctype", F.lit("documents of"), F.when(F.col("owner") == "", "nobody").otherwise(F.col("owner"))), F.lit(": "), "names", more)
     return rows_of(rows.join(many, ["doctype", "owner"]), F.array(finding("multiple-active", F.lit(True), message)))
 
 

@@ -427,3 +427,39 @@ def described(paths, root: str):
                     yield pa.record_batch([pa.array([x], k) for x, k in zip(found, kinds)], names=["rel_path", "name", "size", "mod_time", "kind", "sha256", "content"])
 
     return paths.select("rel_path").mapInArrow(run, SCHEMA)
+
+
+def resolved(root: str, paths: list[str]) -> tuple[list[str], list[str]]:
+    """Folders and files that are named, by real path; relative ones below the root. What stands twice, or in a folder that is named too, counts once. Raises FileNotFoundError with all that are missing."""
+    places = [os.path.join(root, p) for p in paths]
+    if missing := [p for p, at in zip(paths, places) if not os.path.exists(at)]:
+        raise FileNotFoundError(", ".join(missing))
+    real = sorted({os.path.realpath(p) for p in places})
+    folders: list[str] = []
+    for p in (p for p in real if os.path.isdir(p)):
+        if not any(p.startswith(f.rstrip("/") + "/") for f in folders):
+            folders.append(p)
+    return folders, [p for p in real if not os.path.isdir(p) and not any(p.startswith(f.rstrip("/") + "/") for f in folders)]
+
+
+def collected(spark, root: str, paths: list[str]):
+    """Documents with their content out of any files and folders: rel_path is relative to the root below it, else the whole path. Folders are read as a tree is; named files whatever their names, but for sidecars and placeholders."""
+    from pyspark.sql import functions as F
+
+    top = os.path.realpath(root)
+    folders, files = resolved(root, paths)
+
+    def short(path):
+        return F.when(F.startswith(path, F.lit(top + "/")), F.substring(path, len(top) + 2, 1 << 30)).otherwise(path)
+
+    names = spark.createDataFrame([(f,) for f in files], "rel_path string")
+    out = described(names, top).where("kind = 'document' or kind is null")
+    out = out.withColumn("rel_path", short(F.col("rel_path")))
+    for folder in folders:
+        if folder == top or not folder.startswith(top + "/"):
+            rows = read(spark, folder, content=True, kinds=["document"])
+            rows = rows if folder == top else rows.withColumn("rel_path", F.concat(F.lit(folder.rstrip("/") + "/"), "rel_path"))
+        else:
+            rows = read(spark, top, content=True, kinds=["document"], prefix=folder[len(top) + 1 :] + "/")
+        out = out.unionByName(rows)
+    return out

@@ -159,3 +159,26 @@ def test_many_folders_need_no_large_offset(spark, tmp_path):
     assert len(json.dumps(end)) < 40 and len(reader.partitions(reader.initialOffset(), end)) > 100
     spans = reader.partitions(reader.initialOffset(), end)
     assert sum(1 for p in spans for _ in reader.read(p)) in (699, 700)  # the last one may be a tick too young
+
+
+def test_files_and_folders_from_anywhere(spark, tmp_path):
+    root, other = grown(tmp_path / "root", FILES), grown(tmp_path / "other", ["x.txt", "Sub/y.txt", "Sub/.y.txt.meta.yaml"])
+    os.symlink(root / "One", tmp_path / "link")
+    got = vault.collected(spark, str(root), ["One/Deep", "One", str(tmp_path / "link"), "a.txt", str(root / "a.txt"), "One/b.txt", str(other / "Sub"), str(other / "Sub/y.txt"), "Two/.e.icloud"])
+    assert sorted(r.rel_path for r in got.collect()) == sorted(["One/b.txt", "One/Deep/c.txt", "One/Deep/Down/d.txt", "a.txt", str(other / "Sub/y.txt")])
+    assert {r.content for r in got.where("rel_path in ('a.txt', 'One/b.txt')").collect()} == {b"a.txt", b"One/b.txt"}
+    assert vault.collected(spark, str(root), ["."]).count() == len([f for f in SEEN if "/." not in f])
+    with pytest.raises(FileNotFoundError, match="gone.txt, Nowhere"):
+        vault.collected(spark, str(root), ["a.txt", "gone.txt", "Nowhere"])
+
+
+def test_active_documents_are_all_named(spark):
+    from shelfmark.config import Config, Person
+    from shelfmark.operators import lint
+
+    rows = [(f"p{k:03}.pdf", "passport", ["active"], ["Nora Field"]) for k in range(60)] + [("q1", "passport", ["active"], ["Omar Field"]), ("q2", "passport", ["active"], ["Omar Field"]), ("r", "passport", [], ["Omar Field"])]
+    docs = spark.createDataFrame(rows, "rel_path string, doctype string, tags array<string>, owners array<string>")
+    docs = docs.select("rel_path", "tags", F.struct("doctype", "owners").alias("doc"), F.struct(F.lit(None).cast("string").alias("doctype"), F.array().cast("array<string>").alias("owners")).alias("meta"))
+    found = {r.path: r.message for r in lint.multiple_active(docs, Config(people=(Person("Nora Field", "nora-field"),), single_active=("passport",))).collect()}
+    assert len(found) == 62 and found["q1"] == found["q2"] == "2 active passport documents of omar-field: q1, q2"
+    assert found["p000.pdf"].startswith("60 active passport documents of nora-field: p000.pdf, p001.pdf, ") and found["p059.pdf"].endswith("p049.pdf and 10 more")
