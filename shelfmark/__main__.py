@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import config
 from .operators import catalog as C
-from .operators import doctor, executor, filing, lint, plan, report, search
+from .operators import doctor, executor, filing, lint, plan, repair, report, search
 from .sources import extract, records, vault
 from .streaming import watch
 
@@ -59,6 +59,7 @@ def main(args: list[str]) -> int:
     p.add_argument("--remove", action="append", default=[])
     p.add_argument("--for-send", action="store_true", help="confidential documents need --yes (resolve)")
     p.add_argument("--gap", type=float, default=2.0, help="seconds without a change that end a burst (watch)")
+    p.add_argument("--fix", action="store_true", help="repair what can be repaired (lint)")
     p.add_argument("--once", action="store_true", help="end after the first burst (watch)")
     p.add_argument("--wait", type=float, help="seconds to wait for a burst (watch --once)")
     p.add_argument("--yes", action="store_true")
@@ -74,6 +75,14 @@ def main(args: list[str]) -> int:
         total = docs.where(query.column(cfg)).count()
         found = rows(search.find(docs, query, cfg, a.limit).orderBy("rel_path"))
         said: object = {"count": total, "documents": found, "truncated": len(found) < total, "unreadable": rows(vault.read(spark, root, kinds=["unreadable"]).select("rel_path", F.col("name").alias("reason")).orderBy("rel_path"))}
+    elif a.command == "lint" and a.fix:
+        docs, orphans = collection(spark, root, cfg, hashed=True)
+        found = lint.findings(docs, orphans, cfg, catalog)
+        if a.yes:
+            done = repair.fix(docs.select("rel_path", "sha256", "tags"), found.cache(), root)
+            said = {"manifest": done["manifest"], "findings": rows(done["findings"].orderBy("path", "rule", "message"))}
+        else:
+            said, code = {"repairs": rows(repair.composed(found).orderBy("path")), "confirmation": "required"}, 3
     elif a.command == "lint":
         found = lint.findings(*collection(spark, root, cfg, hashed=True), cfg, catalog)
         said = {"findings": rows(lint.ordered(found)), **lint.counts(found).first().asDict()}

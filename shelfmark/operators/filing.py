@@ -65,9 +65,10 @@ def read_tags(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(path) if os.path.exists(path) else spark.createDataFrame([], "rel_path string, tags array<string>")
 
 
-def write_tags(spark: SparkSession, root: str, changed: DataFrame) -> None:
-    """Replaces the tags of the documents that are named, once each; those of all others stay. The old table is there until the new one is whole."""
+def write_tags(spark: SparkSession, root: str, changed: DataFrame, gone: DataFrame | None = None) -> None:
+    """Replaces the tags of the documents that are named, once each, and drops those of documents that are gone (rel_path); those of all others stay. The old table is there until the new one is whole."""
     before, path = read_tags(spark, root), os.path.join(root, TAGS)
+    before = before if gone is None else before.join(gone.select("rel_path"), "rel_path", "left_anti")
     after = before.join(changed.select("rel_path"), "rel_path", "left_anti").unionByName(changed.select("rel_path", G.normalize(F.col("tags")).alias("tags")))
     new, old = f"{path}.new{os.getpid()}", f"{path}.old{os.getpid()}"
     after.write.mode("overwrite").parquet(new)

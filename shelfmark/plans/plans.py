@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import chain, model, ocr
 from ..functions import tags as G
 from ..operators import catalog as C
-from ..operators import filing, infer, plan
+from ..operators import filing, infer, plan, repair
 from .derived import CONFIG, views
 from .registry import query
 
@@ -219,3 +219,26 @@ def model_chain_matrix(spark, sf):
     got = d.withColumn("c", chain.classified(tiers, rules, CATALOG, 0.5))
     shown = F.array_join(F.transform("c.attempts", lambda t: F.concat(t["tier"], F.lit("="), t["status"])), "|")
     return got.select("id", "c.doctype", "c.confidence", "c.tier", F.coalesce(F.concat("c.degraded.tier", F.lit(":"), "c.degraded.reason"), F.lit("-")).alias("degraded"), shown.alias("attempts"))
+
+
+@query("""SELECT rel_path AS path, CASE WHEN id % 5 IN (0, 1) THEN 'New/' || id || '.pdf' ELSE '-' END AS move_to, CASE id % 5 WHEN 0 THEN '-' WHEN 3 THEN 'active|tax' ELSE 'active' END AS add_tags,
+    CASE id % 5 WHEN 2 THEN 'rules disagree about its place' WHEN 4 THEN 'another document would go there' ELSE '-' END AS why_not,
+    CASE id % 5 WHEN 0 THEN 'fixed' WHEN 1 THEN 'fixed|fixed|fixed' WHEN 2 THEN 'fixed|skipped|skipped' WHEN 3 THEN 'fixed|fixed' ELSE 'fixed|skipped' END || '|skipped' AS states, CASE WHEN id % 5 IN (0, 1) THEN 'New/' || id || '.pdf' ELSE rel_path END AS final
+    FROM (SELECT id, id || '/' || rel_path AS rel_path FROM d_files)""")
+def lint_repairs(spark, sf):
+    """Moves and tags that rules ask for together: agreed, disputed, for one place, and none."""
+    d = views(spark, sf, "d_files")["d_files"].select("id", F.concat(F.col("id").cast("string"), F.lit("/"), "rel_path").alias("path"))
+    place = F.concat(F.lit("New/"), F.col("id").cast("string"), F.lit(".pdf"))
+    one = lambda rule, to, tag: F.struct(F.lit(rule).alias("rule"), to.cast("string").alias("move_to"), tag.cast("string").alias("add_tag"))
+    none, tag = F.lit(None), F.lit("active")
+    wanted = {
+        0: [one("wrong-folder", place, none)], 1: [one("wrong-folder", place, none), one("name-normalization", place, none), one("missing-lifecycle-tag", none, tag)],
+        2: [one("wrong-folder", place, none), one("name-normalization", F.lit("Elsewhere/x.pdf"), none), one("missing-lifecycle-tag", none, tag)],
+        3: [one("missing-lifecycle-tag", none, tag), one("missing-tag", none, F.lit("tax"))], 4: [one("wrong-folder", F.lit("New/shared.pdf"), none), one("missing-lifecycle-tag", none, tag)],
+    }
+    every = F.coalesce(*[F.when(F.col("id") % 5 == k, F.array(*v, one("name-grammar", none, none))) for k, v in wanted.items()])
+    found = d.select("path", F.inline(every))
+    fixes = repair.composed(found)
+    told = repair.told(found, fixes, fixes.where("move_to is not null").select("path", "move_to"))
+    states = told.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("state")), "|").alias("states"), F.max("final").alias("final"))
+    return fixes.join(states, "path").select("path", F.coalesce("move_to", F.lit("-")).alias("move_to"), F.when(F.size("add_tags") > 0, F.array_join("add_tags", "|")).otherwise("-").alias("add_tags"), F.coalesce("why_not", F.lit("-")).alias("why_not"), "states", "final")

@@ -98,3 +98,27 @@ def test_moves_without_a_destination_fail(spark):
     for how in ("suffix", "skip", "fail"):
         got = {(r.source, r.action) for r in plan.planned(moves_, spark.createDataFrame([], "path string, sha256 string"), how).collect()}
         assert {("a", "fail"), ("b", "fail"), (None, "fail")} <= got
+
+
+def test_repairs_move_first_and_tags_follow(spark, tmp_path):
+    from shelfmark.operators import filing, repair
+
+    names = ["a.txt", "b.txt", "c.txt", "d.txt", "e.txt", "f.txt"]
+    for name in names:
+        (tmp_path / name).write_text(name)
+    (tmp_path / "New").mkdir()
+    (tmp_path / "New/taken.txt").write_text("other")
+    root = str(tmp_path)
+    filing.write_tags(spark, root, spark.createDataFrame([("a.txt", ["tax"]), ("f.txt", ["old"])], "rel_path string, tags array<string>"))
+    rows = [("a.txt", "New/a.txt", None), ("a.txt", None, "active"), ("b.txt", "New/b.txt", None), ("b.txt", "Else/b.txt", None), ("b.txt", None, "active"), ("c.txt", "New/x.txt", None), ("d.txt", "New/x.txt", None), ("d.txt", None, "active"), ("e.txt", "New/taken.txt", None), ("e.txt", None, "active"), ("f.txt", None, None)]
+    found = spark.createDataFrame([("rule", *r) for r in rows], "rule string, path string, move_to string, add_tag string")
+    sha = [(n, hashlib.sha256((tmp_path / n).read_bytes()).hexdigest()) for n in [*names, "New/taken.txt"]]
+    docs = spark.createDataFrame(sha, "rel_path string, sha256 string").join(filing.read_tags(spark, root), "rel_path", "left")
+    done = repair.fix(docs.cache(), found, root, NOW)
+    assert sorted((r.path, r.move_to or r.add_tag, r.state) for r in done["findings"].where("path < 'f'").collect()) == sorted((p, m or t, "fixed" if t or p == "a.txt" else "skipped") for p, m, t in rows[:-1])
+    assert (tmp_path / "New/a.txt").read_text() == "a.txt" and not (tmp_path / "a.txt").exists() and all((tmp_path / n).exists() for n in names[1:])
+    assert (tmp_path / "New/taken.txt").read_text() == "other"
+    assert {r.rel_path: r.tags for r in filing.read_tags(spark, root).collect()} == {"New/a.txt": ["active", "tax"], "b.txt": ["active"], "d.txt": ["active"], "e.txt": ["active"], "f.txt": ["old"]}
+    assert done["findings"].where("state = 'skipped' and path = 'b.txt'").first().reason == repair.DISAGREE and done["findings"].where("path = 'f.txt'").first().reason == repair.NOT_FIXABLE
+    executor.rollback(records.read_manifest(spark, done["manifest"]), root)
+    assert (tmp_path / "a.txt").read_text() == "a.txt"
