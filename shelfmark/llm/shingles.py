@@ -82,9 +82,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(axis=-1) / np.maximum(((a | b) != 0).sum(axis=-1), 1)
 
 
-def set_key(first: np.ndarray, second: np.ndarray) -> bytes:
-    """128 bits that name a set."""
-    return hashlib.blake2b(first.tobytes() + second.tobytes(), digest_size=16).digest()
+def set_key(first: np.ndarray, second: np.ndarray | None = None) -> bytes:
+    """128 bits that name a set, by both hashes of its shingles (or the first alone)."""
+    return hashlib.blake2b(first.tobytes() + (b"" if second is None else second.tobytes()), digest_size=16).digest()
 
 
 def alike(a: set, b: set, percent: int) -> bool:
