@@ -19,3 +19,16 @@ def test_merged_fields_of_all_kinds_of_text(spark):
     got = sorted(map(tuple, plans.infer_merged_fields_all_kinds(spark, SF).collect()))
     assert got == sorted(con.sql(ORACLE["infer_merged_fields_all_kinds"]).fetchall())
     assert len(got) == spark.read.parquet(f"{SF}/orders.parquet").count() and {r[0] % 5 for r in got} == {0, 1, 2, 3, 4}
+
+
+def test_blocks_of_one_place_stay_in_the_order_of_the_table(spark, tmp_path):
+    """The larger file is read first, but stands last."""
+    lines = "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string"
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, flag, more in (("a", "R", 0), ("b", "A", 5000)):
+        rows = [(1, 3, 5.0, 0.5, flag)] + [(100 + k, 1, k / 7, 0.0, "N") for k in range(more)]
+        spark.createDataFrame(rows, lines).coalesce(1).write.parquet(str(tmp_path / name))
+        part = next((tmp_path / name).glob("part-*"))
+        part.rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    spark.createDataFrame([(1,), (2,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    assert [tuple(r) for r in plans.ocr_assembly(spark, str(tmp_path)).collect()] == [(1, "R-3\nA-3", 0.5, 0)]
