@@ -116,7 +116,7 @@ def main(args: list[str]) -> int:
         if a.yes:
             full = lambda c: F.concat(F.lit(root + "/"), F.col(c))
             moves = fixes.join(docs.select(F.col("rel_path").alias("path"), "sha256"), "path").select(full("path").alias("source"), full("move_to").alias("destination"), "sha256")
-            planned = plan.planned(moves, docs.select(full("rel_path").alias("path"), "sha256")).join(moves.select("source", "sha256"), "source")
+            planned = plan.planned(moves, docs.select(full("rel_path").alias("path"), "sha256"), last=plan.LAST_SUFFIX).join(moves.select("source", "sha256"), "source")
             said = executor.execute(planned, root)
         else:
             said, code = {"moves": rows(fixes.orderBy("path")), "confirmation": "required"}, 3

@@ -50,7 +50,7 @@ def file_proposals(proposals: DataFrame, taken: DataFrame, config: Config, root:
     left = [(r.path, r.fault) for r in rows.where("fault is not null").select("path", "fault").toLocalIterator()]
     good = rows.where("fault is null")
     moves = good.select("source", full("destination").alias("destination"), "sha256")
-    planned = plan.planned(moves, taken.select(full("path").alias("path"), "sha256"), on_collision).join(good.select("source", "sha256", facts_of(good, now).alias("facts")), "source")
+    planned = plan.planned(moves, taken.select(full("path").alias("path"), "sha256"), on_collision, plan.LAST_SUFFIX).join(good.select("source", "sha256", facts_of(good, now).alias("facts")), "source")
     manifest, outcome = executor.carry_out(planned, root, "ingest", now)
     moved = outcome.where("status != 'failed'").select("source", F.substring("destination", len(root.rstrip("/")) + 2, 1 << 30).alias("rel_path"))
     write_tags(proposals.sparkSession, root, moved.join(good.select("source", F.coalesce("tags", F.array()).alias("tags")), "source").select("rel_path", "tags"))

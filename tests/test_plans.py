@@ -1,9 +1,11 @@
 """Registered queries against their SQL."""
 
 import os
+import random
 
 import pytest
 
+from shelfmark.operators import plan
 from shelfmark.plans import plans
 from shelfmark.plans.registry import ORACLE
 
@@ -32,3 +34,20 @@ def test_blocks_of_one_place_stay_in_the_order_of_the_table(spark, tmp_path):
         part.rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
     spark.createDataFrame([(1,), (2,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
     assert [tuple(r) for r in plans.ocr_assembly(spark, str(tmp_path)).collect()] == [(1, "R-3\nA-3", 0.5, 0)]
+
+
+def test_more_moves_onto_one_place_than_a_thousand(spark):
+    """Every one gets a place of its own, the lowest that is free, unless a last number is stated."""
+    dice = random.Random(5)
+    wanted = ["out/a.txt"] * 1300 + [f"out/a_{k}.txt" for k in sorted(dice.sample(range(2, 1500), 200))] + ["out/a_99999999999999999999.txt"]
+    moves = spark.createDataFrame([(f"{k:05d}", d, str(k)) for k, d in enumerate(wanted)], "source string, destination string, sha256 string")
+    taken = spark.createDataFrame([("out/a_3.txt", "x"), ("out/a_3.txt", "y"), ("out/a_7.txt", "z")], "path string, sha256 string")
+    there, free, want = {r.path for r in taken.collect()}, iter(range(2, 9999)), ["out/a.txt"]
+    claimed = set(wanted) | there
+    while len(want) < 1300:
+        if (name := f"out/a_{next(free)}.txt") not in claimed:
+            want.append(name)
+    got = [tuple(r) for r in plan.planned(moves, taken).orderBy("source").collect()]
+    assert [d for _, d, _ in got[:1300]] == want and {a for _, _, a in got} == {"move"} and len({d for _, d, _ in got} - there) == len(got) == len(wanted)
+    bound = plan.planned(moves, taken, last=plan.LAST_SUFFIX).orderBy("source").collect()
+    assert [r.action for r in bound[:1300]] == ["move" if d == "out/a.txt" or int(d[6:-4]) <= 999 else "fail" for d in want]
