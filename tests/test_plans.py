@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.operators import plan
 from shelfmark.plans import plans
@@ -51,3 +52,19 @@ def test_more_moves_onto_one_place_than_a_thousand(spark):
     assert [d for _, d, _ in got[:1300]] == want and {a for _, _, a in got} == {"move"} and len({d for _, d, _ in got} - there) == len(got) == len(wanted)
     bound = plan.planned(moves, taken, last=plan.LAST_SUFFIX).orderBy("source").collect()
     assert [r.action for r in bound[:1300]] == ["move" if d == "out/a.txt" or int(d[6:-4]) <= 999 else "fail" for d in want]
+
+
+def test_numbers_follow_the_order_however_ranges_are_cut(spark):
+    """Ranges are put together by their size, which is another one where only their rows are counted."""
+    names = [f"{k:06d}" for k in range(20000)]
+    rows = spark.createDataFrame([(n,) for n in names], "path string").repartition(8).select("path", F.concat(*[F.sha2(F.concat("path", F.lit(str(k))), 256) for k in range(8)]).alias("more"))
+    cut = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in cut}
+    try:
+        for k, v in cut.items():
+            spark.conf.set(k, v)
+        got = plan.numbered(rows).collect()
+        assert sorted((r.path, r["index"]) for r in got) == [(n, k + 1) for k, n in enumerate(names)] and plan.numbered(rows.where("false")).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
