@@ -218,3 +218,40 @@ def overlapping(left: DataFrame, right: DataFrame, left_range: tuple[str, str],
     left, right = left.select("*", years(a, b).alias(at)), right.select("*", years(c, d).alias(other))
     shared = (F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col(at) == F.greatest(F.year(a), F.year(c)))
     return left.join(right, (F.col(at) == F.col(other)) & shared).drop(at, other)
+
+
+LEVELS = 32  # of blocks of 1, 2, 4 and so on days; as many bits has the number of any day
+
+
+def blocks(first: Column, after: Column) -> Column:
+    """The fewest blocks (level, block) that make up the days from one number up to another, at most two of a level; block b of level v has the days from b * 2^v on. None without a day."""
+
+    def at(v: Column) -> Column:
+        x, y = -F.call_function("shiftright", -first, v), F.call_function("shiftright", after, v)
+        one = lambda odd, block: F.when((x < y) & (odd.bitwiseAND(F.lit(1)) == 1), F.struct(v.alias("level"), block.alias("block")))
+        return F.array(one(x, x), one(y, y - 1))
+
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.greatest(after - first, F.lit(1)))) - 1)
+    return F.filter(F.flatten(F.transform(levels, at)), lambda b: b.isNotNull())
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], of: str = "id") -> DataFrame:
+    """The right side's rows that share a day with rows of the left, and of these n, the number, first and last, the least and the greatest `of`. Ranges as in `overlapping`.
+
+    No pair is made: a range either begins within the other or before it and goes on. Beginnings are summed up by blocks of days of which each period takes a few; ranges are cut into such
+    blocks, of which each day lies in one a level. Both are joined on blocks, of which each is one row there; their number goes with that of the days, not of the rows.
+    """
+    (a, b), (c, d) = left_range, right_range
+    p, q = T.fresh(right, "from_day"), T.fresh(right, "to_day")
+    day = lambda x: F.unix_date(F.col(x)).cast("long")
+    merged = [F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")]
+    ranges = left.where(F.col(a) < F.col(b)).groupBy(day(a).alias("x"), day(b).alias("y")).agg(F.count("*").alias("n"), F.min(of).alias("first"), F.max(of).alias("last"))
+    right = right.where(F.col(c) < F.col(d)).withColumn(p, day(c)).withColumn(q, day(d))
+    periods = right.select(F.col(p).alias("p"), F.col(q).alias("q")).distinct()
+    every = lambda rows, at: rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")).withColumn("block", F.call_function("shiftright", F.col(at), F.col("level")))
+    begun = every(ranges.groupBy("x").agg(*merged), "x").groupBy("level", "block").agg(*merged)
+    within = periods.select("p", "q", F.inline(blocks(F.col("p"), F.col("q")))).join(begun, ["level", "block"]).select("p", "q", "n", "first", "last")
+    through = ranges.select("n", "first", "last", F.inline(blocks(F.col("x") + 1, F.col("y")))).groupBy("level", "block").agg(*merged)
+    gone_on = every(periods.select("p").distinct(), "p").join(through, ["level", "block"]).groupBy("p").agg(*merged)
+    found = within.unionByName(periods.join(gone_on, "p")).groupBy(F.col("p").alias(p), F.col("q").alias(q)).agg(*merged)
+    return right.join(found, [p, q]).drop(p, q)

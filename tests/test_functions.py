@@ -152,6 +152,8 @@ def test_overlapping_ranges_and_sql_functions(spark):
     want = sorted((i, j) for i, x, y in left for j, u, v in right if None not in (x, y, u, v) and x < y and u < v and x < v and u < y)
     assert sorted((r.i, r.j) for r in got.collect()) == want and len(want) > 50 and got.columns == ["i", "a", "b", "j", "c", "d"]
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and search.overlapping(a.limit(0), b, ("a", "b"), ("c", "d")).count() == 0
+    counted = {r.j: (r.n, r.first, r.last) for r in search.overlap_counts(a, b, ("a", "b"), ("c", "d"), "i").collect()}
+    assert counted == {j: (len(v), min(v), max(v)) for j in {j for _, j in want} for v in [[i for i, k in want if k == j]]}
 
     names = sql.register(spark, Calendar(4, "FY{yyyy1}/{yy2}"))
     assert len(names) == len(set(names)) and spark.sql("SELECT fy_label(DATE '2026-03-31') AS l, fy_tag(DATE '2026-04-01') AS t, fy_quarter(DATE '2026-03-31') AS q").first() == ("FY2025/26", "fy2026-27", 4)
@@ -181,3 +183,27 @@ def test_tiers_by_name_and_order(spark):
     table = lambda forced: {r.name: (r.available, r.place, r.fault is not None) for r in chain.describe(spark, tiers, forced).collect()}
     assert table("") == {"a": (True, 1, False), "b": (False, None, False), "rules": (True, 2, False)}
     assert table("rules")["rules"] == (True, 1, False) and table("b")["b"] == (False, None, True) and table("b")["rules"][1] is None
+
+
+def test_ranges_are_counted_without_pairs(spark):
+    """Days before 1970, ranges of centuries and of one day, rows and periods that are there twice; and far more pairs than could be made."""
+    import datetime as dt
+    import random
+
+    from shelfmark.operators import search
+
+    dice, day = random.Random(3), lambda n: dt.date(1969, 12, 1) + dt.timedelta(n)
+    spans = lambda n: [(k, day(x), day(x + dice.choice([0, 1, 2, 7, 64, 400, 100000]) - dice.randrange(2))) for k in range(n) for x in [dice.randrange(-300, 300)]]
+    left, right = spans(300) * 2, spans(200)
+    right += [(k + 1000, c, d) for k, c, d in right] + [(5000, dt.date(1, 1, 1), dt.date(9999, 12, 31)), (5001, None, day(1))]
+    a, b = spark.createDataFrame(left, "id long, a date, b date"), spark.createDataFrame(right, "j long, c date, d date")
+    want = {}
+    for j, c, d in right:
+        if hit := [i for i, x, y in left if None not in (c, d) and x < y and c < d and x < d and c < y]:
+            want[j] = (len(hit), min(hit), max(hit))
+    got = search.overlap_counts(a, b, ("a", "b"), ("c", "d"))
+    assert {r.j: (r.n, r.first, r.last) for r in got.collect()} == want and got.count() == len(want) > 250
+    n = 400000
+    many = spark.range(n).selectExpr("id", "date_add(DATE '1999-01-01', cast(id % 900 as int)) AS a").selectExpr("*", "date_add(a, 500) AS b")
+    row = search.overlap_counts(many, many.selectExpr("id AS j", "a AS c", "b AS d"), ("a", "b"), ("c", "d")).selectExpr("count(*) AS k", "sum(n) AS pairs").first()
+    assert row.k == n and row.pairs > 10**11
