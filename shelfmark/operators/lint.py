@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,31 +42,41 @@ def prepared(documents: DataFrame, config: Config, catalog: Catalog) -> DataFram
     return out.withColumn("by_meta", F.when(grammar.parse(config, T.basename(F.col("by_meta")))["parsed"], F.col("by_meta")))
 
 
-def findings(documents: DataFrame, orphans: DataFrame, config: Config, catalog: Catalog) -> DataFrame:
-    """All rules over hydrated documents (with meta, sha256 and evicted where they are known) and orphan sidecars (path). Rules on one document share one pass."""
+def findings(documents: DataFrame, orphans: DataFrame, config: Config, catalog: Catalog, rules: Collection[str] = tuple(SEVERITY)) -> DataFrame:
+    """Rules, all by default, over hydrated documents (with meta, sha256 and evicted where they are known) and orphan sidecars (path). Rules on one document share one pass; what only others need is not worked out."""
+    if unknown := set(rules) - set(SEVERITY):
+        raise ValueError(f"there is no rule {sorted(unknown)[0]}")
     d = prepared(documents, config, catalog)
     parsed, canonical = F.col("doc.parsed"), F.col("canonical")
     tagged = F.lit(True) if "tags_unsupported" not in d.columns else ~F.col("tags_unsupported")
     lifecycle = F.array(*map(F.lit, config.lifecycle))
-    out = [
-        finding("name-grammar", ~parsed, F.concat("name", F.lit(" does not follow the grammar")), F.col("by_meta")),
-        finding("name-normalization", T.basename(canonical) != F.col("name"), F.concat(F.lit("should be named "), T.basename(canonical)), canonical),
-        finding("unknown-doctype", parsed & ~catalog.has(F.col("doc.doctype")), F.concat("doc.doctype", F.lit(" is not in the catalog"))),
-        finding("wrong-folder", T.dirname(canonical) != T.dirname(F.col("rel_path")), F.concat(F.lit("belongs in "), T.dirname(canonical)), canonical),
-        finding("unfiled", F.col("category").isNull(), F.lit("outside any category")),
-    ]
+    out = {
+        "name-grammar": finding("name-grammar", ~parsed, F.concat("name", F.lit(" does not follow the grammar")), F.col("by_meta")),
+        "name-normalization": finding("name-normalization", T.basename(canonical) != F.col("name"), F.concat(F.lit("should be named "), T.basename(canonical)), canonical),
+        "unknown-doctype": finding("unknown-doctype", parsed & ~catalog.has(F.col("doc.doctype")), F.concat("doc.doctype", F.lit(" is not in the catalog"))),
+        "wrong-folder": finding("wrong-folder", T.dirname(canonical) != T.dirname(F.col("rel_path")), F.concat(F.lit("belongs in "), T.dirname(canonical)), canonical),
+        "unfiled": finding("unfiled", F.col("category").isNull(), F.lit("outside any category")),
+    }
     if config.require_lifecycle:
         said = G.normalize(F.split(F.coalesce(F.try_element_at("meta.fields", F.lit("lifecycle")), F.lit("")), ","))
         one = F.array_intersect(said, lifecycle)
-        out.append(finding("missing-lifecycle-tag", tagged & (F.size(F.array_intersect("tags", lifecycle)) == 0), F.lit("no lifecycle tag"), None, F.when(F.size(one) == 1, F.get(one, F.lit(0)))))
+        out["missing-lifecycle-tag"] = finding("missing-lifecycle-tag", tagged & (F.size(F.array_intersect("tags", lifecycle)) == 0), F.lit("no lifecycle tag"), None, F.when(F.size(one) == 1, F.get(one, F.lit(0))))
     if not config.allow_passwords:
         token = T.password_token(F.col("name"))
-        out.append(finding("password-in-filename", token.isNotNull(), F.concat(F.lit("the name holds "), token)))
+        out["password-in-filename"] = finding("password-in-filename", token.isNotNull(), F.concat(F.lit("the name holds "), token))
     if "sha256" in d.columns:
         here = ~F.col("evicted") if "evicted" in d.columns else F.lit(True)
-        out.append(finding("stale-sidecar", here & (F.coalesce("meta.source_sha256", F.lit("")) != "") & (F.col("meta.source_sha256") != F.col("sha256")), F.lit("the file changed since its facts were taken")))
-    strange = F.transform(F.when(tagged, G.unknown(config, F.col("tags"))).otherwise(F.array().cast("array<string>")), lambda t: finding("unknown-tag", F.lit(True), F.concat(t, F.lit(" is not in the vocabulary"))))
-    return union([rows_of(d, F.concat(F.array(*out), strange)), multiple_active(documents.where(tagged), config), rows_of(orphans, F.array(finding("orphan-sidecar", F.lit(True), F.lit("its document is gone"))), "path")])
+        out["stale-sidecar"] = finding("stale-sidecar", here & (F.coalesce("meta.source_sha256", F.lit("")) != "") & (F.col("meta.source_sha256") != F.col("sha256")), F.lit("the file changed since its facts were taken"))
+    each = F.array(*[x for rule, x in out.items() if rule in rules] or [finding("unfiled", F.lit(False), F.lit(""))])
+    if "unknown-tag" in rules:
+        strange = F.transform(F.when(tagged, G.unknown(config, F.col("tags"))).otherwise(F.array().cast("array<string>")), lambda t: finding("unknown-tag", F.lit(True), F.concat(t, F.lit(" is not in the vocabulary"))))
+        each = F.concat(each, strange)
+    found = [rows_of(d, each)]
+    if "multiple-active" in rules:
+        found.append(multiple_active(documents.where(tagged), config))
+    if "orphan-sidecar" in rules:
+        found.append(rows_of(orphans, F.array(finding("orphan-sidecar", F.lit(True), F.lit("its document is gone"))), "path"))
+    return union(found)
 
 
 NAMED = 50  # paths in one message; the findings themselves are one a document, however many

@@ -68,3 +68,18 @@ def test_numbers_follow_the_order_however_ranges_are_cut(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_named_rules_are_worked_out_alone(spark):
+    from shelfmark.operators import lint, search
+    from shelfmark.plans import files
+
+    docs, gone = files.documents(spark, SF), search.orphans(files.files(spark, SF), files.sidecars(spark, SF))
+    every = [tuple(r) for r in lint.findings(docs, gone, files.CONFIG, files.CATALOG).collect()]
+    for rules in (("wrong-folder", "name-normalization"), ("unknown-tag", "orphan-sidecar"), ("multiple-active",)):
+        some = lint.findings(docs, gone, files.CONFIG, files.CATALOG, rules)
+        assert sorted(map(repr, map(tuple, some.collect()))) == sorted(repr(r) for r in every if r[0] in rules) != []
+    assert "multiple-active" not in files.lint_fixes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        lint.findings(docs, gone, files.CONFIG, files.CATALOG, ("no-such-rule",))
