@@ -83,3 +83,13 @@ def test_named_rules_are_worked_out_alone(spark):
     assert "multiple-active" not in files.lint_fixes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(ValueError):
         lint.findings(docs, gone, files.CONFIG, files.CATALOG, ("no-such-rule",))
+
+
+def test_names_of_people_are_normalised_once(spark):
+    """Not in each row: the plan has them as constants."""
+    from shelfmark.operators import infer
+
+    rows = spark.createDataFrame([("scan.pdf", "for Nora Field"), ("x.pdf", "NÓRA  FIELD"), ("iris-vane.pdf", None)], "name string, text string")
+    found = rows.select(infer.owners(plans.CONFIG, F.col("name"), F.col("text")).alias("o"))
+    assert " nora field " in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [[o.value for o in r.o] for r in found.collect()] == [["Nora Field"], ["Nora Field"], ["Iris Vane"]]
