@@ -93,3 +93,19 @@ def test_names_of_people_are_normalised_once(spark):
     found = rows.select(infer.owners(plans.CONFIG, F.col("name"), F.col("text")).alias("o"))
     assert " nora field " in found._jdf.queryExecution().optimizedPlan().toString()
     assert [[o.value for o in r.o] for r in found.collect()] == [["Nora Field"], ["Nora Field"], ["Iris Vane"]]
+
+
+def test_people_are_looked_for_in_whole_texts(spark, tmp_path):
+    """Names that stand behind the first 256 KiB, in plain texts and in folded ones, against the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    orders = [(4, 1, "note " * 60000), (9, 1, "nöte " * 50000), (14, 1, "3-MEDIUM"), (24, 1, "naïve fields " * 30000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").selectExpr("*", "timestamp_ntz'2020-05-05' AS o_orderdate", "1.5D AS o_totalprice").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, "Somebody")], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    for unused in ("lineitem", "part"):
+        spark.range(1).write.parquet(str(tmp_path / f"{unused}.parquet"))
+    con = duckdb.connect()
+    for name in ("orders", "customer"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, plans.plan_proposals_over_clashing_columns(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(ORACLE["plan_proposals_over_clashing_columns"]).fetchall())
+    assert len(got) == len(orders) and {r[3] for r in got} == {"Omar Field"}
