@@ -49,6 +49,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.lru_cache(maxsize=1)
+def stand_ins() -> dict[int, str]:
+    """A plain character of the encoder's kind for each one that `regex` puts in another: its tables of letters and digits are of another Unicode version than those of the encoder, which are the tokenizers library's."""
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out: dict[int, str] = {}
+    for plain, kind in {"a": r"\p{L}", "0": r"\p{N}", " ": r"\s"}.items():
+        coder = tiktoken.Encoding("kind", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs, ours = set(bytes(coder.encode_ordinary(every)).decode()), set(regex.findall(kind, every))
+        out |= {ord(c): plain for c in theirs - ours}
+        out |= {ord(c): "!" for c in ours - theirs if ord(c) not in out}
+    return out
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
@@ -67,7 +82,7 @@ class Bpe:
         for k, i in self.special.items():
             self.token[i] = k.encode()
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.leaf, self.threads = leaf, threads
+        self.leaf, self.threads, self.plain = leaf, threads, stand_ins()
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text; leaves of all texts are encoded together."""
@@ -129,7 +144,7 @@ class Bpe:
     def _at_splits(self, left, a, right, b, all_a, all_b):
         """A window from the last split on the left to the first on the right; the whole of a side has its end as one."""
         text, cut = a + b, len(a)
-        starts = [m.start() for m in SPLIT.finditer(text)]
+        starts = [m.start() for m in SPLIT.finditer(text.translate(self.plain))]
         lo = max((p for p in starts if p < cut), default=0 if all_a else None)
         hi = min((p for p in starts if p > cut), default=len(text) if all_b else None)
         if cut in starts:
@@ -144,7 +159,7 @@ class Bpe:
     def _in_run(self, left, a, right, b):
         """A window inside a run of one kind of character, agreed on by its first and last token."""
         text, cut = a + b, len(a)
-        m = RUN.fullmatch(text)
+        m = RUN.fullmatch(text.translate(self.plain))
         if m is None:
             return None
         size, i = 0, len(left)

@@ -57,3 +57,11 @@ def test_frames(spark):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs)).collect()}
     assert back == {1: "Hello  world", 2: "", 3: "", 4: "x" * 30000}
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sign", ["\U00011db0", "\U00011de0", "࢏", "\U000323b0"])
+def test_characters_of_newer_unicode(sign):
+    """Letters and digits that `regex` knows and the encoder does not."""
+    for text in (f"0{sign}'s00", f"ab{sign}cd{sign}12", f"!!{sign}'re {sign}'ll", f"  {sign}\n{sign}" * 3, sign * 700, f"a{sign}" * 200 + "'s"):
+        for leaf in (1, 2, 3, 5, 17):
+            assert bpe.loaded(PATH, leaf).encode_batch([text])[0] == expected(text)
